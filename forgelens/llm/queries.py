@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from forgelens.llm.near_duplicates import near_duplicates
 
@@ -44,11 +51,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.tables import shared_folder
+    from forgelens.llm.token_files import crc_of_ids, read_ids, write_ids
+
+    path = f"{shared_folder(spark)}/token_files/{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_BPE), end_id=2)
+    return crc_of_ids(read_ids(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
