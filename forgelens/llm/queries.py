@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from forgelens.llm.packing import pack
 
@@ -33,6 +39,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.top_k import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from forgelens.llm.sharding import shard_documents
 
@@ -61,12 +80,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op4_language": op4_language,
+    "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Vectors are unnested: a product of two quantised vectors is a sum over positions.
+_TOP_K_SQL = """
+WITH flat AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS n FROM embeddings WHERE vec_id IS NOT NULL
+), bad AS (
+  SELECT DISTINCT vec_id FROM flat WHERE x IS NULL OR isnan(x) OR isinf(x)
+), whole AS (
+  SELECT vec_id, i, n, floor(256 * x)::BIGINT AS x FROM flat WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.i = c.i AND q.n = c.n AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_top_k": _TOP_K_SQL}
