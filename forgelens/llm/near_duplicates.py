@@ -2,16 +2,18 @@
 
 1. One pass over the texts makes each document's shingle set, its digest and its band keys.
    Documents with equal sets are one class from here on, stood for by its least doc_id.
-2. Classes that share a band key are in a bucket. Pairs inside a bucket are never all made. A class
-   is closed, exactly, if too many of its shingles occur in no other candidate: no other set can
-   then reach the similarity. In each open bucket the most central member is the hub; all others
-   are checked against it on full sets. Links give components; a bucket is done when its remaining
-   members are in one component; else the next hub follows. Shingles that occur only inside a
-   component close its members likewise. So no pair of a bucket is left undecided.
-3. Components over all links; each document's is that of its class.
-
-The bands miss a pair at exactly the least similarity with probability (1 - 0.85 ** 4) ** 24, about
-2e-8; larger similarities are missed less. All else is exact on 64-bit shingle hashes.
+2. Classes that share a band key are in a bucket. A class is closed, exactly, if so many of its
+   shingles occur in no other candidate that no other set can reach the similarity. In each bucket
+   the open member with the smallest share of such shingles is the hub; the others are checked
+   against it on full sets, which connects most of a group with as many checks as it has members.
+3. A bucket whose members are then in several components has outsiders: members of other components
+   than its largest. They are checked on full sets against all its members of other components, in
+   tiles of a bounded number of sets each, so neither a pair of the largest component nor a row for
+   a pair that isn't linked is ever made, and no pair that could connect two components is left out.
+4. Components over all links; each document's is that of its class.
+
+The bands miss a pair at exactly the least similarity with probability (1 - 0.85 ** 6) ** 28, about
+2e-6; larger similarities are missed less. All else is exact on 64-bit shingle hashes.
 
 Defined results: a text without words (null, empty, blank) has no shingles and is linked with
 nothing; one with fewer words than a shingle is one shingle; rows that repeat are copies; if a
@@ -32,6 +34,9 @@ from forgelens.llm import sketches
 from forgelens.llm.components import components
 from forgelens.llm.tables import cut
 
+#: Sets on either side of a tile.
+TILE = 64
+
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -80,42 +85,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
-def _own_by_label(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Per class the number of its shingles that no class with another label has, among open ones."""
-    labels = active.select("rep", "label").distinct()
-    each = sets.join(labels, "rep").select("rep", "label", F.explode("shingles").alias("s"))
-    alone = cut(each.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo = hi").select("s"))
-    return each.join(alone, "s").groupBy("rep").agg(F.count("*").alias("own"))
-
-
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Edges (a, b) that connect all linked members (key, rep, n) of the buckets, or None."""
+def _open_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that their own shingles don't rule out, with the share of these."""
     unique = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
     own = cut(unique.groupBy("rep").agg(F.count("*").alias("own")))
-    open_ = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    active = cut(open_.select("key", "rep", "n", (F.col("own") / F.col("n")).alias("odd"), F.col("rep").alias("label")))
-    edges = checked = None
-    while True:
-        of = active.groupBy("key").agg(F.min(F.struct("odd", "rep", "n", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        hubs = cut(of.filter("lo <> hi").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label")))
-        if hubs.isEmpty():
-            return edges
-        rest = active.join(hubs, "key").filter("rep <> hub")
-        new = rest.filter(F.col("label") != F.col("hub_label")).filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = new.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = cut(_linked(pairs, sets, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = cut(components(edges))
-        rest = rest.drop("label").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        rest = cut(rest.select("key", "rep", "n", "odd", F.coalesce("label", "rep").alias("label")))
-        own = cut(_own_by_label(rest, sets))
-        active = rest.join(own, "rep", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
-        active = cut(active.select("key", "rep", "n", "odd", "label"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 24, rows: int = 4) -> DataFrame:
+    odd = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return odd.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("key", "rep", "n", (F.col("own") / F.col("n")).alias("odd"))
+
+
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    hubs = cut(members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("odd", "rep", "n")).alias("hub")).filter("c > 1"))
+    near = members.join(hubs.select("key", "hub"), "key").filter("rep <> hub.rep").filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    return near.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+
+
+def _tile_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between outsiders of buckets and their members of other components."""
+    labelled = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    labelled = cut(labelled.select("key", "rep", F.coalesce("label", "rep").alias("label")))
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    of = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"))
+    tiles = lambda c: F.ceil(c / F.lit(TILE)).cast("int")
+    mixed = cut(of.filter("c > most.c").select("key", F.col("most.label").alias("most"), tiles(F.col("c")).alias("across"), tiles(F.col("c") - F.col("most.c")).alias("down")))
+    rows = labelled.join(mixed, "key")
+    own = F.pmod(F.xxhash64("rep"), F.col("across")).cast("int")
+    all_ = rows.select("key", "rep", "label", F.lit(False).alias("outsider"), own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
+    own = F.pmod(F.xxhash64("rep"), F.col("down")).cast("int")
+    outside = rows.filter("label <> most").select("key", "rep", "label", F.lit(True).alias("outsider"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), own.alias("y"))
+
+    def check(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        rep, label, n = (unit.column(c).to_numpy() for c in ("rep", "label", "n"))
+        out = unit.column("outsider").to_numpy()
+        shingles = [x.values.to_numpy().view(np.uint64) for x in unit.column("shingles")]
+        inside = np.flatnonzero(~out)
+        flat = np.concatenate([np.zeros(0, np.uint64), *[shingles[i] for i in inside]])
+        order = np.argsort(flat)
+        flat, owner = flat[order], np.repeat(np.arange(len(inside)), [len(shingles[i]) for i in inside])[order]
+        pairs = []
+        for i in np.flatnonzero(out):
+            lo, hi = np.searchsorted(flat, shingles[i], "left"), np.searchsorted(flat, shingles[i], "right")
+            found = hi - lo
+            at = np.repeat(lo - np.cumsum(found) + found, found) + np.arange(found.sum())
+            both = np.bincount(owner[at], minlength=len(inside))
+            linked = (100 * both >= percent * (n[i] + n[inside] - both)) & (label[inside] != label[i])
+            pairs += [(int(rep[i]), int(rep[j])) for j in inside[linked]]
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    units = all_.unionByName(outside).join(sets.select("rep", "n", "shingles"), "rep")
+    return units.groupBy("key", "x", "y").applyInArrow(check, "a long, b long").distinct()
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all linked members (key, rep, n) of the buckets."""
+    members = cut(_open_members(members, sets, percent))
+    edges = cut(_linked(_hub_pairs(members, percent), sets, percent))
+    return edges.unionByName(cut(_tile_links(members, cut(components(edges)), sets, percent)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is its component's least)."""
     info = cut(sketched(docs, k, bands, rows).withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))))
     classes = cut(info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
@@ -125,11 +154,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     candidates = cut(members.select("rep").distinct())
     texts = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     sets = cut(shingled(texts.join(candidates, texts["doc_id"] == candidates["rep"], "left_semi"), k))
-    edges = links(members, sets, percent)
-    whole = info.join(classes.drop("keys"), ["n", "d1", "d2"], "left")
-    component = F.coalesce("rep", "id")
-    if edges is not None:
-        labels = cut(components(edges)).select(F.col("node").alias("rep"), "label")
-        whole, component = whole.join(labels, "rep", "left"), F.coalesce("label", "rep", "id")
+    labels = cut(components(links(members, sets, percent))).select(F.col("node").alias("rep"), "label")
+    whole = info.join(classes.drop("keys"), ["n", "d1", "d2"], "left").join(labels, "rep", "left")
+    component = F.coalesce("label", "rep", "id")
     whole = whole.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(component))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
