@@ -1,2 +1,61 @@
-"""The corpus pipeline: stages that are written and read again one after another."""
-STAGES = []
+"""The corpus pipeline: stages that are written and read again one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
+the documents table; the last returns pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from forgelens.llm import decontamination, line_dedup, near_duplicates, packing, quality
+from forgelens.llm.queries import BYTE_BPE, table, tokenizer_path
+from forgelens.llm.tables import shared_folder
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; labels of the held-out part aren't learnt."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def without_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that repeat earlier ones; one of which nothing is left goes."""
+    return line_dedup.without_emptied(line_dedup.drop_repeated_runs(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack(docs, tokenizer_path(BYTE_BPE), end_id=0)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_runs),
+    ("MinHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: A network's fit, sketches and a tokenizer aren't SQL; tests hold run() against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -159,3 +159,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     component = F.coalesce("label", "rep", "id")
     whole = whole.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(component))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **how: int) -> DataFrame:
+    """The documents, with their columns, of which each is the least of its component; rows that repeat one's doc_id are copies of it and only one stays."""
+    found = near_duplicates(docs, **how)
+    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    repeated = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again")))
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)

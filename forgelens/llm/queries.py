@@ -52,6 +52,12 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.line_dedup import drop_repeated_runs
+
+    return drop_repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from forgelens.llm.sharding import shard_documents
 
@@ -79,16 +85,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_of_ids(read_ids(spark, path))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op5_top_k": op5_top_k,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "pipeline": pipeline,
 }
 
 #: Vectors are unnested: a product of two quantised vectors is a sum over positions.
