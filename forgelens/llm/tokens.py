@@ -6,8 +6,8 @@ the library once per worker, and the chunks' ids are joined.
 
 Cuts, by the pre-tokenizer that the file names:
 
-* byte level with its own pattern: before a single space that precedes a non-space. The pattern
-  starts a new token there whatever stands around it.
+* byte level with its own pattern: before a single space that precedes a non-space, and around a
+  single newline. The pattern starts a new token there whatever stands around it.
 * one that drops white space: at spaces and newlines.
 * any other: no cut; the library gets whole texts.
 
@@ -21,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -28,7 +29,7 @@ import numpy as np
 SLICE, KEEP_CHARS, KEEP_CHUNKS = 256, 48, 800_000
 PUNCTUATION = ".,!?;:*$%&#|"
 
-_ODD_SPACE = re.compile(r" (?:\s|$)")
+_ODD_SPACE = re.compile(r"\s(?:\s|$)")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
 
@@ -50,10 +51,9 @@ def _cut_rule(spec: dict) -> str:
 
 
 def _before_space(text: str) -> list[str]:
-    if _ODD_SPACE.search(text):
+    if "\0" in text or _ODD_SPACE.search(text):
         return _BEFORE_SPACE.split(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def _drop_space(text: str) -> list[str]:
@@ -78,6 +78,7 @@ class Encoder:
         self.lower = "Lowercase" in str(spec.get("normalizer"))
         self.cut = {"before_space": _before_space, "drop_space": _drop_space, "whole": lambda text: [text]}[self.rule]
         self.letters = _byte_letters()
+        self.plain = re.compile((" ?" if self.rule == "before_space" else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.kept: dict[str, bytes] = {}
 
     @classmethod
@@ -90,30 +91,33 @@ class Encoder:
     def _any_ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _as_letters(self, word: str) -> str:
+        if word.isascii():
+            return word.replace(" ", "Ġ")
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def _word_ids(self, words: list[str]) -> list[bytes]:
         if not words:
             return []
-        given = [(w.lower() if self.lower else w).encode().decode("latin-1").translate(self.letters) for w in words]
+        given = [self._as_letters(w.lower() if self.lower else w) for w in words]
         e = self.words.encode(given, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = np.array(e.ids, "<u4").tobytes(), np.cumsum(np.bincount(e.word_ids, minlength=len(words))) * 4
-        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-
-    def _plain(self, word: str) -> bool:
-        bare = word[1:] if self.rule == "before_space" and word[:1] == " " else word
-        return bare.isalpha() and max(bare) < "Ā"
+        ids, ends = np.array(e.ids, "<u4").tobytes(), (np.cumsum(np.bincount(e.word_ids, minlength=len(words))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not kept yet."""
         if self.rule == "whole":
             chunks = list(new)
             return dict(zip(chunks, self._any_ids(chunks)))
-        parts = {c: (w := c.rstrip(PUNCTUATION), c[len(w) :]) for c in new}
-        plain = [w for w in {w for w, _ in parts.values()} if w not in self.kept and self._plain(w)]
-        words = dict(zip(plain, self._word_ids(plain)))
-        words |= {w: self.kept[w] for w, _ in parts.values() if w in self.kept and self._plain(w)}
-        others = list({t for w, t in parts.values() if w in words and t} | {c for c, (w, _) in parts.items() if w not in words})
-        rest = dict(zip(others, self._any_ids(others))) | {"": b""}
-        return {c: words[w] + rest[t] if w in words else rest[c] for c, (w, t) in parts.items()} | words
+        kept, plain = self.kept, self.plain
+        parts = [(c, c.rstrip(PUNCTUATION)) for c in new]
+        words = {w for _, w in parts if plain(w)}
+        fresh = list(words.difference(kept))
+        found = dict(zip(fresh, self._word_ids(fresh)))
+        others = list({c[len(w) :] if w in words else c for c, w in parts})
+        rest = dict(zip(others, self._any_ids(others)))
+        found.update({c: (found.get(w) or kept[w]) + rest[c[len(w) :]] if w in words else rest[c] for c, w in parts if c not in found})
+        return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = list(texts)
@@ -122,7 +126,7 @@ class Encoder:
             if len(self.kept) > KEEP_CHUNKS:
                 self.kept.clear()
             known = self.kept
-            learnt = self._learn({c for chunks in cut for c in chunks if c not in known})
+            learnt = self._learn(set(chain.from_iterable(cut)).difference(known))
             long = {c: ids for c, ids in learnt.items() if len(c) > KEEP_CHARS}
             known.update(learnt if not long else {c: ids for c, ids in learnt.items() if c not in long})
             for chunks in cut:
