@@ -118,7 +118,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
         slopes = [a + b for a, b in zip(*[net.slope(z, g) for z, g in parts])]
         rate = 0.02 * (1 - t / (STEPS + 1))
         for w, g, a, b in zip(net.w, slopes, m, v):
-            a += 0.1 * (g + DECAY * w - a)
+            g = g + DECAY * w
+            a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             w -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
     return net
