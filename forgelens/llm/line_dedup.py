@@ -1,21 +1,20 @@
-"""Later repeated runs of lines, found by winnowing over line hashes.
+"""Later repeated runs of lines, found by the hashes of all shortest runs.
 
 A line here ends with a newline or with a sentence (".", "!" or "?" and a space), so a passage is
-also found where it continues a longer line. At each line begins a gram: the fewest lines that have
-half of min_words or more. A gram whose hash is the least of a window of two neighbours is a
-fingerprint, and so is a line that is a gram by itself. Any run of min_words has one: unless its first
-line is a gram, both its first two grams end inside it (a gram has as many lines at most as it needs
-words). A fingerprint's occurrences are joined with its first occurrence in the whole table (by
-doc_id, then position), or, where a document repeats it, with the one before it in the same document;
-that gives pairs of documents and an offset between them. Along such an offset the matches are
-extended both ways while lines are equal, and runs of min_words words or more go from the later
-place; the earlier one stays.
-
-DataFrame functions only. A group of copies costs one row for each copy, not for each pair of them.
+also found where it continues a longer line. A shortest run has min_words or more, and fewer without
+its last line (the one that begins at its first line) or without its first (the one that ends at its
+last line). Any run of min_words or more is covered by the shortest runs in it: those that begin at
+its lines, as long as they fit, reach from its first line to near its end, and the one that ends at
+its last line covers the rest. So a line goes if, and only if, a shortest run that holds it has
+occurred before (by doc_id, then the text's hash, then position); the first occurrence stays. A
+shortest run is one by its own words alone, so each occurrence of a run has the same ones, and
+nothing is compared but their hashes.
+
+DataFrame functions only. A group of copies costs one row for each copy's run, not for each pair.
 
 Defined results: null, empty and blank texts stay as they are; words are counted by spaces; the order
-is by doc_id, nulls first; rows that repeat a doc_id aren't compared with each other, and each keeps
-its own runs; all other columns are kept, n_chars (if there) follows the text.
+is by doc_id, nulls first, and of rows that share a doc_id by the text's hash; rows with the same
+doc_id and text count as one row; all other columns are kept, n_chars (if there) follows the text.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 from forgelens.llm.tables import cut
 
-#: Lines that mostly suffice for a gram.
-SOON = 6
 _LEAST = -(1 << 63)
 _LINE_END, _MARK = r"(?<=\n)|(?<=[.!?] )", "\uffff"
 
@@ -57,63 +54,45 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return slim.select("doc", "h", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"), words.alias("ws"))
 
 
-def _printed(hashed: DataFrame, gram_words: int) -> DataFrame:
-    """With fs: structs (f, p, q) of fingerprints, their positions and, where the document has one before, that one's position.
+def _windows(hashed: DataFrame, min_words: int) -> DataFrame:
+    """doc, h, the hash f and the lines (start, end) of each shortest run: one of min_words or more that is none without its last line, or none without its first.
 
-    Arrays are referred to more than once in each step, or come from files, so that no step is
-    repeated for each element of the next.
+    Arrays are referred to more than once in each step, so that no step is repeated for each element
+    of the next.
     """
-    n = F.size("ws")
-
-    def gram(i: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).alias("w"))
-        more = lambda a, k: F.when((a["w"] >= gram_words) | (k >= n), a).otherwise(F.struct(F.xxhash64(a["f"], F.get("hs", k)).alias("f"), (a["w"] + F.get("ws", k)).alias("w")))
-        upto = lambda k: F.aggregate(F.sequence(i, i + (k - 1)), start, more, lambda a: F.when(a["w"] >= gram_words, F.struct(a["f"].alias("f"), i.alias("p"))))
-        soon = sum((F.coalesce(F.get("ws", i + j), F.lit(0)) for j in range(SOON)), F.lit(0))
-        return F.when(soon >= gram_words, upto(SOON)).otherwise(upto(gram_words))  # most grams are a few lines
-
-    hashed = hashed.filter(F.aggregate("ws", F.lit(0), lambda a, x: a + x) >= 2 * gram_words)
-    grams = hashed.withColumn("gs", F.transform(_upto(n), gram))
+    total = F.aggregate("ws", F.lit(0), lambda a, x: a + x)
+    line_of = hashed.withColumn("n", total).filter(F.col("n") >= min_words).withColumn("of", F.flatten(F.transform("ws", lambda w, i: F.array_repeat(i, w))))
+    first = lambda t: (t == 0) | (F.get("of", t) != F.get("of", t - 1))
+    starts = line_of.select("doc", "h", "hs", "n", "of", F.filter(_upto(F.col("n")), first).alias("at"))  # each line's first word
 
-    def chosen(g: Column, i: Column) -> Column:
-        after, before = F.get("gs", i + 1), F.when(i > 0, F.get("gs", i - 1))
-        lonely = after.isNull() & before.isNull()
-        return g.isNotNull() & (lonely | F.coalesce(g["f"] <= after["f"], F.lit(False)) | F.coalesce(g["f"] < before["f"], F.lit(False)) | (F.get("ws", i) >= gram_words))
+    def code(start: Column, end: Column) -> Column:
+        return F.shiftleft(F.get("of", start).cast("long"), 32).bitwiseOR(F.get("of", end).cast("long"))
 
-    prints = grams.select("doc", "h", "hs", "ws", F.sort_array(F.filter("gs", chosen)).alias("fs"))
-    last = lambda x, i: F.when((i > 0) & (F.get("fs", i - 1)["f"] == x["f"]), F.get("fs", i - 1)["p"])
-    return prints.select("doc", "h", "hs", "ws", F.transform("fs", lambda x, i: F.struct(x["f"].alias("f"), x["p"].alias("p"), last(x, i).alias("q"))).alias("fs"))
+    forth = F.transform(F.filter("at", lambda t: t + min_words <= F.col("n")), lambda t: code(t, t + (min_words - 1)))
+    back = F.transform(F.filter(F.concat("at", F.array("n")), lambda t: t >= min_words), lambda t: code(t - min_words, t - 1))
+    start, end = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    hashed_run = lambda c: F.struct(F.xxhash64(F.slice("hs", start(c) + 1, end(c) - start(c) + 1)).alias("f"), c.alias("c"))
+    found = starts.select("doc", "h", F.explode(F.transform(F.array_distinct(F.concat(forth, back)), hashed_run)).alias("x"))
+    return found.select("doc", "h", "x.f", start(F.col("x.c")).alias("start"), end(F.col("x.c")).alias("end"))
 
 
-def _runs(later: Column, earlier: Column, offset: Column, words: Column, min_words: int) -> Column:
-    """Structs (start, end) of runs of equal lines along an offset, in lines of the later text."""
-    skip, skip_earlier = F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))
-    length = F.greatest(F.least(F.size(later) - skip, F.size(earlier) - skip_earlier), F.lit(0))
-    equal = F.zip_with(F.slice(later, skip + 1, length), F.slice(earlier, skip_earlier + 1, length), lambda x, y: x == y)
-    at = lambda e, i: F.coalesce(F.get(e, i), F.lit(False))
-    edges = lambda e, step: F.filter(_upto(F.size(e)), lambda i: F.get(e, i) & ~F.when((i + step) >= 0, at(e, i + step)).otherwise(False))
-    ends = lambda e: F.arrays_zip(edges(e, -1).alias("start"), edges(e, 1).alias("end"))
-    runs = F.transform(F.array(F.struct(equal.alias("e"))), lambda s: ends(s["e"]))[0]
-    shifted = F.transform(runs, lambda r: F.struct((r["start"] + skip).alias("start"), (r["end"] + skip).alias("end")))
-    return F.filter(shifted, lambda r: F.aggregate(F.slice(words, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x) >= min_words)
+def _merged(found: DataFrame) -> DataFrame:
+    """doc, h and the runs (start, end) that the given ones make together, where they touch or overlap."""
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda r: F.sequence(r["start"], r["end"])))))
+    gone = found.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc", "h", lines.alias("g"))
+    edge = lambda step: F.filter("g", lambda x, i: F.coalesce(F.when(i + step >= 0, F.get("g", i + step)) != x + step, F.lit(True)))
+    return gone.select("doc", "h", F.arrays_zip(edge(-1).alias("start"), edge(1).alias("end")).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc, h and the runs (start, end) of its lines that repeat earlier ones."""
-    hashed = cut(_printed(cut(_hashed(docs)), min_words // 2))
-    inside = hashed.select("doc", "h", "hs", "ws", F.explode(F.array_distinct(F.transform(F.filter("fs", lambda x: x["q"].isNotNull()), lambda x: x["p"] - x["q"]))).alias("d"))
-    own = inside.select("doc", "h", _runs(F.col("hs"), F.col("hs"), F.col("d"), F.col("ws"), min_words).alias("runs"))
-
-    firsts = hashed.select("doc", F.explode(F.filter("fs", lambda x: x["q"].isNull())).alias("x")).select(F.col("x.f").alias("f"), "doc", F.col("x.p").alias("p"))
-    counted = firsts.groupBy("f").agg(F.min("doc").alias("source"), F.min_by("p", "doc").alias("q"), F.count("*").alias("c"))
-    known = cut(counted.filter("c > 1").select("f", "source", "q"))
-    pairs = firsts.join(known, "f").filter("doc <> source").select("doc", "source", (F.col("p") - F.col("q")).alias("d")).distinct()
-    later = pairs.join(hashed.select("doc", "h", "hs", "ws"), "doc")
-    both = later.join(hashed.select(F.col("doc").alias("source"), F.col("hs").alias("source_hs")), "source")
-    across = both.select("doc", "h", _runs(F.col("hs"), F.col("source_hs"), F.col("d"), F.col("ws"), min_words).alias("runs"))
-
-    found = own.unionByName(across).filter(F.size("runs") > 0)
-    return found.select("doc", "h", F.explode("runs").alias("run")).groupBy("doc", "h").agg(F.collect_set("run").alias("runs"))
+    windows = cut(_windows(_hashed(docs), min_words))
+    known = cut(windows.groupBy("f").agg(F.min("doc").alias("source"), F.count("*").alias("c")).filter("c > 1").select("f", "source"))
+    shared = cut(windows.join(known, "f"))
+    own = shared.filter("doc = source").select("f", "doc", "h", "start", "end")
+    first = cut(own.groupBy("f").agg(F.min(F.struct("h", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("f", "first"))
+    own = own.join(first, "f").filter(F.struct("h", "start") > F.col("first"))
+    return _merged(shared.filter("doc <> source").select("doc", "h", "start", "end").unionByName(own.select("doc", "h", "start", "end")))
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:

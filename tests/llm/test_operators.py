@@ -264,6 +264,35 @@ def test_line_dedup(spark, odd):
     assert line_dedup.drop_repeated_runs(odd.limit(0)).collect() == []
 
 
+def brute_runs(texts, min_words=50):
+    """Indices of the lines of each text that go: those in a run of min_words or more that occurred before."""
+    split = [[x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t)] for t in texts]
+    bare, seen, gone = [[x.strip(" \n") for x in s] for s in split], set(), []
+    for lines in bare:
+        words, out = [len(x.split(" ")) if x else 0 for x in lines], set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(words[i:j]) >= min_words and words[i] and words[j - 1]:
+                    run = tuple(lines[i:j])
+                    if run in seen:
+                        out |= set(range(i, j))
+                    seen.add(run)
+        gone.append(out)
+    return ["".join(x for i, x in enumerate(s) if i not in out) for s, out in zip(split, gone)]
+
+
+def test_line_dedup_finds_every_repeat(spark):
+    """Lines of a small pool, so that parts of a repeated run have occurred before, elsewhere and with other neighbours."""
+    rng = random.Random(11)
+    a, b = sentence(rng, 30), sentence(rng, 22)
+    texts = [a + "\n" + sentence(rng, 9), f"{a} {b} {sentence(rng, 9)}", f"{a} {b} {sentence(rng, 8)}"]
+    pool = [sentence(rng, n) for n in (1, 2, 3, 5, 8, 13, 20, 24, 25, 30, 49, 55)]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_runs(docs(spark, texts)).collect()}
+    assert b in got[1] and a not in got[2] and b not in got[2]
+    assert [got[i] for i in range(len(texts))] == brute_runs(texts)
+
+
 # Sharding
 
 
