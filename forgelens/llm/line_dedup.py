@@ -12,7 +12,9 @@ nothing is compared but their hashes.
 
 DataFrame functions only. A group of copies costs one row for each copy's run, not for each pair.
 
-Defined results: null, empty and blank texts stay as they are; words are counted by spaces; the order
+Defined results: null, empty and blank texts stay as they are; words are counted by spaces; a shortest
+run begins and ends with a line that has words and may hold any number of lines without (they go with
+it, those at its edges stay); the order
 is by doc_id, nulls first, and of rows that share a doc_id by the text's hash; rows with the same
 doc_id and text count as one row; all other columns are kept, n_chars (if there) follows the text.
 """

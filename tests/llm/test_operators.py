@@ -293,6 +293,16 @@ def test_line_dedup_finds_every_repeat(spark):
     assert [got[i] for i in range(len(texts))] == brute_runs(texts)
 
 
+def test_line_dedup_counts_no_blank_lines(spark):
+    """One-word lines with blank lines between; each repeated block has far more lines than words."""
+    rng = random.Random(12)
+    block = "\n\n\n".join(f"item{rng.randrange(10**6)}" for _ in range(70))
+    few = "\n\n\n\n".join(f"item{rng.randrange(10**6)}" for _ in range(49))
+    texts = [f"one\n{block}\n{few}\nx", f"two\n\n{block}\nend", f"three\n{few}\nend", "\n\n", block]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_runs(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_runs(texts) == [texts[0], "two\n\nend", texts[2], texts[3], ""]
+
+
 # Sharding
 
 
