@@ -194,6 +194,23 @@ def test_near_duplicates(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 4, 5]
 
 
+def edited(text, *at):
+    w = text.split(" ")
+    for i in at:
+        w[i] = f"edit{i}"
+    return " ".join(w)
+
+
+def test_pipeline_s_near_duplicates_begin_at_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    bases = [sentence(rng, 120) for _ in range(15)]
+    pairs = [t for base in bases for t in (base, edited(base, 30, 70))]  # 106 of 126 shingles
+    kept = corpus_pipeline.one_of_each_group(spark, docs(spark, pairs), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 30, 2))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = sketches.mix(rng.integers(0, 2**63, 1400).astype(np.uint64))
