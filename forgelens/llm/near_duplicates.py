@@ -1,7 +1,7 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification, components.
 
 1. One pass over the texts makes each document's shingle set, its digest and its band keys.
-   Documents with equal sets are one class from here on, stood for by its least doc_id.
+   Documents with equal sets are one class from here on, with a number of its own.
 2. Classes that share a band key are in a bucket. A class is closed, exactly, if so many of its
    shingles occur in no other candidate that no other set can reach the similarity. In each bucket
    the open member with the smallest share of such shingles is the hub; the others are checked
@@ -10,7 +10,8 @@
    than its largest. They are checked on full sets against all its members of other components, in
    tiles of a bounded number of sets each, so neither a pair of the largest component nor a row for
    a pair that isn't linked is ever made, and no pair that could connect two components is left out.
-4. Components over all links; each document's is that of its class.
+4. Classes that share a doc_id are linked too. Components over all links; each document's is that of
+   its class, named by the least doc_id in it.
 
 The bands miss a pair at exactly the least similarity with probability (1 - 0.85 ** 6) ** 28, about
 2e-6; larger similarities are missed less. All else is exact on 64-bit shingle hashes.
@@ -67,14 +68,14 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """rep, n and the sorted shingle set of documents that stand for their classes."""
+    """id, the sorted shingle set, its size n and its digest, once for each id and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches, k):
-            n, d = np.array([len(s) for s in sets], np.int64), sketches.digests(sets).view(np.int64)[:, 0]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d), _lists(sets)], names=["rep", "n", "d1", "shingles"])
+            n, d = np.array([len(s) for s in sets], np.int64), sketches.digests(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(sets)], names=["id", "n", "d1", "d2", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "rep long, n long, d1 long, shingles array<long>").dropDuplicates(["rep", "n", "d1"])
+    return _texts(docs).mapInArrow(run, "id long, n long, d1 long, d2 long, shingles array<long>").dropDuplicates(["id", "n", "d1", "d2"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,16 +148,21 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is its component's least)."""
     info = cut(sketched(docs, k, bands, rows).withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))))
-    classes = cut(info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    classes = cut(info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()))
     keys = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     members = cut(keys.join(shared, "key").select("key", "rep", "n"))
-    candidates = cut(members.select("rep").distinct())
+    candidates = cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "n", "d1", "d2"))
     texts = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
-    sets = cut(shingled(texts.join(candidates, texts["doc_id"] == candidates["rep"], "left_semi"), k))
-    labels = cut(components(links(members, sets, percent))).select(F.col("node").alias("rep"), "label")
-    whole = info.join(classes.drop("keys"), ["n", "d1", "d2"], "left").join(labels, "rep", "left")
-    component = F.coalesce("label", "rep", "id")
+    texts = texts.join(candidates.select("id").distinct(), texts["doc_id"] == candidates["id"], "left_semi")
+    sets = cut(shingled(texts, k).join(candidates, ["id", "n", "d1", "d2"]).select("rep", "n", "shingles"))
+    placed = cut(info.select("doc_id", "id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep", F.col("id").alias("least")), ["n", "d1", "d2"], "left").select("doc_id", "id", "n", "rep", "least"))
+    several = cut(placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a"))
+    same_id = placed.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    labels = cut(components(links(members, sets, percent).unionByName(same_id)).select(F.col("node").alias("rep"), "label"))
+    named = cut(labels.join(classes.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("name")))
+    whole = placed.join(labels.join(named, "label").select("rep", "name"), "rep", "left")
+    component = F.coalesce("name", "least", "id")
     whole = whole.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(component))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -201,6 +201,16 @@ def edited(text, *at):
     return " ".join(w)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Two null ids and an id with two texts: each text is near another document, or has many words of its own."""
+    rng = random.Random(13)
+    a, b, c, d, e = (sentence(rng, n) for n in (104, 110, 120, 130, 5000))
+    rows = [(7, a), (None, edited(a, 50)), (None, e), (20, b), (21, c), (22, edited(b, 40)), (22, edited(c, 60)), (30, d), (31, edited(d, 9)), (32, sentence(rng, 100))]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == [(7, -1), (20, 20), (21, 20), (22, 20), (22, 20), (30, 30), (31, 30), (32, 32)]
+    assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)] * 2
+
+
 def test_pipeline_s_near_duplicates_begin_at_80_percent(spark):
     import corpus_pipeline
 
