@@ -111,7 +111,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
             break
         z = mix(x ^ mix(np.array([i + 1], np.uint64) * U(_BASE)))
         bins = ((z >> U(32)) * U(t) >> U(32)).astype(np.int64) if i < t else i - t
-        np.minimum.at(flat, row * t + bins, (U(i) << U(56)) | (mix(z) >> U(8)))
+        np.minimum.at(flat, row * t + bins, (U(i) << U(54)) | (mix(z) >> U(10)))  # 10 bits of the round: t up to 512
         if i < 8 or i % 8 == 7:  # to look costs as much as a round
             open_rows = (out == _FULL).any(axis=1)
             keep = open_rows[row]

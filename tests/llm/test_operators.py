@@ -221,6 +221,24 @@ def test_pipeline_s_near_duplicates_begin_at_80_percent(spark):
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 30, 2))
 
 
+@pytest.mark.parametrize("t", [168, 200, 512])
+def test_filled_coordinates_stay(t):
+    """Each coordinate of a small set has the value of the first round that fills it."""
+    rng = np.random.default_rng(15)
+    for n in range(1, 9):
+        s = np.sort(sketches.mix(rng.integers(0, 2**63, n).astype(np.uint64)))
+        got = sketches.sketches([s], t)[0]
+        want = np.full(t, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(2 * t):
+            z = sketches.mix(s ^ sketches.mix(np.array([i + 1], np.uint64) * np.uint64(sketches._BASE)))
+            bins = ((z >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(int) if i < t else np.full(n, i - t)
+            for at in np.unique(bins):
+                if want[at] == np.iinfo(np.uint64).max:
+                    want[at] = got[at]
+                    value = (sketches.mix(z[bins == at]) >> np.uint64(10)).min()
+                    assert got[at] & np.uint64((1 << 54) - 1) == value and got[at] >> np.uint64(54) == i
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = sketches.mix(rng.integers(0, 2**63, 1400).astype(np.uint64))
