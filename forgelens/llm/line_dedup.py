@@ -1,14 +1,21 @@
-"""Later repeated runs of lines, found by the hashes of all shortest runs.
+"""Later repeated runs of lines, by winnowing over line hashes.
 
 A line here ends with a newline or with a sentence (".", "!" or "?" and a space), so a passage is
 also found where it continues a longer line. A shortest run has min_words or more, and fewer without
-its last line (the one that begins at its first line) or without its first (the one that ends at its
-last line). Any run of min_words or more is covered by the shortest runs in it: those that begin at
-its lines, as long as they fit, reach from its first line to near its end, and the one that ends at
-its last line covers the rest. So a line goes if, and only if, a shortest run that holds it has
-occurred before (by doc_id, then the text's hash, then position); the first occurrence stays. A
-shortest run is one by its own words alone, so each occurrence of a run has the same ones, and
-nothing is compared but their hashes.
+its last line (the one that begins at its first line) or without its first (one that ends at its
+last line).
+
+1. Winnowing: each shortest run from a line on is a window, and the least line hash in it is its
+   fingerprint. Neighbouring windows mostly select the same one, so a text has few; equal runs select
+   equal ones, so a repeated run of min_words or more has one that occurs at least twice.
+2. Positions are joined by fingerprint: only windows whose fingerprint occurs elsewhere go on, as the
+   hashes of whole shortest runs, and of those each occurrence but the first is a match. A window is
+   compared by its own lines alone, so the first occurrence of its fingerprint need not be the one
+   that holds the run.
+3. Matches are extended: shortest runs that touch or overlap make one run. Those that begin at its
+   lines, as long as they fit, reach from its first line to near its end, and the one that ends at its
+   last line covers the rest. So a line goes if, and only if, a shortest run that holds it has
+   occurred before (by doc_id, then the text's hash, then position); the first occurrence stays.
 
 DataFrame functions only. A group of copies costs one row for each copy's run, not for each pair.
 
@@ -16,7 +23,8 @@ Defined results: null, empty and blank texts stay as they are; words are counted
 run begins and ends with a line that has words and may hold any number of lines without (they go with
 it, those at its edges stay); the order
 is by doc_id, nulls first, and of rows that share a doc_id by the text's hash; rows with the same
-doc_id and text count as one row; all other columns are kept, n_chars (if there) follows the text.
+doc_id and text count as one row (rows without an id too); all other columns are kept, n_chars (if
+there) follows the text.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 
 from forgelens.llm.tables import cut
 
-_LEAST = -(1 << 63)
+_LEAST, _BLANK = -(1 << 63), (1 << 63) - 1
 _LINE_END, _MARK = r"(?<=\n)|(?<=[.!?] )", "\uffff"
 
 
@@ -48,39 +56,72 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _start(code: Column) -> Column:
+    return F.shiftright(code, 32).cast("int")
+
+
+def _end(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def _slice(lines: str, start: Column, end: Column) -> Column:
+    return F.slice(lines, start + 1, end - start + 1)
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     """doc, the text's hash h, line hashes hs and words of each line ws."""
     text = F.col("text").cast("string")
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("h"), F.transform(_lines(text), _bare).alias("lines"))
     words = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1))
-    return slim.select("doc", "h", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"), words.alias("ws"))
+    return slim.select("doc", "h", F.transform("lines", lambda x: F.when(x == "", _BLANK).otherwise(F.xxhash64(x))).alias("hs"), words.alias("ws"))
 
 
-def _windows(hashed: DataFrame, min_words: int) -> DataFrame:
-    """doc, h, the hash f and the lines (start, end) of each shortest run: one of min_words or more that is none without its last line, or none without its first.
+def _winnowed(hashed: DataFrame, min_words: int) -> DataFrame:
+    """doc, h, hs, the codes (first and last line) of the shortest run from each line on, and picks: the fingerprints f that runs select, each with the codes (lo to hi) that select it and whether it repeats among their lines.
 
     Arrays are referred to more than once in each step, so that no step is repeated for each element
     of the next.
     """
-    total = F.aggregate("ws", F.lit(0), lambda a, x: a + x)
-    line_of = hashed.withColumn("n", total).filter(F.col("n") >= min_words).withColumn("of", F.flatten(F.transform("ws", lambda w, i: F.array_repeat(i, w))))
+    of = hashed.withColumn("of", F.flatten(F.transform("ws", lambda w, i: F.array_repeat(i, w)))).filter(F.size("of") >= min_words)  # each word's line
     first = lambda t: (t == 0) | (F.get("of", t) != F.get("of", t - 1))
-    starts = line_of.select("doc", "h", "hs", "n", "of", F.filter(_upto(F.col("n")), first).alias("at"))  # each line's first word
+    fits = of.withColumn("at", F.filter(_upto(F.size("of") - (min_words - 1)), first))  # first words of lines
+    code = lambda t: F.shiftleft(F.get("of", t).cast("long"), 32).bitwiseOR(F.get("of", t + (min_words - 1)).cast("long"))
+    runs = fits.select("doc", "h", "hs", F.transform("at", code).alias("codes"))
+    least = runs.withColumn("fs", F.transform("codes", lambda c: F.array_min(_slice("hs", _start(c), _end(c)))))
+    lows = least.withColumn("lows", F.filter(_upto(F.size("fs")), lambda i: (i == 0) | (F.get("fs", i) != F.get("fs", i - 1))))
+
+    def pick(lo: Column, i: Column) -> Column:
+        hi = F.coalesce(F.get("lows", i + 1), F.size("fs")) - 1
+        again = F.size(F.filter(_slice("hs", _start(F.get("codes", lo)), _end(F.get("codes", hi))), lambda x: x == F.get("fs", lo))) > 1
+        return F.struct(F.get("fs", lo).alias("f"), lo.alias("lo"), hi.alias("hi"), again.alias("again"))
+
+    return lows.select("doc", "h", "hs", "codes", F.transform("lows", pick).alias("picks"))
+
+
+def _candidates(winnowed: DataFrame) -> DataFrame:
+    """doc, h, the hash f and the lines (start, end) of each shortest run whose fingerprint occurs elsewhere too.
+
+    Of the runs from a line on, those are shortest that end before the shortest run from the next
+    line does (and the shortest of all).
+    """
+    picks = winnowed.select("doc", "h", F.inline("picks"))
+    shared = cut(picks.groupBy("f").agg(F.count("*").alias("c"), F.max("again").alias("again")).filter("c > 1 or again").select("f"))
+    ranges = picks.join(shared, "f").groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    of = F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"])))
+    found = winnowed.select("doc", "h", "hs", "codes").join(ranges, ["doc", "h"]).withColumn("of", of)
 
-    def code(start: Column, end: Column) -> Column:
-        return F.shiftleft(F.get("of", start).cast("long"), 32).bitwiseOR(F.get("of", end).cast("long"))
+    def runs(i: Column) -> Column:
+        start, end = _start(F.get("codes", i)), _end(F.get("codes", i))
+        last = F.coalesce(_end(F.get("codes", i + 1)), F.size("hs")) - 1
+        ends = F.when(last > end, F.filter(F.sequence(end, last), lambda j: F.get("hs", j) != _BLANK)).otherwise(F.array(end))
+        return F.transform(ends, lambda j: F.struct(F.xxhash64(_slice("hs", start, j)).alias("f"), start.alias("start"), j.alias("end")))
 
-    forth = F.transform(F.filter("at", lambda t: t + min_words <= F.col("n")), lambda t: code(t, t + (min_words - 1)))
-    back = F.transform(F.filter(F.concat("at", F.array("n")), lambda t: t >= min_words), lambda t: code(t - min_words, t - 1))
-    start, end = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    hashed_run = lambda c: F.struct(F.xxhash64(F.slice("hs", start(c) + 1, end(c) - start(c) + 1)).alias("f"), c.alias("c"))
-    found = starts.select("doc", "h", F.explode(F.transform(F.array_distinct(F.concat(forth, back)), hashed_run)).alias("x"))
-    return found.select("doc", "h", "x.f", start(F.col("x.c")).alias("start"), end(F.col("x.c")).alias("end"))
+    return found.select("doc", "h", F.inline(F.flatten(F.transform("of", runs))))
 
 
 def _merged(found: DataFrame) -> DataFrame:
     """doc, h and the runs (start, end) that the given ones make together, where they touch or overlap."""
-    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda r: F.sequence(r["start"], r["end"])))))
+    lines = F.sort_array(F.array_distinct(F.flatten(F.transform("all", lambda r: F.sequence(r["start"], r["end"])))))
     gone = found.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc", "h", lines.alias("g"))
     edge = lambda step: F.filter("g", lambda x, i: F.coalesce(F.when(i + step >= 0, F.get("g", i + step)) != x + step, F.lit(True)))
     return gone.select("doc", "h", F.arrays_zip(edge(-1).alias("start"), edge(1).alias("end")).alias("runs"))
@@ -88,7 +129,7 @@ def _merged(found: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc, h and the runs (start, end) of its lines that repeat earlier ones."""
-    windows = cut(_windows(_hashed(docs), min_words))
+    windows = cut(_candidates(cut(_winnowed(cut(_hashed(docs)), min_words))))
     known = cut(windows.groupBy("f").agg(F.min("doc").alias("source"), F.count("*").alias("c")).filter("c > 1").select("f", "source"))
     shared = cut(windows.join(known, "f"))
     own = shared.filter("doc = source").select("f", "doc", "h", "start", "end")
@@ -99,14 +140,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents with their columns, without the lines of later repeated runs; lines_dropped says how many went."""
-    runs = cut(repeated_runs(docs, min_words)).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("runs").alias("_runs")).hint("merge")  # they grow with the documents
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == runs["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == runs["_h"])
-    joined = docs.join(runs, key, "left")
-    gone = lambda i: F.exists("_runs", lambda r: (r["start"] <= i) & (i <= r["end"]))
-    left = F.filter(_lines(docs["text"].cast("string")), lambda x, i: ~gone(i))
-    text = F.when(F.col("_runs").isNull(), docs["text"]).otherwise(F.array_join(left, ""))
-    dropped = F.when(F.col("_runs").isNull(), 0).otherwise(F.size(_lines(docs["text"].cast("string"))) - F.size(left)).cast("long")
-    changed = {"text": text, "n_chars": F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None}
+    found = cut(repeated_runs(docs, min_words)).hint("merge")  # they grow with the documents
+    given = docs["text"].cast("string")
+    joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == found["doc"]) & (F.xxhash64(given) == found["h"]), "left")
+    runs, lines = found["runs"], _lines(given)
+    left = F.filter(lines, lambda x, i: ~F.exists(runs, lambda r: (r["start"] <= i) & (i <= r["end"])))
+    text = F.when(runs.isNull(), docs["text"]).otherwise(F.array_join(left, ""))
+    dropped = F.when(runs.isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long")
+    changed = {"text": text, "n_chars": F.when(runs.isNull(), docs["n_chars"]).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None}
     return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns if c != "lines_dropped"], dropped.alias("lines_dropped"))
 
 

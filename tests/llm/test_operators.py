@@ -34,7 +34,7 @@ def odd(spark):
     """Nulls in any column, empty and blank texts, a long one, ties, repeated rows, clashing names."""
     long = " ".join(f"word{i % 977}" for i in range(20_000))
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "  \n ", "en", "s", 4), (4, long, "en", "s", 5), (None, "a null id has text", "en", "s", 1), (5, "same text here", "en", "s", 1), (5, "same text here", "en", "s", 1)]
-    clash = ("score", "shard", "slot", "n", "rep", "hits", "items", "label", "runs", "key", "size", "lines_dropped")
+    clash = ("score", "shard", "slot", "n", "rep", "hits", "items", "label", "runs", "key", "size", "lines_dropped", "doc", "h", "hs", "f", "_gone", "_again", "id", "name", "law")
     return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in clash})
 
 
@@ -338,6 +338,16 @@ def test_line_dedup_finds_every_repeat(spark):
     assert [got[i] for i in range(len(texts))] == brute_runs(texts)
 
 
+def test_line_dedup_of_null_ids_and_planted_runs(spark):
+    """Texts without an id are compared too; all planted runs of 50 to 90 words go but the first of each."""
+    rng = random.Random(16)
+    runs = ["\n".join(sentence(rng, rng.choice([5, 9, 14])) for _ in range(9)) for _ in range(8)]
+    texts = [f"{sentence(rng, 8)}\n{rng.choice(runs)} {sentence(rng, 7)}" for _ in range(80)]
+    rows = [(None if i < 20 else i, t) for i, t in enumerate(texts)]
+    got = [r["text"] for r in line_dedup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [sum(run in t for t in got) for run in runs] == [1] * len(runs) and len(got) == 80
+
+
 def test_line_dedup_counts_no_blank_lines(spark):
     """One-word lines with blank lines between; each repeated block has far more lines than words."""
     rng = random.Random(12)
