@@ -40,13 +40,15 @@ TILE = 64
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs["text"].cast("string")
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-1).cast("long")).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), docs["doc_id"].isNull().alias("no_id"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """Columns other than the text, and shingle sets."""
     for b in batches:
         for first, run in sketches.slices(b.column(1).to_pylist()):
-            yield b.column(0).slice(first, len(run)), sketches.shingle_sets(run, k)
+            yield [b.column(i).slice(first, len(run)) for i in (0, 2, 3)], sketches.shingle_sets(run, k)
 
 
 def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
@@ -56,26 +58,26 @@ def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
 
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the set's size n, its digest and its band keys."""
+    """id (-1 for none), the text's hash h, no_id, the set's size n, its digest and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _batches(batches, k):
+        for others, sets in _batches(batches, k):
             d, n = sketches.digests(sets).view(np.int64), np.array([len(s) for s in sets], np.int64)
             keys = _lists(sketches.band_keys(sketches.sketches(sets, bands * rows), rows))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), keys], names=["doc_id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), keys], names=["id", "h", "no_id", "n", "d1", "d2", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return _texts(docs).mapInArrow(run, "id long, h long, no_id boolean, n long, d1 long, d2 long, keys array<long>")
 
 
-def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """id, the sorted shingle set, its size n and its digest, once for each id and set."""
+def shingled(texts: DataFrame, k: int) -> DataFrame:
+    """The sorted shingle set, its size n and its digest, once for each set; texts as _texts gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _batches(batches, k):
+        for _, sets in _batches(batches, k):
             n, d = np.array([len(s) for s in sets], np.int64), sketches.digests(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(sets)], names=["id", "n", "d1", "d2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(sets)], names=["n", "d1", "d2", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "id long, n long, d1 long, d2 long, shingles array<long>").dropDuplicates(["id", "n", "d1", "d2"])
+    return texts.select("id", "text", "h", "no_id").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>").dropDuplicates(["n", "d1", "d2"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,33 +149,33 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is its component's least)."""
-    info = cut(sketched(docs, k, bands, rows).withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))))
-    classes = cut(info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()))
+    info = cut(sketched(docs, k, bands, rows))
+    classes = info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "h")).alias("least"), F.first("keys").alias("keys"))
+    classes = cut(classes.select("n", "d1", "d2", "least.id", "least.h", "keys").withColumn("rep", F.monotonically_increasing_id()))
     keys = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     members = cut(keys.join(shared, "key").select("key", "rep", "n"))
-    candidates = cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "n", "d1", "d2"))
-    texts = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
-    texts = texts.join(candidates.select("id").distinct(), texts["doc_id"] == candidates["id"], "left_semi")
-    sets = cut(shingled(texts, k).join(candidates, ["id", "n", "d1", "d2"]).select("rep", "n", "shingles"))
-    placed = cut(info.select("doc_id", "id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep", F.col("id").alias("least")), ["n", "d1", "d2"], "left").select("doc_id", "id", "n", "rep", "least"))
+    candidates = cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "h", "n", "d1", "d2"))
+    texts = _texts(docs).join(candidates.select("id", "h").distinct().hint("shuffle_hash"), ["id", "h"], "left_semi")  # one text of each candidate; they grow with the documents
+    sets = cut(shingled(texts, k).join(candidates, ["n", "d1", "d2"]).select("rep", "n", "shingles"))
+    placed = cut(info.drop("keys", "h").join(classes.select("n", "d1", "d2", "rep", F.col("id").alias("least")), ["n", "d1", "d2"], "left").select("no_id", "id", "n", "rep", "least"))
     several = cut(placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a"))
     same_id = placed.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
     labels = cut(components(links(members, sets, percent).unionByName(same_id)).select(F.col("node").alias("rep"), "label"))
     named = cut(labels.join(classes.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("name")))
     whole = placed.join(labels.join(named, "label").select("rep", "name"), "rep", "left")
-    component = F.coalesce("name", "least", "id")
-    whole = whole.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(component))
+    given = lambda c: F.when(~F.col("no_id"), c)
+    whole = whole.withColumns({"doc_id": given(F.col("id")), "component_id": given(F.coalesce("name", "least", "id"))})
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents, with their columns, of which each is the least of its component; rows that repeat one's doc_id are copies of it and only one stays."""
+    """The documents, with their columns, of which each is the least of its component; of rows with equal doc_id and text one stays, and so do all without a doc_id."""
     found = near_duplicates(docs, **how)
-    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    repeated = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again")))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(found.filter("not kept").select("doc_id").distinct())
+    repeated = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"))
+    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    once = left.join(repeated, docs["doc_id"] == repeated["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, docs["doc_id"] == repeated["doc_id"], "left_anti").unionByName(once)
