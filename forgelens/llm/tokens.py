@@ -9,7 +9,8 @@ Cuts, by the pre-tokenizer that the file names:
 * byte level with its own pattern: before a single space that precedes a non-space, and around a
   single newline. The pattern starts a new token there whatever stands around it.
 * one that drops white space: at spaces and newlines.
-* any other: no cut; the library gets whole texts.
+* any other: no cut; the library gets whole texts. It also gets any text whole that may hold the
+  string of an added token (``<|endoftext|>``, say), which it turns into that token's id.
 
 A chunk that is a plain word (Latin-1 letters) with punctuation behind it is two pre-tokens; the
 word goes to the library's model directly, which skips its normaliser and its splitter.
@@ -70,11 +71,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = Tokenizer(self.tokenizer.model)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule = _cut_rule(spec)
+        begins = {t["content"][:2].lower() for t in spec.get("added_tokens", [])}
+        self.may_add = re.compile("|".join(map(re.escape, sorted(begins))), re.IGNORECASE).search if begins else lambda text: None
         self.lower = "Lowercase" in str(spec.get("normalizer"))
         self.cut = {"before_space": _before_space, "drop_space": _drop_space, "whole": lambda text: [text]}[self.rule]
         self.letters = _byte_letters()
@@ -122,15 +124,20 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = list(texts)
         for at in range(0, len(texts), SLICE):
-            cut = [self.cut(t) if t else [] for t in texts[at : at + SLICE]]
+            run = texts[at : at + SLICE]
+            whole = [i for i, t in enumerate(run) if t and self.may_add(t)]
+            whole_ids = dict(zip(whole, self._any_ids([run[i] for i in whole])))
+            cut = [self.cut(t) if t and i not in whole_ids else [] for i, t in enumerate(run)]
             if len(self.kept) > KEEP_CHUNKS:
                 self.kept.clear()
             known = self.kept
             learnt = self._learn(set(chain.from_iterable(cut)).difference(known))
             long = {c: ids for c, ids in learnt.items() if len(c) > KEEP_CHARS}
             known.update(learnt if not long else {c: ids for c, ids in learnt.items() if c not in long})
-            for chunks in cut:
-                if long:
+            for i, chunks in enumerate(cut):
+                if i in whole_ids:
+                    yield whole_ids[i]
+                elif long:
                     yield b"".join([known[c] if c in known else long[c] for c in chunks])
                 else:
                     yield b"".join(map(known.__getitem__, chunks))

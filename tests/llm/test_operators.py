@@ -5,12 +5,14 @@ import json
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, token_files, top_k
 from forgelens.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
@@ -41,13 +43,25 @@ def odd(spark):
 # Encoder, packing, files of ids
 
 
+@cache
+def plain(name):
+    """The library's tokenizer as the file has it."""
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abcXYZéßñİſ' \t\n\x85\x1c\0.,!?*09😀́<|>")), max_size=40))
+@given(st.lists(st.sampled_from([*"abcXYZéßñİſ' \t\n\x85\x1c\0.,!?*09😀́<|>", "<|endoftext|>", "<|StartOfText|>"]), max_size=40).map("".join))
 def test_chunks_give_the_library_s_ids(name, text):
-    e = Encoder.of(tokenizer_path(name))
-    want = e.tokenizer.encode(text, add_special_tokens=False).ids
-    assert list(e.encode([text, None])) == [np.array(want, "<u4").tobytes(), b""]
+    want = plain(name).encode(text, add_special_tokens=False).ids
+    assert list(Encoder.of(tokenizer_path(name)).encode([text, None])) == [np.array(want, "<u4").tobytes(), b""]
+
+
+@pytest.mark.parametrize(("name", "special"), [(BYTE_BPE, 50256), (WORD_BPE, 49407)])
+def test_added_tokens_are_the_library_s(name, special):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|ENDOFTEXT|>b", "plain words", "<|startoftext|>x <|endoftext|>\n<|endoftext|>", "a <| b |> c"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in Encoder.of(tokenizer_path(name)).encode(texts)]
+    assert found == [plain(name).encode(t, add_special_tokens=False).ids for t in texts] and special in found[0]
 
 
 def pieces_are_whole(rows, limits):
@@ -72,7 +86,7 @@ def test_packing(spark, odd):
     by_doc, by_sequence = pieces_are_whole(rows, packing.Limits())
     lengths = [sum(r["length"] for r in s) for s in by_sequence.values()]
     assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in lengths) < 0.02 * sum(lengths)
-    e = Encoder.of(tokenizer_path(BYTE_BPE)).tokenizer
+    e = plain(BYTE_BPE)
     for i, t in enumerate(texts):
         ids = np.array([*e.encode(t, add_special_tokens=False).ids, 0], "<u4")
         found = sorted(by_doc[i], key=lambda r: r["start"])
@@ -107,7 +121,7 @@ def test_token_files(spark, odd, tmp_path):
     shuffled = docs(spark, texts).orderBy(F.rand(1)).repartition(5)
     token_files.write_ids(shuffled, str(tmp_path / "a"), tokenizer_path(WORD_BPE), 2)
     got = sorted(token_files.read_ids(spark, str(tmp_path / "a")).collect(), key=lambda r: r["doc_id"])
-    e, start = Encoder.of(tokenizer_path(WORD_BPE)).tokenizer, 0
+    e, start = plain(WORD_BPE), 0
     for r, t in zip(got, texts, strict=True):
         ids = np.array([*e.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (start, len(ids) // 4, ids)
@@ -469,7 +483,7 @@ def test_pipeline_equals_its_parts(spark):
     assert not any(brute_hits(texts[i], items)[-1] for i in order[:40])
     found = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in found} == set(texts)
-    e = Encoder.of(tokenizer_path(BYTE_BPE)).tokenizer
+    e = plain(BYTE_BPE)
     total = {}
     for r in found:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
