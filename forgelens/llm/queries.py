@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +76,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from forgelens.llm.tables import shared_folder
+    from forgelens.llm.tables import new_path
     from forgelens.llm.token_files import crc_of_ids, read_ids, write_ids
 
-    path = f"{shared_folder(spark)}/token_files/{uuid.uuid4().hex}"
+    path = new_path(spark, "token_files")
     write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_BPE), end_id=2)
     return crc_of_ids(read_ids(spark, path))
 

@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a session has none (tests on one machine), a temporary folder."""
+    """spark.checkpoint.dir. A session on one machine that has none gets a temporary folder; one on a cluster has to name it, as its executors don't share the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, kind: str = "tables") -> str:
+    """A place for one table below this application's folder."""
+    return f"{shared_folder(spark)}/{spark.conf.get('spark.app.id', 'application')}/{kind}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once and read again: later work starts from the files, also after executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, kind: str = "tables") -> None:
+    """Deletes what this application has cut so far. Results that are still to be computed from it have to be written before."""
+    folder = new_path(spark, kind).rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001 - Spark's Python API deletes no files
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
