@@ -6,37 +6,44 @@ the documents table; the last returns pieces of packed sequences.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from forgelens.llm import decontamination, line_dedup, near_duplicates, packing, quality
 from forgelens.llm.queries import BYTE_BPE, table, tokenizer_path
-from forgelens.llm.tables import shared_folder
+from forgelens.llm.tables import drop_tables, new_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; labels of the held-out part aren't learnt."""
+    """Documents that the classifier doesn't reject; labels of the held-out part aren't learnt.
+
+    Null and empty texts are scored like others, repeated rows alike; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that repeat earlier ones; one of which nothing is left goes."""
+    """Documents without the runs of lines that repeat earlier ones; one of which nothing is left goes.
+
+    Null, empty and blank texts stay; rows with equal doc_id and text are one and lose the same lines.
+    """
     return line_dedup.without_emptied(line_dedup.drop_repeated_runs(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, from a similarity of 0.8; the bands miss a pair at just that with probability 1.3e-7."""
+    """The first document of each group of near-duplicates, from a similarity of 0.8; the bands miss a pair at just that with probability 1.3e-7.
+
+    Null and blank texts are near nothing and stay, as rows without a doc_id do; of rows with equal doc_id and text one stays.
+    """
     return near_duplicates.keep_one(docs, percent=80, bands=40, rows=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences; a null text has its end id only."""
     return packing.pack(docs, tokenizer_path(BYTE_BPE), end_id=0)
 
 
@@ -53,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages wrote for themselves goes as soon as a stage is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+        path = new_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_tables(spark)
         docs = spark.read.parquet(path)
     return docs
