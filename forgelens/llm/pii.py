@@ -6,7 +6,10 @@ right for the boundaries of an email, an address (numeric or URL) or an account
 
 Kinds, in the order used for ties: email, ip, card, phone (these follow fixed patterns, leftmost and
 non-overlapping within a kind; a match that fails its check goes, without another try), then url
-(scheme and a valid host) and account (a cue, a separator and an identifier with digits).
+(scheme and a valid host), account (a cue, then an identifier with digits: behind a separator, or
+behind one space if it has six digits or more; IBANs may have spaces and then have to pass their
+check) and secret (a cue such as token or api key, a separator and a value of at least eight
+characters with a digit). Cues and schemes are found in any case, values also in quotes.
 
 Positions are code points, ends exclusive. A null or empty text has no spans; repeated rows are
 handled one by one; other columns of the input are ignored.
@@ -23,23 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
 SCHEMA = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
 
-# URL schemes, and words that announce an identifier.
+# URL schemes, and words that announce an identifier or a secret (words in them may be joined by a space, "_", "-" or nothing).
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "ssh://", "git://", "ws://", "wss://")
-CUES = ("account", "acct", "iban", "customer id", "user id", "member id", "passport", "ssn", "social security")
+CUES = ("account", "acct", "iban", "customer id", "user id", "member id", "client id", "passport", "ssn", "social security", "tax id", "driver license")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api key", "access key", "private key", "auth key", "bearer")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-_LOCAL_BEHIND = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
 _HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?::[0-9]{1,5})?|localhost(?::[0-9]{1,5})?|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?")
 _URL_REST = re.compile(r"(?:[/?#][A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]*)?")
-_CUE_REST = re.compile(r"(?:\s?(?:number|no\.?|num|id|code))?\s?[:#=]\s?([A-Za-z0-9][A-Za-z0-9-]{4,33}[A-Za-z0-9])(?![A-Za-z0-9-])", re.ASCII | re.IGNORECASE)
+_MORE = r"(?:[ _-]?(?:number|no\.?|num|nr\.?|id|code|key|token))?"
+_SEPARATOR = r"[\"']?[ \t]{0,2}(?::=|=>|[:#=]|\bis\b)[ \t]{0,2}[\"'(]?"
+_NAMED = re.compile(_MORE + f"(?P<separator>{_SEPARATOR}| )" + r"(?P<value>[A-Za-z0-9][A-Za-z0-9-]{4,33}[A-Za-z0-9])(?![A-Za-z0-9-])", re.ASCII | re.IGNORECASE)
+_IBAN = re.compile(_MORE + f"(?:{_SEPARATOR}| )" + r"(?P<value>[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Z0-9])", re.ASCII)
+_SECRET = re.compile(_MORE + _SEPARATOR + r"(?:bearer )?(?P<value>[A-Za-z0-9_+/.~!@#$%^&*-]{8,}=*)", re.ASCII | re.IGNORECASE)
+_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[int, int, str]
@@ -59,9 +66,9 @@ def _automaton():
     found = ahocorasick.Automaton()
     for anchor, parser in [("@", "email"), ("+", "phone"), *[(d, "digit") for d in "0123456789"], *[(s, "url") for s in SCHEMES]]:
         found.add_word(anchor, (parser, len(anchor)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("account", len(form)))
+    for cues, parser in ((CUES, "account"), (SECRET_CUES, "secret")):
+        for form in {cue.replace(" ", joint) for cue in cues for joint in " _-"} | {cue.replace(" ", "") for cue in cues}:
+            found.add_word(form, (parser, len(form)))
     found.make_automaton()
     return found
 
@@ -99,13 +106,42 @@ def _phone(text: str, at: int) -> int | None:
     return end if end - at >= 4 else None
 
 
+def _lower(text: str) -> str:
+    """Lower-case, with each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_TO_LOWER)
+
+
+def _iban(value: str) -> bool:
+    value = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """The identifier behind a cue that ends there."""
+    if (m := _IBAN.match(text, at)) and _iban(m["value"]):
+        return m.span("value")
+    m = _NAMED.match(text, at)
+    if m and sum(c in "0123456789" for c in m["value"]) >= (6 if m["separator"] == " " else 4):
+        return m.span("value")
+    return None
+
+
+def _secret(text: str, at: int) -> tuple[int, int] | None:
+    m = _SECRET.match(text, at)
+    if not m:
+        return None
+    value = m["value"].rstrip(".!*")
+    return (m.start("value"), m.start("value") + len(value)) if len(value) >= 8 and any(c in "0123456789" for c in value) else None
+
+
 def spans(text: str | None) -> list[Span]:
     """All spans of a text, by start and then kind."""
     if not text:
         return []
     out: list[tuple[int, int, int]] = []
     past = dict.fromkeys((*KINDS, "ip_run"), 0)  # where the last match of a kind ended
-    for last, (anchor, n) in _automaton().iter(text):
+    for last, (anchor, n) in _automaton().iter(_lower(text)):
         at = last + 1 - n
         if anchor == "digit":
             if at >= past["ip_run"]:
@@ -132,10 +168,9 @@ def spans(text: str | None) -> list[Span]:
                     end -= 1
                 past["url"] = end
                 out.append((at, 4, end))
-        elif at >= past["account"] and not (at and text[at - 1].isalnum()) and (m := _CUE_REST.match(text, last + 1)):
-            if sum(c in "0123456789" for c in m[1]) >= 4:
-                past["account"] = m.end(1)
-                out.append((m.start(1), 5, m.end(1)))
+        elif at >= past[anchor] and not (at and text[at - 1].isalnum()) and (found := (_account if anchor == "account" else _secret)(text, last + 1)):
+            past[anchor] = found[1]
+            out.append((found[0], KINDS.index(anchor), found[1]))
     return [(s, e, KINDS[k]) for s, k, e in sorted(out)]
 
 

@@ -158,6 +158,12 @@ def test_pii(spark, odd):
     assert shown == {
         "email": "Ann.Lee@mail.example.com", "url": "https://example.org/a?b=1", "account": "DE44500105175407324931", "card": "4012888888881881", "phone": "+1 (212) 555-0199", "ip": "10.0.0.1",
     }
+    found = lambda t: [(k, t[s:e]) for s, e, k in pii.spans(t) if k not in pii.BASE_KINDS]
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    assert found(f'x token = "{secret}" y API_KEY={secret}; password is hunter22.') == [("secret", secret), ("secret", secret), ("secret", "hunter22")]
+    assert found("user_id=ab12345, SSN 123-45-6789. IBAN DE44 5001 0517 5407 3249 31 and account 1234567890") == [("account", x) for x in ("ab12345", "123-45-6789", "DE44 5001 0517 5407 3249 31", "1234567890")]
+    assert found("HTTPS://Example.ORG/x İ Account: 123456") == [("url", "HTTPS://Example.ORG/x"), ("account", "123456")]
+    assert found("the token of the secret account is here, tokens 12345678, password: short, account in 2026, IBAN DE45 5001 0517 5407 3249 31") == []
     rows = {r["doc_id"]: r for r in pii.find_pii(odd).collect()}
     assert rows[1]["spans"] == "" and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and len(rows) == 6
     assert pii.find_pii(odd.limit(0)).collect() == []
