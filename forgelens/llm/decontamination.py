@@ -7,8 +7,11 @@ has a block shift table over the first m bytes of its patterns (m: its shortest)
 positions where no pattern can end; the block at a zero shift selects a bucket of patterns, and these
 are compared directly.
 
-The patterns go to the executors in blocks of a bounded number of bytes (checked by an aggregate
-first), one pass over the documents for each block inside the same stage; nothing is shuffled.
+Items go to the executors as segments of their words, in blocks of a bounded number of bytes (checked
+by an aggregate first) that workers expand to windows; a worker keeps the tables of its last block for
+the tasks that follow. A block is one pass over the documents with one worker a core; where there are
+several blocks, each pass is written before the next, so no worker ever holds two. Nothing is
+shuffled but the rows with hits of several blocks.
 
 Defined results: a null or empty text, or one of separators only, has no words and no hits; an item
 without words has no window; an item without an id marks words but isn't listed; items and documents
@@ -17,6 +20,7 @@ may repeat (an item id counts once); without any items every document is clean.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -24,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a block in the shift tables, lengths at which a new class begins, bytes of patterns sent at once.
-BLOCK, CLASSES, SEND_BYTES = 8, (8, 16, 32), 32 << 20
+from forgelens.llm.tables import cut
+
+#: Bytes of a block in the shift tables, lengths at which a new class begins, bytes of a block's windows, windows of a segment.
+BLOCK, CLASSES, WINDOW_BYTES, SEGMENT = 8, (8, 16, 32), 32 << 20, 1000
 
 _AS_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+SCHEMA = "doc_id long, h long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -105,58 +111,95 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """Distinct (window, item) pairs of all items."""
+Segment = tuple[str, str | None]
+_kept: dict[str, Patterns] = {}
+
+
+def segments(benchmark: DataFrame, length: int) -> DataFrame:
+    """Distinct (words, item): runs of an item's words that hold each of its windows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if found := words(text):
-                    rows += {(joined(found[i : i + length]), item) for i in range(max(1, len(found) - length + 1))}
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["window", "item"])
+                found = words(text)
+                rows += [(b" ".join(found[i : i + SEGMENT + length - 1]), item) for i in range(0, max(1, len(found) - length + 1) if found else 0, SEGMENT)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].decode() for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["words", "item"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "window binary, item string").distinct()
+    return items.mapInArrow(run, "words string, item string").distinct()
+
+
+def blocks_of(found: DataFrame, length: int) -> Iterator[list[Segment]]:
+    """The segments in blocks whose windows have at most about WINDOW_BYTES, one after another."""
+    size = (found.agg(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 1)).first()[0] or 0) * length
+    blocks = -(-size // WINDOW_BYTES) or 1
+    for i in range(blocks):
+        block = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == i)
+        yield [(r[0], r[1]) for r in block.collect()]
 
 
-def _pass(frame: DataFrame, patterns: list[tuple[bytes, str | None]]) -> DataFrame:
-    """Adds one block's hits and items to those already found."""
-    sent = frame.sparkSession.sparkContext.broadcast(patterns)
+def _tables(sent: tuple[str, list[Segment]], length: int) -> Patterns:
+    """A block's patterns, made once by each worker."""
+    name, block = sent
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Patterns([(joined(w[i : i + length]), item) for text, item in block for w in [text.encode().split()] for i in range(max(1, len(w) - length + 1))])
+    return _kept[name]
+
+
+def _sent(frame: DataFrame, block: list[Segment]):
+    return frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+
+def _pass(docs: DataFrame, block: list[Segment], length: int) -> DataFrame:
+    """Hits and items of one block; h: the text's hash."""
+    sent = _sent(docs, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Patterns(sent.value)
+        tables = _tables(sent.value, length)
         for b in batches:
             n_words, hits, items = [], [], []
-            for text, old_hits, old_items in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))):
+            for text in b.column(1).to_pylist():
                 w = words(text)
-                new_hits, new_items = found.find(joined(w))
+                ranges, found = tables.find(joined(w))
                 n_words.append(len(w))
-                hits.append([{"start": s, "end": e} for s, e in merged([*new_hits, *((x["start"], x["end"]) for x in old_hits)])])
-                items.append(sorted(new_items | set(old_items)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hits", "items"])
+                hits.append([{"start": s, "end": e} for s, e in ranges])
+                items.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "h", "n_words", "hits", "items"])
 
-    return frame.mapInArrow(run, SCHEMA.replace("n_words", "text string, n_words"))
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, SCHEMA)
 
 
-def blocks_of(windows: DataFrame) -> Iterator[list[tuple[bytes, str | None]]]:
-    """The windows in blocks of at most about SEND_BYTES, one after another."""
-    size = windows.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
-    blocks = -(-size // SEND_BYTES) or 1
-    for i in range(blocks):
-        block = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i)
-        yield [(bytes(r[0]), r[1]) for r in block.toLocalIterator()]
+def _together(found: DataFrame) -> DataFrame:
+    """One row for each document of several blocks' rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in row])] for row in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, _HITS), b.column(3)], names=["doc_id", "h", "hits", "items"])
+
+    rows = found.groupBy("doc_id", "h").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return rows.mapInArrow(run, SCHEMA.replace("n_words long, ", ""))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """Per document its number of words, the ranges of words inside occurring windows and the items that they belong to."""
-    frame = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"),
-    )
-    for patterns in blocks_of(benchmark_windows(benchmark, length)):
-        frame = _pass(frame, patterns)
-    return frame.drop("text")
+    first, others = None, None
+    for block in blocks_of(cut(segments(benchmark, length)), length):
+        if first is None:
+            first = _pass(docs, block, length)
+            continue
+        more = cut(_pass(docs, block, length).filter(F.size("hits") > 0).drop("n_words"))
+        others = more if others is None else others.unionByName(more)
+    if others is None:
+        return first.drop("h")
+    first = cut(first)
+    together = _together(others.unionByName(first.filter(F.size("hits") > 0).drop("n_words")))
+    rows = first.drop("hits", "items").join(together.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (first["h"] == together["h"]), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return rows.select("doc_id", "n_words", none("hits", "array<struct<start:int,end:int>>"), none("items", "array<string>"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -167,16 +210,20 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _without(docs: DataFrame, block: list[Segment], length: int) -> DataFrame:
+    sent, at = _sent(docs, block), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(sent.value, length)
+        for b in batches:
+            yield b.filter(pa.array([not tables.find(joined(words(t)))[0] for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """Documents without any hit, with all their columns."""
-    at, schema = docs.columns.index("text"), docs.schema
-    for patterns in blocks_of(benchmark_windows(benchmark, length)):
-        sent = docs.sparkSession.sparkContext.broadcast(patterns)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found = Patterns(sent.value)
-            for b in batches:
-                yield b.filter(pa.array([not found.find(joined(words(t)))[0] for t in b.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    """Documents without any hit, with all their columns (text has to be a string)."""
+    left = None
+    for block in blocks_of(cut(segments(benchmark, length)), length):
+        left = _without(docs if left is None else cut(left), block, length)
+    return left

@@ -286,9 +286,11 @@ def brute_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("send", [32 << 20, 400])
-def test_decontamination(spark, odd, monkeypatch, send):
-    monkeypatch.setattr(decontamination, "SEND_BYTES", send)
+@pytest.mark.parametrize(("window_bytes", "segment"), [(32 << 20, 1000), (3000, 7)])
+def test_decontamination(spark, odd, monkeypatch, window_bytes, segment):
+    """The second time in several blocks, of segments shorter than items."""
+    monkeypatch.setattr(decontamination, "WINDOW_BYTES", window_bytes)
+    monkeypatch.setattr(decontamination, "SEGMENT", segment)
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.choice([1, 2, 9, 10, 11, 30]))) for i in range(30)] + [(30, "é ß"), (31, ""), (32, None), (33, items_text := sentence(rng, 12)), (34, items_text)]
     texts = []
