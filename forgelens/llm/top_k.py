@@ -1,15 +1,18 @@
 """Exact top-k search by inner product of quantised vectors.
 
-Queries are taken in blocks of a bounded number of bytes, which go to the executors; candidates
-stream past them in tiles, a matrix product each, and every tile keeps each query's best by partial
-selection. The tiles' lists are merged as a tree: within a lane of a query first, then over lanes.
+Queries are dealt into blocks and candidates into shards of a bounded number of bytes each, by hash;
+every pair of a block and a shard is a task's group (a cogroup: queries are repeated for each shard,
+candidates for each block, which costs no more than the product that has to be done). A group takes its
+candidates in tiles, a matrix product each, keeps each query's best of a tile by partial selection and
+merges them. The groups' lists are merged as a tree: within a lane of a query first, then over lanes.
+Nothing is broadcast or collected but two sums.
 
 A component x becomes floor(256 x). Products are exact: in double precision where the bounds of the
 tile allow it (every partial sum below 2 ** 53), else in Python integers; a score outside 64 bits
 takes the nearest bound.
 
 Defined results: vectors that are null or hold null, NaN or infinity take no part, as rows without a
-vec_id; only vectors of equal length are compared; equal scores go to the smaller vec_id; a query
+vec_id; only vectors of equal length are compared; equal scores go to the smaller vec_id; equal rows count once; a query
 has fewer than k rows if there are fewer candidates; if a vec_id repeats, its rows are queries and
 candidates each, but never of one another, and its lists are merged into one in which a candidate's
 best score counts; other columns of the input are ignored.
@@ -25,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of a block of queries, candidates in a tile, lanes of the first merge.
-BLOCK_BYTES, TILE, LANES = 8 << 20, 1024, 8
+#: Bytes of a block of queries and of a shard of candidates, scores in a tile, lanes of the first merge.
+BLOCK_BYTES, SHARD_BYTES, TILE, LANES = 8 << 20, 16 << 20, 1 << 22, 8
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -52,36 +55,38 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each query's k best candidates of a tile whose ids ascend; own: ids of the queries."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    n = scores.shape[1]
     others = ids[None, :] != own[:, None]
+    n = scores.shape[1]
+    if n <= k:
+        return np.nonzero(others)
     least = np.where(others, scores, np.iinfo(np.int64).min)
-    bar = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(own), np.iinfo(np.int64).min)
-    for i in range(len(own)):
-        above = np.flatnonzero((least[i] > bar[i]) & others[i])
-        level = np.flatnonzero((least[i] == bar[i]) & others[i])[: k - len(above)] if len(above) < k else above[:0]
-        picked = np.concatenate([above, level])
-        found.append((np.full(len(picked), i), picked))
-    return tuple(map(np.concatenate, zip(*found)))
-
-
-def _block(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """Each query's best of every tile."""
-    sent, width = candidates.sparkSession.sparkContext.broadcast((ids, q)), q.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = sent.value
-        for b in batches:
-            for at in range(0, b.num_rows, TILE):
-                tile = b.slice(at, TILE)
-                vec_id, c = tile.column(0).to_numpy(), _quantised(tile.column(1), width)
-                order = np.argsort(vec_id, kind="stable")
-                vec_id, c = vec_id[order], c[order]
-                scores = _products(q, c)
-                row, col = _best(scores, vec_id, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(vec_id[col]), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
-
-    return candidates.filter(F.size("v") == width).mapInArrow(run, SCHEMA)
+    bar = np.partition(least, n - k, axis=1)[:, n - k, None]
+    above = least > bar
+    level = (least == bar) & others
+    level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)  # the smallest ids first
+    return np.nonzero(above | level)
+
+
+def _search(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
+    """Each query's best of a shard; columns vec_id and v."""
+    found = []
+    if q.num_rows and c.num_rows:
+        q, c = q.combine_chunks(), c.sort_by("vec_id").combine_chunks()
+        own, width = q.column("vec_id").to_numpy(), len(q.column("v")[0])
+        step = max(1, min(TILE // q.num_rows, c.num_rows))
+        queries = _quantised(q.column("v").combine_chunks(), width)
+        for at in range(0, c.num_rows, step):
+            tile = c.slice(at, step)
+            ids = tile.column("vec_id").to_numpy()
+            scores = _products(queries, _quantised(tile.column("v").combine_chunks(), width))
+            row, col = _best(scores, ids, own, k)
+            found.append((row, ids[col], scores[row, col]))
+    row, ids, scores = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((ids, ~scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, ids, scores = row[rank < k], ids[rank < k], scores[rank < k]
+    return pa.table({"query_id": pa.array(own[row] if found else row, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
 
 
 def _merged(lists: DataFrame, k: int, *keys: str | Column) -> DataFrame:
@@ -91,19 +96,15 @@ def _merged(lists: DataFrame, k: int, *keys: str | Column) -> DataFrame:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors other than itself."""
-    queries, candidates = usable(queries, vector), usable(vectors, vector)
-    empty = candidates.sparkSession.createDataFrame([], SCHEMA)
-    parts = []
-    for width, n in sorted((r[0], r[1]) for r in queries.groupBy(F.size("v")).count().collect()):
-        blocks = max(1, -(-n * (8 * width + 8) // BLOCK_BYTES))
-        for i in range(blocks):
-            mine = queries.filter((F.size("v") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).toArrow()
-            if mine.num_rows:
-                mine = mine.combine_chunks()
-                parts.append(_block(candidates, mine.column(0).to_numpy(), _quantised(mine.column(1).combine_chunks(), width), k))
-    lists = empty
-    for p in parts:
-        lists = lists.unionByName(p)
-    lists = lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if len(parts) > 1 else lists.distinct()
+    sides = [usable(t, vector).distinct() for t in (queries, vectors)]
+    size = F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))
+    blocks, shards = (max(1, -(-t.agg(size).first()[0] // most)) for t, most in zip((usable(queries, vector), usable(vectors, vector)), (BLOCK_BYTES, SHARD_BYTES)))
+    part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = sides[0].select("vec_id", "v", F.size("v").alias("width"), part(blocks).alias("block"), every(shards).alias("shard"))
+    c = sides[1].select("vec_id", "v", F.size("v").alias("width"), every(blocks).alias("block"), part(shards).alias("shard"))
+    key = ("width", "block", "shard")
+    lists = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, k), SCHEMA)
+    lists = lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     lane = F.pmod(F.xxhash64("vec_id"), F.lit(LANES))
     return _merged(_merged(lists.withColumn("lane", lane), k, "lane"), k).select("query_id", "rank", "vec_id", "score")

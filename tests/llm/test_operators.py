@@ -8,6 +8,7 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -415,6 +416,7 @@ def brute_top(rows, k=5):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(top_k, "TILE", 37)
     monkeypatch.setattr(top_k, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(top_k, "SHARD_BYTES", 9000)
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(400)]
     rows = [(i, rows[3][1] if i % 3 == 0 else v) for i, v in rows] + [(450, [1e30] * 8), (451, None), (452, [1.0, None] * 4), (453, [float("nan")] * 8), (500, [1.0, 2.0]), (501, [1.0, -2.0]), (None, [1.0] * 8)]
@@ -424,6 +426,16 @@ def test_top_k(spark, monkeypatch):
     assert top_k.top_k(v.limit(0), v).collect() == [] and top_k.top_k(v, v.limit(0)).collect() == []
 
 
+def test_tiles_of_a_shard(monkeypatch):
+    rng = np.random.default_rng(17)
+    table = lambda ids: pa.table({"vec_id": pa.array(ids, pa.int64()), "v": pa.array(rng.integers(-2, 3, (len(ids), 3)).astype(float).tolist(), pa.list_(pa.float64()))})
+    q, c = table([3, 50, 900]), table(rng.permutation(200))
+    whole = top_k._search(q, c, 5)
+    monkeypatch.setattr(top_k, "TILE", 40)
+    assert top_k._search(q, c, 5).equals(whole) and whole.num_rows == 15
+    assert top_k._search(q, c.slice(0, 0), 5).num_rows == top_k._search(q.slice(0, 0), c, 5).num_rows == 0
+
+
 def test_top_k_beyond_doubles():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**20, 2.0], [2.0**60, 0.0]])
     assert top_k._products(q, c).tolist() == [[2**60 + 1, 2**60 + 2, 2**63 - 1]]
