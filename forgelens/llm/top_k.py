@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of a block of queries and of a shard of candidates, scores in a tile, lanes of the first merge.
-BLOCK_BYTES, SHARD_BYTES, TILE, LANES = 8 << 20, 16 << 20, 1 << 22, 8
+#: Bytes of a block of queries and of a shard of candidates, shards at least (so that small tables spread too), scores in a tile, lanes of the first merge.
+BLOCK_BYTES, SHARD_BYTES, SHARDS, TILE, LANES = 8 << 20, 16 << 20, 32, 1 << 22, 8
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -97,8 +97,8 @@ def _merged(lists: DataFrame, k: int, *keys: str | Column) -> DataFrame:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors other than itself."""
     sides = [usable(t, vector).distinct() for t in (queries, vectors)]
-    size = F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))
-    blocks, shards = (max(1, -(-t.agg(size).first()[0] // most)) for t, most in zip((usable(queries, vector), usable(vectors, vector)), (BLOCK_BYTES, SHARD_BYTES)))
+    size = lambda t: usable(t, vector).agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
+    blocks, shards = max(1, -(-size(queries) // BLOCK_BYTES)), max(SHARDS, -(-size(vectors) // SHARD_BYTES))
     part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = sides[0].select("vec_id", "v", F.size("v").alias("width"), part(blocks).alias("block"), every(shards).alias("shard"))
