@@ -31,6 +31,9 @@ class Config:
     aliases: dict[str, str] = field(default_factory=dict)
     anonymize: bool = True
     scoring: bool = False
+    key: str = ""
+    token_env: str = ""
+    readonly: bool = False
 
     def problems(self) -> list[str]:
         found = []
@@ -45,10 +48,32 @@ class Config:
     def with_alias(self, alias: str, canonical: str) -> Config:
         """Lower-case; a name isn't its own alias."""
         alias, canonical = alias.strip().lower(), canonical.strip().lower()
-        return self if alias == canonical else Config(**self.__dict__ | {"aliases": self.aliases | {alias: canonical}})
+        return self if not alias or alias == canonical else Config(**self.__dict__ | {"aliases": self.aliases | {alias: canonical}})
 
 
-_READERS = {"repos": listed, "excluded": listed, "bot_names": listed, "aliases": mapped, "anonymize": flag, "scoring": flag}
+_READERS = {"repos": listed, "excluded": listed, "bot_names": listed, "aliases": mapped, "anonymize": flag, "scoring": flag, "readonly": flag}
+
+
+def update(path: str, name: str, value: str) -> None:
+    """Sets one value in the file; all other lines stay."""
+    file, line = Path(path), f"{name.upper()}={value}"
+    lines = file.read_text(encoding="utf-8").splitlines() if file.is_file() else []
+    at = [i for i, x in enumerate(lines) if x.partition("=")[0].strip().upper() == name.upper() and not x.startswith("#")]
+    lines = [x for i, x in enumerate(lines) if i not in at[1:]]
+    if at:
+        lines[at[0]] = line
+    else:
+        lines.append(line)
+    file.write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def add_merges(path: str, canonical: str, aliases: list[str]) -> Config:
+    """Notes aliases of an address in the file."""
+    found = load(path)
+    for alias in aliases:
+        found = found.with_alias(alias, canonical)
+    update(path, "aliases", ",".join(f"{a}:{c}" for a, c in found.aliases.items()))
+    return found
 
 
 def load(path: str) -> Config:

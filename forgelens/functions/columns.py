@@ -80,14 +80,14 @@ def is_generic_name(name: Column) -> Column:
     return normalized_name(name).isin(*GENERIC_NAMES)
 
 
-def hmac_pads(key: str) -> tuple[bytes, bytes]:
+def hmac_pads(key: str | bytes) -> tuple[bytes, bytes]:
     """Inner and outer pad; they are as secret as the key and show in query plans."""
-    raw = key.encode()
+    raw = key.encode() if isinstance(key, str) else key
     raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
     return bytes(b ^ 0x36 for b in raw), bytes(b ^ 0x5C for b in raw)
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: str | bytes) -> Column:
     """First 12 hex digits of HMAC-SHA256 of the lower-case stripped value."""
     inner, outer = (F.unhex(F.lit(p.hex())) for p in hmac_pads(key))
     first = F.unhex(F.sha2(F.concat(inner, F.encode(F.lower(stripped(value)), "UTF-8")), 256))

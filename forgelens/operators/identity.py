@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from forgelens.functions.columns import is_bot, is_generic_name, is_known_bot, normalized_name, pseudonym
+from forgelens.functions.columns import is_bot, is_generic_name, is_known_bot, normalized_name, pseudonym, stripped
+from forgelens.sources.files import IdentityFile
 
 IDENTITY_COLUMNS = {"commits": ("author_name", "author_email", "committer_name", "committer_email"), "merge_requests": ("author_name", "author_email")}
 
@@ -22,8 +23,8 @@ def new_bots(developers: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
 
 
 def resolve_aliases(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """aliases: alias, canonical. One hop, without regard to case; a value without an alias stays."""
-    known = aliases.select(F.lower("alias").alias("_alias"), F.col("canonical").alias("_canonical")).dropDuplicates(["_alias"])
+    """aliases: alias, canonical. One hop, without regard to case; a value without an alias stays, and of several canonical ones the least counts."""
+    known = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("canonical").alias("_canonical"))
     joined = rows.join(known, F.lower(F.col(column)) == F.col("_alias"), "left")
     return joined.withColumn(column, F.coalesce("_canonical", column)).drop("_alias", "_canonical")
 
@@ -58,7 +59,7 @@ def duplicate_identities(developers: DataFrame) -> DataFrame:
     The pairs are the result; names that say nothing are left out, so a group has the identities of one name.
     """
     usable = developers.filter(~is_generic_name(F.col("name")) | F.col("name").isNull()).select(
-        "ord", "name", "email", F.lower(F.trim("name")).alias("k1"), F.when(F.col("email").contains("@"), F.lower(F.substring_index("email", "@", 1))).alias("k2"), normalized_name(F.col("name")).alias("k3")
+        "ord", "name", "email", F.lower(stripped(F.col("name"))).alias("k1"), F.when(F.col("email").contains("@"), F.lower(F.substring_index("email", "@", 1))).alias("k2"), normalized_name(F.col("name")).alias("k3")
     )
     found = None
     for rank, (key, reason) in enumerate([("k1", "exact_name_match"), ("k2", "same_local_part"), ("k3", "normalized_name_match")]):
@@ -72,8 +73,8 @@ def duplicate_identities(developers: DataFrame) -> DataFrame:
 
 
 def merged_identities(rows: DataFrame, columns: tuple[str, ...], merges: DataFrame) -> DataFrame:
-    """Old hashes replaced by new ones (merges: old, new) in each of the columns; running it again changes nothing."""
-    known = merges.select(F.col("old").alias("_old"), F.col("new").alias("_new")).dropDuplicates(["_old"])
+    """Old hashes replaced by new ones (merges: old, new; of several new ones the least) in each of the columns; running it again changes nothing."""
+    known = merges.groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
     for c in columns:
         rows = rows.join(known, F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
     return rows
@@ -88,13 +89,15 @@ def merged_counts(rows: DataFrame, columns: tuple[str, ...], merges: DataFrame)
     return out
 
 
-def apply_merges(warehouse, merges: DataFrame) -> int:
-    """Rewrites the identity columns of the warehouse's tables; the number of values that changed."""
+def apply_merges(warehouse, merges: DataFrame, people: IdentityFile | None = None) -> int:
+    """Rewrites the identity columns of the warehouse's tables and notes the merges in the file of people; the number of values that changed."""
     changed = 0
     for table, columns in IDENTITY_COLUMNS.items():
         rows = warehouse.table(table)
         changed += merged_counts(rows, columns, merges).agg(F.sum("n_changed")).first()[0]
         warehouse.replace(table, merged_identities(rows, columns, merges).select(*rows.columns))
+    if people is not None:  # merges are made by hand, a few at a time
+        people.merged({r[0]: r[1] for r in merges.groupBy("old").agg(F.min("new")).collect()}, {})
     return changed
 
 

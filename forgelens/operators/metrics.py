@@ -13,7 +13,7 @@ from forgelens.functions.columns import days_between, month_of, pct_change, roun
 
 @dataclass(frozen=True)
 class Filters:
-    """since <= date < until; repositories by path or id (none: all); excluded e-mails, exactly as written."""
+    """since <= date < until; repositories by path (none: all); excluded e-mails, exactly as written."""
 
     since: str
     until: str
@@ -28,7 +28,7 @@ class Filters:
         """Repositories and people of commits."""
         out = F.lit(True)
         if self.repos:
-            out = F.col("project_path").isin(*self.repos) | F.col("project_id").isin(*self.repos)
+            out = F.col("project_path").isin(*self.repos)
         return out & ~F.col("author_email").isin(*self.excluded) if self.excluded else out
 
     def commits(self, commits: DataFrame) -> DataFrame:
@@ -72,8 +72,6 @@ def _score() -> Column:
     return rounded(F.coalesce(F.avg("weighted_score"), F.lit(0.0)), 3).alias("avg_weighted_score")
 
 
-
-
 def monthly_trends(commits: DataFrame, scores: DataFrame | None, filters: Filters) -> DataFrame:
     """By month; with scores productivity, else lines."""
     rows = filters.commits(commits)

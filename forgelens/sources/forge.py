@@ -44,6 +44,15 @@ def _conform(rows: DataFrame, table: str, at: Column | None = None) -> DataFrame
     return rows.select([(F.col(f.name) if f.name in have else now if f.name == "extracted_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(table)])
 
 
+def _column(value: str | Column) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def _last(path: str | Column) -> Column:
+    """A path's last segment."""
+    return F.element_at(F.split(_column(path), "/"), -1)
+
+
 def first_line(text: Column, limit: int) -> Column:
     return F.substring(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1), 1, limit)
 
@@ -53,10 +62,10 @@ def marked(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n... [truncated]"))).otherwise(text)
 
 
-def github_commits(raw: DataFrame, project_path: str, at: Column | None = None) -> DataFrame:
+def github_commits(raw: DataFrame, project_path: str | Column, at: Column | None = None) -> DataFrame:
     who, by = F.col("commit.author"), F.col("commit.committer")
     rows = raw.select(
-        F.col("sha").alias("commit_sha"), F.lit(project_path).alias("project_id"), F.lit(project_path.rsplit("/", 1)[-1]).alias("project_name"), F.lit(project_path).alias("project_path"),
+        F.col("sha").alias("commit_sha"), _column(project_path).alias("project_id"), _last(project_path).alias("project_name"), _column(project_path).alias("project_path"),
         who["name"].alias("author_name"), who["email"].alias("author_email"), by["name"].alias("committer_name"), by["email"].alias("committer_email"),
         utc_timestamp(who["date"]).alias("authored_date"), utc_timestamp(by["date"]).alias("committed_date"), utc_timestamp(who["date"]).alias("created_at"), F.col("branch").alias("branch_name"),
         first_line(F.col("commit.message"), 255).alias("title"), F.substring("commit.message", 1, 5000).alias("message"), F.col("stats.additions").alias("additions"),
@@ -65,10 +74,10 @@ def github_commits(raw: DataFrame, project_path: str, at: Column | None = None)
     return _conform(rows, "commits", at)
 
 
-def gitlab_commits(raw: DataFrame, project_id: str, project_path: str, at: Column | None = None) -> DataFrame:
+def gitlab_commits(raw: DataFrame, project_id: str | Column, project_path: str | Column, at: Column | None = None) -> DataFrame:
     """Commits with a diff only."""
     rows = raw.filter(F.size("diffs") > 0).select(
-        F.col("id").alias("commit_sha"), F.lit(project_id).alias("project_id"), F.lit(project_path.rsplit("/", 1)[-1]).alias("project_name"), F.lit(project_path).alias("project_path"),
+        F.col("id").alias("commit_sha"), _column(project_id).alias("project_id"), _last(project_path).alias("project_name"), _column(project_path).alias("project_path"),
         "author_name", "author_email", "committer_name", "committer_email", *[utc_timestamp(F.col(c)).alias(c) for c in ("authored_date", "committed_date", "created_at")], F.col("branch").alias("branch_name"),
         F.substring("title", 1, 1000).alias("title"), F.substring("message", 1, 5000).alias("message"), F.col("stats.additions").alias("additions"), F.col("stats.deletions").alias("deletions"),
         F.col("stats.total").alias("total_changes"), F.array_join("parent_ids", ",").alias("parent_ids"), "web_url",
@@ -95,9 +104,9 @@ def merge_state(merged_at: Column, state: Column) -> Column:
     return F.when(merged_at.isNotNull(), "merged").when(state == "closed", "closed").otherwise("opened")
 
 
-def github_merge_requests(raw: DataFrame, project_path: str, at: Column | None = None) -> DataFrame:
+def github_merge_requests(raw: DataFrame, project_path: str | Column, at: Column | None = None) -> DataFrame:
     rows = raw.select(
-        F.col("id").cast("string").alias("mr_id"), F.col("number").cast("string").alias("mr_iid"), F.lit(project_path).alias("project_id"), F.lit(project_path.rsplit("/", 1)[-1]).alias("project_name"),
+        F.col("id").cast("string").alias("mr_id"), F.col("number").cast("string").alias("mr_iid"), _column(project_path).alias("project_id"), _last(project_path).alias("project_name"),
         F.substring("title", 1, 1000).alias("title"), F.substring("body", 1, 5000).alias("description"), merge_state(F.col("merged_at"), F.col("state")).alias("state"), F.col("user.login").alias("author_name"),
         F.lit("").alias("author_email"), *[utc_timestamp(F.col(c)).alias(c) for c in ("created_at", "updated_at", "merged_at", "closed_at")], F.col("head.ref").alias("source_branch"),
         F.col("base.ref").alias("target_branch"), "additions", "deletions", F.col("html_url").alias("web_url"),
@@ -105,19 +114,19 @@ def github_merge_requests(raw: DataFrame, project_path: str, at: Column | None =
     return _conform(rows, "merge_requests", at)
 
 
-def gitlab_merge_requests(raw: DataFrame, project_id: str, project_path: str, at: Column | None = None) -> DataFrame:
+def gitlab_merge_requests(raw: DataFrame, project_id: str | Column, project_path: str | Column, at: Column | None = None) -> DataFrame:
     rows = raw.select(
-        F.col("id").cast("string").alias("mr_id"), F.col("iid").cast("string").alias("mr_iid"), F.lit(project_id).alias("project_id"), F.lit(project_path.rsplit("/", 1)[-1]).alias("project_name"),
+        F.col("id").cast("string").alias("mr_id"), F.col("iid").cast("string").alias("mr_iid"), _column(project_id).alias("project_id"), _last(project_path).alias("project_name"),
         F.substring("title", 1, 1000).alias("title"), F.substring("description", 1, 5000).alias("description"), "state", F.col("author.name").alias("author_name"), F.col("author.email").alias("author_email"),
         *[utc_timestamp(F.col(c)).alias(c) for c in ("created_at", "updated_at", "merged_at", "closed_at")], "source_branch", "target_branch", "web_url",
     )
     return _conform(rows, "merge_requests", at)
 
 
-def merge_links(raw: DataFrame, project_id: str, number: str = "number", sha: str = "sha", at: Column | None = None) -> DataFrame:
+def merge_links(raw: DataFrame, project_id: str | Column, number: str = "number", sha: str = "sha", at: Column | None = None) -> DataFrame:
     """One row for each commit of each merge request."""
     rows = raw.select(F.col("id").cast("string").alias("mr_id"), F.col(number).cast("string").alias("mr_iid"), F.explode("commits").alias("c"))
-    return _conform(rows.select("mr_id", "mr_iid", F.col(f"c.{sha}").alias("commit_sha"), F.lit(project_id).alias("project_id")), "mr_commits", at)
+    return _conform(rows.select("mr_id", "mr_iid", F.col(f"c.{sha}").alias("commit_sha"), _column(project_id).alias("project_id")), "mr_commits", at)
 
 
 def first_branch_wins(stubs: DataFrame, key: str = "commit_sha", order: tuple[str, ...] = ("branch_ord", "pos")) -> DataFrame:

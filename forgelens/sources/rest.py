@@ -16,11 +16,41 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Transport = Callable[[str, dict], tuple[int, dict, str]]
 ATTEMPTS, PAGE, LOW_QUOTA = 5, 100, 100
 
+# Seconds between two requests with one token, by provider (5000 an hour, 1800 a minute), and the quota's headers.
+SPACING = {"github": 0.72, "gitlab": 0.033}
+QUOTA = {"remaining": ("x-ratelimit-remaining", "ratelimit-remaining"), "reset": ("x-ratelimit-reset", "ratelimit-reset")}
+
+
+class Spaced:
+    """A transport whose requests begin at least so many seconds after one another."""
+
+    def __init__(self, transport: Transport, seconds: float, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic):
+        self.transport, self.seconds, self.sleep, self.now, self.next = transport, seconds, sleep, now, 0.0
+
+    def __call__(self, url: str, headers: dict) -> tuple[int, dict, str]:
+        early = self.next - self.now()
+        if early > 0:
+            self.sleep(early)
+        self.next = self.now() + self.seconds
+        return self.transport(url, headers)
+
+
+def _number(headers: dict, what: str) -> float | None:
+    for name in QUOTA[what]:
+        try:
+            return float(headers[name])
+        except (KeyError, ValueError):
+            continue
+    return None
+
 
 def http(url: str, headers: dict) -> tuple[int, dict, str]:
     try:
@@ -41,20 +71,21 @@ def fetch(url: str, headers: dict, transport: Transport, sleep: Callable[[float]
         if status in (404, 409):
             return None
         if status < 400:
-            if int(got.get("x-ratelimit-remaining", LOW_QUOTA)) < LOW_QUOTA and "x-ratelimit-reset" in got:
-                sleep(max(0.0, float(got["x-ratelimit-reset"]) - now()))
+            left, reset = _number(got, "remaining"), _number(got, "reset")
+            if left is not None and left < LOW_QUOTA and reset is not None:
+                sleep(max(0.0, reset - now()))
             return got, body
         if status == 429:
             sleep(float(got.get("retry-after", 60)))
-        elif status == 403 and "x-ratelimit-reset" in got:
-            sleep(max(0.0, float(got["x-ratelimit-reset"]) - now()))
+        elif status == 403 and _number(got, "reset") is not None:
+            sleep(max(0.0, _number(got, "reset") - now()))
         else:
             sleep(2**attempt)
     raise RuntimeError(f"no answer from {url} after {ATTEMPTS} attempts")
 
 
 def pages(url: str, headers: dict, transport: Transport, **waits: Callable) -> Iterator[list]:
-    """All pages: by the link to the next, by X-Next-Page, or until one is short."""
+    """All pages (a single object counts as a page of one): by the link to the next, by X-Next-Page, or until one is short."""
     page = 1
     join = "&" if "?" in url else "?"
     following: str | None = f"{url}{join}per_page={PAGE}&page=1"
@@ -64,6 +95,9 @@ def pages(url: str, headers: dict, transport: Transport, **waits: Callable) -> I
             return
         got, body = found
         rows = json.loads(body)
+        if isinstance(rows, dict):  # one object instead of a list
+            yield [rows]
+            return
         yield rows
         link = re.search(r'<([^>]+)>;\s*rel="next"', got.get("link", ""))
         if link:
@@ -75,6 +109,42 @@ def pages(url: str, headers: dict, transport: Transport, **waits: Callable) -> I
             following = None
 
 
+def transport_of(name: str, seconds: float = 0.0) -> Transport:
+    """module:function, or the network's own; with at least so many seconds between requests."""
+    module, _, attribute = name.partition(":")
+    found = getattr(importlib.import_module(module), attribute) if module else http
+    return Spaced(found, seconds) if seconds else found
+
+
+def headers_of(token_env: str) -> dict[str, str]:
+    token = os.environ.get(token_env, "") if token_env else ""
+    return {"Authorization": f"Bearer {token}"} if token else {}
+
+
+def fetched(asked: DataFrame, base_url: str, token_env: str = "", transport: str = "", tasks: int = 8, seconds: float = 0.0) -> DataFrame:
+    """The columns of asked but path, with pos and body of each object below its path. Write the result before reading it twice: each reading asks again.
+
+    tasks bounds the calls at a time; each task waits tasks times the seconds between two, so that the token's quota holds.
+    """
+    keep = [c for c in asked.columns if c != "path"]
+    at, schema = asked.columns.index("path"), T.StructType([*[asked.schema[c] for c in keep], T.StructField("pos", T.IntegerType()), T.StructField("body", T.StringType())])
+    base = base_url.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, headers = transport_of(transport, seconds * tasks), headers_of(token_env)
+        for b in batches:
+            of, pos, bodies = [], [], []
+            for i, path in enumerate(b.column(at).to_pylist()):
+                rows = [row for page in pages(base + path, headers, ask) for row in page]
+                of += [i] * len(rows)
+                pos += range(len(rows))
+                bodies += map(json.dumps, rows)
+            kept = b.select(keep).take(pa.array(of, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pos, pa.int32()), pa.array(bodies, pa.string())], names=[*keep, "pos", "body"])
+
+    return asked.repartition(tasks).mapInArrow(run, schema)
+
+
 class Repo(InputPartition):
     def __init__(self, repo: str):
         super().__init__(repo)
@@ -90,10 +160,7 @@ class ForgeReader(DataSourceReader):
 
     def read(self, partition: Repo) -> Iterator[tuple]:
         o = self.options
-        module, _, name = o.get("transport", "").partition(":")
-        transport = getattr(importlib.import_module(module), name) if module else http
-        token = os.environ.get(o.get("token_env", ""), "")
-        headers = {"Authorization": f"Bearer {token}"} if token else {}
+        transport, headers = transport_of(o.get("transport", ""), float(o.get("seconds", 0))), headers_of(o.get("token_env", ""))
         url = o["base_url"].rstrip("/") + o.get("path", "/repos/{repo}/commits").replace("{repo}", partition.repo)
         at = 0
         for rows in pages(url, headers, transport):

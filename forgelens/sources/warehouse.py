@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgelens.config import Config
 from forgelens.schemas import SCHEMAS, schema_of
 
 
@@ -89,6 +90,13 @@ class Warehouse:
         return self.table(name).count()
 
 
+def open_warehouse(spark: SparkSession, config: Config) -> Warehouse:
+    """The warehouse that the settings name."""
+    if not config.warehouse:
+        raise ValueError("the settings name no warehouse")
+    return Warehouse(spark, config.warehouse, readonly=config.readonly)
+
+
 def existing_shas(commits: DataFrame) -> DataFrame:
     return commits.select("commit_sha").distinct()
 
