@@ -11,6 +11,9 @@ from forgelens.sources.files import IdentityFile
 
 IDENTITY_COLUMNS = {"commits": ("author_name", "author_email", "committer_name", "committer_email"), "merge_requests": ("author_name", "author_email")}
 
+# Why two identities may be one person.
+REASONS = ("exact_name_match", "same_local_part", "normalized_name_match")
+
 
 def detected_bots(developers: DataFrame, more_names: tuple[str, ...] = ()) -> DataFrame:
     return developers.filter(is_known_bot(F.col("name"), F.col("email"), more_names))
@@ -56,13 +59,13 @@ def deanonymized(rows: DataFrame, known: DataFrame) -> DataFrame:
 def duplicate_identities(developers: DataFrame) -> DataFrame:
     """Pairs that may be one person (a comes before b by ord): same name, else same local part, else same normalised name; one row for each pair of e-mails.
 
-    The pairs are the result; names that say nothing are left out, so a group has the identities of one name.
+    The pairs are the result, as many as the squares of the groups; identity_groups tells the same in as many rows as there are identities.
     """
     usable = developers.filter(~is_generic_name(F.col("name")) | F.col("name").isNull()).select(
         "ord", "name", "email", F.lower(stripped(F.col("name"))).alias("k1"), F.when(F.col("email").contains("@"), F.lower(F.substring_index("email", "@", 1))).alias("k2"), normalized_name(F.col("name")).alias("k3")
     )
     found = None
-    for rank, (key, reason) in enumerate([("k1", "exact_name_match"), ("k2", "same_local_part"), ("k3", "normalized_name_match")]):
+    for rank, (key, reason) in enumerate(zip(("k1", "k2", "k3"), REASONS)):
         side = lambda s: usable.filter(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).alias("k"), *[F.col(c).alias(f"{c}_{s}") for c in ("ord", "name", "email")])  # noqa: B023, E731
         pairs = side("a").join(side("b"), "k").filter((F.col("ord_a") < F.col("ord_b")) & (F.lower("email_a") != F.lower("email_b")))
         pairs = pairs.withColumns({"rank": F.lit(rank), "reason": F.lit(reason)}).drop("k")
@@ -72,6 +75,16 @@ def duplicate_identities(developers: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("name_a", "email_a", "name_b", "email_b", "reason")
 
 
+def identity_groups(developers: DataFrame) -> DataFrame:
+    """What duplicate_identities links, without its pairs: each identity but the first (by ord) of those that share a name, local part or normalised name, with that first one and the group's size. As many rows at most as identities and reasons."""
+    name, email = F.col("name"), F.col("email")
+    keys = [F.lower(stripped(name)), F.when(email.contains("@"), F.lower(F.substring_index(email, "@", 1))), normalized_name(name)]
+    kinds = F.array(*[F.struct(F.lit(reason).alias("reason"), k.alias("k")) for reason, k in zip(REASONS, keys)])
+    rows = developers.filter(~is_generic_name(name) | name.isNull()).select("ord", "name", "email", F.inline(kinds)).filter("k <> ''")
+    first = rows.groupBy("reason", "k").agg(F.min("ord").alias("first"), F.min_by("name", "ord").alias("first_name"), F.min_by("email", "ord").alias("first_email"), F.count("*").alias("size")).filter("size > 1")
+    return rows.join(first, ["reason", "k"]).filter("ord <> first").select("name", "email", "first_name", "first_email", "reason", "size")
+
+
 def merged_identities(rows: DataFrame, columns: tuple[str, ...], merges: DataFrame) -> DataFrame:
     """Old hashes replaced by new ones (merges: old, new; of several new ones the least) in each of the columns; running it again changes nothing."""
     known = merges.groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
@@ -89,15 +102,15 @@ def merged_counts(rows: DataFrame, columns: tuple[str, ...], merges: DataFrame)
     return out
 
 
-def apply_merges(warehouse, merges: DataFrame, people: IdentityFile | None = None) -> int:
-    """Rewrites the identity columns of the warehouse's tables and notes the merges in the file of people; the number of values that changed."""
+def apply_merges(warehouse, merges: DataFrame, people: IdentityFile | None = None, canonical: dict[str, tuple[str | None, str | None]] | None = None) -> int:
+    """Rewrites the identity columns of the warehouse's tables and notes the merges in the file of people (canonical: who the new pseudonyms are); the number of values that changed."""
     changed = 0
     for table, columns in IDENTITY_COLUMNS.items():
         rows = warehouse.table(table)
         changed += merged_counts(rows, columns, merges).agg(F.sum("n_changed")).first()[0]
         warehouse.replace(table, merged_identities(rows, columns, merges).select(*rows.columns))
     if people is not None:  # merges are made by hand, a few at a time
-        people.merged({r[0]: r[1] for r in merges.groupBy("old").agg(F.min("new")).collect()}, {})
+        people.merged({r[0]: r[1] for r in merges.groupBy("old").agg(F.min("new")).collect()}, canonical or {})
     return changed
 
 

@@ -104,9 +104,9 @@ def author_productivity(commits: DataFrame, scores: DataFrame | None, filters: F
     by_author = [F.asc_nulls_last("author_email"), F.asc_nulls_last("author_name")]
     if scores is None:
         return rows.groupBy("author_name", "author_email").agg(_commits(), _lines()).orderBy(F.desc_nulls_last("total_lines_changed"), *by_author).limit(limit)
-    scored = _with_scores(rows, scores.withColumn("_scored", F.lit(True)))
-    best = scored.groupBy("author_name", "author_email").agg(_commits(), _productivity(), _score()).orderBy(F.desc("total_productivity"), *by_author).limit(limit)
-    found = rows.join(scores.select("commit_sha", "overall_category"), "commit_sha").groupBy("author_email", "overall_category").agg(F.count("*").alias("n"))
+    best = _with_scores(rows, scores).groupBy("author_name", "author_email").agg(_commits(), _productivity(), _score()).orderBy(F.desc("total_productivity"), *by_author).limit(limit)
+    theirs = rows.join(F.broadcast(best.select("author_email").distinct()), "author_email", "left_semi")  # at most limit addresses
+    found = theirs.join(scores.select("commit_sha", "overall_category"), "commit_sha").groupBy("author_email", "overall_category").agg(F.count("*").alias("n"))
     first = Window.partitionBy("author_email").orderBy(F.desc("n"), F.asc_nulls_last("overall_category"))
     top = found.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("author_email", "overall_category")
     with_top = best.join(top, "author_email", "left").withColumn("top_category", F.coalesce("overall_category", F.lit("-")))
@@ -136,14 +136,34 @@ def category_distribution(commits: DataFrame, scores: DataFrame, filters: Filter
     return found.crossJoin(F.broadcast(total)).select("category", "commit_count", share, "avg_score").orderBy(F.desc("commit_count"), F.asc_nulls_last("category"))
 
 
+def _like_pairs(projects: DataFrame, names: DataFrame) -> DataFrame:
+    """(project_id, project_name) where the id is LIKE "%" and the name: by equal endings, and for names with "_" by the ending's length, first and last character. Names with "%" or "\\", which no forge allows, are tried on each project."""
+    name = F.col("project_name")
+    ends = projects.select("project_id", F.explode(F.sequence(F.lit(1), F.length("project_id"))).alias("n")).withColumn("end", F.expr("right(project_id, n)")).filter("project_id <> ''")
+    plain = ends.join(names.filter(~name.rlike(r"[%_\\]")), F.col("end") == name)
+    edges = F.explode(F.array_distinct(F.array(*[F.concat(a, b) for a in (F.left("end", F.lit(1)), F.lit("_")) for b in (F.right("end", F.lit(1)), F.lit("_"))])))
+    holes = names.filter(name.contains("_") & ~name.rlike(r"[%\\]")).select("project_name", F.length(name).alias("n"), F.concat(F.left(name, F.lit(1)), F.right(name, F.lit(1))).alias("edge"))
+    open_ = ends.withColumn("edge", edges).join(holes, ["n", "edge"]).filter(F.expr("end LIKE project_name"))
+    odd = projects.join(names.filter(name.rlike(r"[%\\]") | (name == "")), F.expr("project_id LIKE concat('%', project_name)"))
+    return plain.select("project_id", "project_name").unionByName(open_.select("project_id", "project_name")).unionByName(odd.select("project_id", "project_name"))
+
+
+def _held(links: DataFrame, merged: DataFrame, strict: bool) -> DataFrame:
+    """commit_sha of links to merged requests. Every join is by number and project, so numbers that all projects have meet in no group."""
+    if strict:
+        by_id = links.join(merged.select("mr_iid", F.col("mr_project").alias("project_id")).distinct(), ["mr_iid", "project_id"], "left_semi")
+        last = links.withColumn("project_name", F.element_at(F.split("project_id", "/"), -1))
+        by_name = last.join(merged.select("mr_iid", "project_name").distinct(), ["mr_iid", "project_name"], "left_semi")
+        return by_id.select("commit_sha").unionByName(by_name.select("commit_sha")).distinct()
+    pairs = _like_pairs(links.select("project_id").distinct(), merged.select("project_name").distinct())
+    named = merged.select("mr_iid", "project_name").distinct().join(pairs, "project_name").select("mr_iid", "project_id").distinct()
+    return links.join(named, ["mr_iid", "project_id"], "left_semi").select("commit_sha").distinct()
+
+
 def code_efficiency(commits: DataFrame, requests: DataFrame, links: DataFrame, filters: Filters, strict: bool = False) -> DataFrame:
     """Additions of commits that a merged request holds. Not strict: a project matches by LIKE on the end of its id; strict: by id, or the whole last segment."""
     merged = requests.filter("state = 'merged'").select("mr_iid", "project_name", F.col("project_id").alias("mr_project"))
-    if strict:
-        same = (F.col("project_id") == F.col("mr_project")) | (F.element_at(F.split("project_id", "/"), -1) == F.col("project_name"))
-    else:
-        same = F.expr("project_id LIKE concat('%', project_name)")
-    held = links.join(merged, "mr_iid").filter(same).select("commit_sha", F.lit(True).alias("held")).distinct()
+    held = _held(links, merged, strict).withColumn("held", F.lit(True))
     rows = filters.commits(commits).select("commit_sha", "authored_date", "additions").join(held, "commit_sha", "left")
     all_, kept = F.sum("additions"), F.sum(F.when(F.col("held"), F.col("additions")).otherwise(0))
     share = rounded(kept * F.lit(100.0) / F.nullif(all_, F.lit(0)), 1)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from forgelens.functions.columns import auto_score, capped_score, parsed_reply, truncated, valid_category
+from forgelens.sources.warehouse import Warehouse
 
 #: Diff lengths that a scorer is given, from the first attempt to the last.
 ATTEMPTS = (10_000, 2_000, 1_000)
@@ -33,33 +38,59 @@ def commit_bundles(commits: DataFrame, diffs: DataFrame) -> DataFrame:
 
 def prompts(bundles: DataFrame, attempt: int = 0) -> DataFrame:
     """commit_sha and the text for a scorer: title, message, files with line counts, and diffs of files without a fixed score."""
-    limit = ATTEMPTS[min(attempt, len(ATTEMPTS) - 1)]
-    listed = F.transform("files", lambda f: F.concat(F.lit("- "), f["file_path"], F.lit(" (+"), f["additions"].cast("string"), F.lit("/-"), f["deletions"].cast("string"), F.lit(")")))
+    return bundles.select("commit_sha", _prompt(ATTEMPTS[min(attempt, len(ATTEMPTS) - 1)]).alias("prompt"))
+
+
+def _prompt(limit: int) -> Column:
+    """With diffs of at most so many characters; every file stays in the list."""
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("string")
+    listed = F.transform("files", lambda f: F.concat(F.lit("- "), f["file_path"], F.lit(" (+"), count(f["additions"]), F.lit("/-"), count(f["deletions"]), F.lit(")")))
     shown = F.transform(F.filter("files", lambda f: auto_score(f["file_path"]).isNull()), lambda f: F.concat(F.lit("### "), f["file_path"], F.lit("\n"), truncated(f["diff"], limit)))
-    message = F.concat(F.lit("Message: "), F.substring(F.coalesce("message", F.lit("")), 1, 500))
-    return bundles.select("commit_sha", F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), message, F.lit("Files:"), F.array_join(listed, "\n"), F.array_join(shown, "\n")).alias("prompt"))
+    message = F.concat(F.lit("Message: "), F.substring(F.coalesce("message", "title", F.lit("")), 1, 500))
+    return F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), message, F.lit("Files:"), F.array_join(listed, "\n"), F.array_join(shown, "\n"))
+
+
+class RateLimited(Exception):
+    """What a scorer raises when it was asked too often."""
+
 
+def ask(scorer: Callable[[str], str], attempts: list[str], sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """The first reply that holds a list of files, from the longest prompt to the shortest; None after the last. A scorer that was asked too often gets 2, 4, 8 s."""
+    for i, prompt in enumerate(attempts):
+        try:
+            reply = scorer(prompt)
+            if has_files(reply):
+                return reply
+        except RateLimited:
+            sleep(2.0 * 2**i)
+            continue
+        except Exception:  # noqa: BLE001, S110 - whatever a client raises, the next attempt is shorter
+            pass
+        if i + 1 < len(attempts):
+            sleep(0.5)
+    return None
 
-def scored_by(asked: DataFrame, scorer: Callable[[str], str], tasks: int = 8) -> DataFrame:
-    """commit_sha and a scorer's reply to each prompt, null after the last failed attempt. Write the result before reading it twice: each reading asks again.
+
+def has_files(reply: str | None) -> bool:
+    """Whether there is an object with files, in code fences or amid other text; columns.parsed_reply reads it."""
+    found = re.search(r"\{.*\}", reply or "", re.DOTALL)
+    try:
+        return bool(found) and isinstance(json.loads(found[0]).get("files"), list)
+    except ValueError:
+        return False
+
+
+def scored_by(bundles: DataFrame, scorer: Callable[[str], str], tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """commit_sha and a scorer's reply to each bundle, null after the last failed attempt. Write the result before reading it twice: each reading asks again.
 
     tasks bounds the calls at a time; a quota is for all executors together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            replies = []
-            for prompt in b["prompt"]:
-                reply = None
-                for limit in ATTEMPTS:
-                    try:
-                        reply = scorer(prompt if limit == ATTEMPTS[0] else prompt[: 4 * limit])
-                        break
-                    except Exception:  # noqa: BLE001 - whatever a client raises, the next attempt is shorter
-                        reply = None
-                replies.append(reply)
-            yield pd.DataFrame({"commit_sha": b["commit_sha"], "reply": replies})
+            yield pd.DataFrame({"commit_sha": b["commit_sha"], "reply": [ask(scorer, list(x), sleep) for x in b["prompts"]]})
 
+    asked = bundles.select("commit_sha", F.array(*[_prompt(limit) for limit in ATTEMPTS]).alias("prompts"))
     return asked.repartition(tasks).mapInPandas(run, "commit_sha string, reply string")
 
 
@@ -101,6 +132,41 @@ def file_score_rows(scored: DataFrame) -> DataFrame:
     return scored.select("commit_sha", "file_path", F.round("score", 4).alias("score"), "category", F.substring("reasoning", 1, 1000).alias("reasoning"))
 
 
+def commit_score_rows(scored: DataFrame, categories: DataFrame) -> DataFrame:
+    """For the commit_scores table; categories: commit_sha and the reply's overall_category."""
+    overall = categories.groupBy("commit_sha").agg(F.min("overall_category").alias("overall_category"))
+    return commit_productivity(scored).join(overall, "commit_sha", "left").select("commit_sha", "total_productivity", "weighted_score", F.coalesce("overall_category", F.lit("unknown")).alias("overall_category"))
+
+
+def write_scores(warehouse: Warehouse, scored: DataFrame, categories: DataFrame) -> None:
+    """Both score tables; commits that have scores already are left out, so a batch that is tried again adds nothing twice. File scores go first: a commit counts as scored only once all is there."""
+    now = F.current_timestamp().cast("timestamp_ntz").alias("scored_at")
+    old = warehouse.table("commit_scores").select("commit_sha").distinct()
+    new = scored.join(old, "commit_sha", "left_anti")
+    files = file_score_rows(new).join(warehouse.table("file_scores").select("commit_sha").distinct(), "commit_sha", "left_anti")
+    warehouse.insert("file_scores", files.select("*", now))
+    warehouse.insert("commit_scores", commit_score_rows(new, categories).select("*", now))
+
+
+def score_commits(warehouse: Warehouse, scorer: Callable[[str], str] | None = None, excluded: tuple[str, ...] = (), limit: int | None = None, tasks: int = 8) -> int:
+    """Scores the newest commits without a score, by a scorer or by rules; how many were added. Replies are landed first, so that a broken write asks for nothing again."""
+    before = warehouse.count("commit_scores")
+    todo = unscored_commits(warehouse.table("commits"), warehouse.table("commit_scores"), excluded)
+    todo = todo.limit(limit) if limit else todo
+    diffs = warehouse.table("diffs").join(todo.select("commit_sha"), "commit_sha", "left_semi")
+    if scorer is None:
+        rows = rule_scores(diffs).withColumns({"reasoning": F.lit("by rule"), "overall_category": F.col("category")})
+        largest = F.max_by("category", F.struct(F.coalesce("score", F.lit(0.0)), "file_path"))
+        files, categories = rows, rows.groupBy("commit_sha").agg(largest.alias("overall_category"))
+    else:
+        path = f"{warehouse.root}/_landed/replies-{uuid.uuid4().hex}"
+        scored_by(commit_bundles(todo.select("commit_sha", "title", "message"), diffs), scorer, tasks).write.parquet(path)
+        files = reply_files(warehouse.spark.read.parquet(path))
+        categories = files.select("commit_sha", "overall_category").distinct()
+    write_scores(warehouse, scored_files(files, diffs.dropDuplicates(["commit_sha", "file_path"])), categories)
+    return warehouse.count("commit_scores") - before
+
+
 def scoring_summary(scores: DataFrame, scored: DataFrame) -> DataFrame:
     """Number, mean weighted score and total productivity of commits, with all lines."""
     lines = scored.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))

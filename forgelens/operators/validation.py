@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 # Words in the name of a metric that is compared as an integer.
 INTEGER_WORDS = ("count", "commits", "unique_authors", "commit_count", "authors", "merged_count", "total_mrs")
 TOP = 10
-SCHEMA = "metric string, reference string, plugin string, status string, delta double"
+SCHEMA = "metric string, reference string, result string, status string, delta double"
 
 
 def is_integer_metric(metric: Column) -> Column:
@@ -18,44 +19,90 @@ def is_integer_metric(metric: Column) -> Column:
     return F.lower(F.substring_index(metric, ".", -1)).rlike("|".join(INTEGER_WORDS))
 
 
-def status_of(metric: Column, reference: Column, plugin: Column, tolerance: float = 0.01) -> Column:
+def status_of(metric: Column, reference: Column, result: Column, tolerance: float = 0.01) -> Column:
     """PASS if equal, OK within the tolerance, else FAIL; text exactly, integer metrics by their whole part."""
-    a, b = reference.try_cast("double"), plugin.try_cast("double")
+    a, b = reference.try_cast("double"), result.try_cast("double")
     numbers = F.when(is_integer_metric(metric), F.when(a.cast("long") == b.cast("long"), "PASS").otherwise("FAIL")).otherwise(
         F.when(a == b, "PASS").when(F.abs(a - b) <= tolerance, "OK").otherwise("FAIL")
     )
     return (
-        F.when(reference.isNull() & plugin.isNull(), "PASS")
-        .when(reference.isNull() | plugin.isNull(), "FAIL")
+        F.when(reference.isNull() & result.isNull(), "PASS")
+        .when(reference.isNull() | result.isNull(), "FAIL")
         .when(a.isNotNull() & b.isNotNull(), numbers)
-        .otherwise(F.when(reference == plugin, "PASS").otherwise("FAIL"))
+        .otherwise(F.when(reference == result, "PASS").otherwise("FAIL"))
     )
 
 
 def compared(pairs: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """metric, reference, plugin (as text) with status and delta."""
-    metric, a, b = F.col("metric"), F.col("reference"), F.col("plugin")
-    return pairs.select("metric", "reference", "plugin", status_of(metric, a, b, tolerance).alias("status"), F.abs(a.try_cast("double") - b.try_cast("double")).alias("delta"))
+    """metric, reference, result (as text) with status and delta."""
+    metric, a, b = F.col("metric"), F.col("reference"), F.col("result")
+    return pairs.select("metric", "reference", "result", status_of(metric, a, b, tolerance).alias("status"), F.abs(a.try_cast("double") - b.try_cast("double")).alias("delta"))
+
+
+def compare_by_key(reference: DataFrame, result: DataFrame, key: str, metrics: tuple[str, ...], label: str, tolerance: float = 0.01, result_key: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Each metric that the reference has, of each of its rows, against the result's row of the same key (of several the greatest in all columns); rows that the reference lacks are ignored.
+
+    names: what the result calls a metric of the reference.
+    """
+    names, metrics = names or {}, tuple(m for m in metrics if m in reference.columns)
+    called = {m: next((n for n in (names.get(m, m), m) if n in result.columns), None) for m in metrics}
+    ours = result.select(F.col(result_key or key).cast("string").alias("k"), *[(F.col(n).cast("string") if n else F.lit(None).cast("string")).alias(f"p_{m}") for m, n in called.items()])
+    ours = ours.groupBy("k").agg(F.max(F.struct(*[f"p_{m}" for m in metrics])).alias("p")).select("k", "p.*")
+    rows = reference.select(F.col(key).cast("string").alias("k"), *[F.col(m).cast("string").alias(f"r_{m}") for m in metrics]).join(ours, "k", "left")
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{label}["), F.col("k"), F.lit(f"].{m}")).alias("metric"), F.col(f"r_{m}").alias("reference"), F.col(f"p_{m}").alias("result")) for m in metrics]))
+    return compared(rows.select(each.alias("x")).select("x.*"), tolerance)
 
 
-def compare_by_key(reference: DataFrame, plugin: DataFrame, key: str, metrics: tuple[str, ...], label: str, tolerance: float = 0.01) -> DataFrame:
-    """Each metric of each row of the reference against the row of the same key; rows that the reference lacks are ignored."""
-    sides = [t.select(F.col(key).cast("string").alias("k"), *[F.col(m).cast("string").alias(f"{s}_{m}") for m in metrics]) for s, t in (("r", reference), ("p", plugin))]
-    rows = sides[0].join(sides[1], "k", "left")
-    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{label}["), F.col("k"), F.lit(f"].{m}")).alias("metric"), F.col(f"r_{m}").alias("reference"), F.col(f"p_{m}").alias("plugin")) for m in metrics]))
-    return compared(rows.select(each.alias("x")).select("x.*"), tolerance)
+# Metrics that snapshots have, and what results call those that have another name.
+MONTHLY = ("commit_count", "commits", "unique_authors", "total_productivity", "avg_score", "avg_weighted_score")
+CALLED = {"commit_count": "commits", "avg_score": "avg_weighted_score", "count": "commit_count", "percentage": "pct_of_total"}
+
+
+def compare_monthly(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """By the first seven characters of the month."""
+    both = [t.withColumn("month", F.substring(F.col("month").cast("string"), 1, 7)) for t in (reference, result)]
+    return compare_by_key(*both, "month", MONTHLY, "monthly_trends", tolerance, names=CALLED)
+
+
+def compare_authors(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """The ranking, then commits and productivity of each author of the reference, who is named by author_email or author."""
+    key = "author_email" if "author_email" in reference.columns else "author"
+    by = "total_productivity" if {"total_productivity"} <= {*reference.columns} & {*result.columns} else "commits"
+    theirs = reference.select(F.col(key).alias("author_email"), F.col(by).try_cast("double").alias(by) if dict(reference.dtypes)[by] == "string" else F.col(by).cast("double").alias(by))
+    ranked = compare_ranking(theirs, result.select("author_email", F.col(by).cast("double").alias(by)), "author_email", by)
+    first = ranked.select(F.lit("author_ranking").alias("metric"), F.lit(None).cast("string").alias("reference"), F.lit(None).cast("string").alias("result"), "status", F.lit(None).cast("double").alias("delta"))
+    return first.unionByName(compare_by_key(reference, result, key, ("commits", "total_productivity"), "author", tolerance, result_key="author_email"))
+
+
+def compare_categories(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    return compare_by_key(reference, result, "category", ("count", "percentage", "commit_count", "pct_of_total"), "category", tolerance, names=CALLED)
 
 
-def compare_ranking(reference: DataFrame, plugin: DataFrame, name: str, by: str) -> DataFrame:
+COMPARERS = {"monthly_trends": compare_monthly, "author_productivity": compare_authors, "category_distribution": compare_categories}
+
+
+def validate(snapshot: dict[str, DataFrame], results: dict[str, DataFrame], tolerance: float = 0.01) -> DataFrame | None:
+    """All datasets that both have; None if there are none."""
+    found = [COMPARERS[k](snapshot[k], results[k], tolerance) for k in COMPARERS if k in snapshot and results.get(k) is not None]
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def verdict(results: DataFrame) -> tuple[str, int]:
+    """The line of counts, and 1 if anything failed, else 0."""
+    n = {r["status"]: r["n"] for r in summary(results).collect()}
+    return f"Validation: {n.get('PASS', 0)} PASS, {n.get('OK', 0)} OK, {n.get('FAIL', 0)} FAIL", int("FAIL" in n)
+
+
+def compare_ranking(reference: DataFrame, result: DataFrame, name: str, by: str) -> DataFrame:
     """Whether the first names by a measure are the same, in order: TOP, or as many as the shorter side has."""
     lists = []
-    for side, t in (("reference", reference), ("plugin", plugin)):
+    for side, t in (("reference", reference), ("result", result)):
         top = t.select(name, by).orderBy(F.desc(by), F.asc_nulls_last(name)).limit(TOP)
         listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col(by)).alias("o"), F.coalesce(name, F.lit("~")).alias("n")))), lambda x: x["n"])
         lists.append(top.agg(listed.alias(side)))
-    both = lists[0].crossJoin(lists[1]).withColumn("n", F.least(F.size("reference"), F.size("plugin")))
-    cut = {s: F.array_join(F.slice(s, 1, F.greatest("n", F.lit(1))), ",") for s in ("reference", "plugin")}
-    return both.select(F.lit("ranking").alias("metric"), F.when(cut["reference"] == cut["plugin"], "PASS").otherwise("FAIL").alias("status"), F.col("n").cast("long").alias("n_compared"))
+    both = lists[0].crossJoin(lists[1]).withColumn("n", F.least(F.size("reference"), F.size("result")))
+    cut = {s: F.array_join(F.slice(s, 1, F.greatest("n", F.lit(1))), ",") for s in ("reference", "result")}
+    return both.select(F.lit("ranking").alias("metric"), F.when(cut["reference"] == cut["result"], "PASS").otherwise("FAIL").alias("status"), F.col("n").cast("long").alias("n_compared"))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -86,6 +133,15 @@ def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raise ValueError(f"a snapshot is .json or .csv, not {path}")
 
 
+def period_of(path: str) -> tuple[str, str] | None:
+    """The period that a JSON snapshot is of."""
+    if not path.endswith(".json"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("period") or {}
+    return (found["since"], found["until"]) if {"since", "until"} <= set(found) else None
+
+
 def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     names = list(dict.fromkeys(k for r in rows for k in r))
     return spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows], ", ".join(f"`{n}` string" for n in names))

@@ -186,6 +186,37 @@ query("diff_flatten", "commits diffs", "SELECT commit_sha, file_path, file_path
     lambda c, d: forge.github_diffs(_github_raw(c, d)).select("commit_sha", "file_path", "old_path", "new_file", "deleted_file", "renamed_file", "additions", "deletions")
 )
 
+_DAY = "yyyy-MM-dd'T'HH:mm:ss"
+
+
+def _gitlab_raw(m: DataFrame) -> DataFrame:
+    text = lambda c: F.concat(F.date_format(c, _DAY), F.lit(".000Z")).alias(c)
+    return m.select(F.col("mr_id").cast("long").alias("id"), F.col("mr_iid").cast("long").alias("iid"), F.concat(F.lit("T"), "mr_id").alias("title"), F.lit(None).cast("string").alias("description"), "state",
+                    F.struct(F.lit("n").alias("name"), F.col("author_email").alias("email")).alias("author"), text("created_at"), F.lit("soon").alias("updated_at"), text("merged_at"), F.lit(None).cast("string").alias("closed_at"),
+                    F.lit("s").alias("source_branch"), F.lit("t").alias("target_branch"), F.lit("u").alias("web_url"))
+
+
+query(
+    "gitlab_merge_requests", "merge_requests",
+    "SELECT mr_id, mr_iid, '7' AS project_id, 'repo' AS project_name, 'T' || mr_id AS title, state, 'n' AS author_name, author_email, created_at, NULL::TIMESTAMP AS updated_at, merged_at FROM merge_requests",
+)(lambda m: forge.gitlab_merge_requests(_gitlab_raw(m), "7", "org/repo").select("mr_id", "mr_iid", "project_id", "project_name", "title", "state", "author_name", "author_email", "created_at", "updated_at", "merged_at"))
+query("merge_links", "mr_commits", "SELECT mr_id, mr_iid, commit_sha, 'org/repo' AS project_id FROM mr_commits")(
+    lambda x: forge.merge_links(x.groupBy(F.col("mr_id").cast("long").alias("id"), F.col("mr_iid").cast("long").alias("number")).agg(F.collect_list(F.struct(F.col("commit_sha").alias("sha"))).alias("commits")), "org/repo").drop("extracted_at")
+)
+query(
+    "active_branches", "commits",
+    "SELECT commit_sha AS name, CASE WHEN deletions % 7 <> 0 THEN strftime(authored_date, '%Y-%m-%d') END AS last_commit_date FROM commits WHERE deletions % 7 = 0 OR authored_date >= TIMESTAMP '1998-03-01'",
+)(lambda c: forge.active_branches(c.select(F.col("commit_sha").alias("name"), F.when(F.col("deletions") % 7 != 0, F.date_format("authored_date", "yyyy-MM-dd")).alias("last_commit_date")), "1998-03-01"))
+query("updated_within", "merge_requests", "SELECT mr_id, coalesce(merged_at, created_at) AS updated_at FROM merge_requests WHERE coalesce(merged_at, created_at)::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-01-01'")(
+    lambda m: forge.updated_within(m.select("mr_id", F.coalesce("merged_at", "created_at").alias("updated_at")), "1997-01-01", "1998-01-01")
+)
+query("without_excluded", "commits", "SELECT commit_sha FROM commits WHERE coalesce(author_email, '') <> 'dev5@corp.example' AND author_name NOT IN ('dev5@corp.example', 'dev9')")(
+    lambda c: forge.without_excluded(c, ("dev5@corp.example", "dev9")).select("commit_sha")
+)
+query("hours_to_merge", "merge_requests", "SELECT mr_id, (epoch_us(merged_at) - epoch_us(created_at)) / 86400e6 * 24 AS hours FROM merge_requests WHERE merged_at IS NOT NULL")(
+    lambda m: m.filter("merged_at is not null").select("mr_id", C.hours_between(F.col("created_at"), F.col("merged_at")).alias("hours"))
+)
+
 _TRIM = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
 _N, _E = _TRIM.format("name"), f"lower({_TRIM.format('email')})"
 _BOT = f"""({_N} IN ({', '.join(f"'{x}'" for x in C.BOT_NAMES)}) OR lower({_N}) LIKE '%[bot]%' OR {_E} IN ({', '.join(f"'{x}'" for x in C.BOT_EMAILS)}) OR {_E} LIKE '%noreply%' OR {_E} LIKE '%[bot]%'
@@ -220,7 +251,7 @@ query(
 )(lambda c, d: identity.anonymized(c.select("commit_sha", "author_name", "author_email"), ("author_name", "author_email"), KEY, _aliases(d)))
 query(
     "duplicate_identities", "developers",
-    f"""u AS (SELECT ord, name, email, lower(trim(name)) AS k1, CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 1)) END AS k2, {_NORMAL} AS k3 FROM developers
+    f"""u AS (SELECT ord, name, email, lower({_N}) AS k1, CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 1)) END AS k2, {_NORMAL} AS k3 FROM developers
       WHERE NOT {_BOT} AND {_NORMAL} NOT IN ({', '.join(f"'{x}'" for x in C.GENERIC_NAMES)})),
     p AS (SELECT a.ord AS oa, b.ord AS ob, a.name AS name_a, a.email AS email_a, b.name AS name_b, b.email AS email_b, 0 AS r, 'exact_name_match' AS reason FROM u a JOIN u b ON a.k1 = b.k1 AND a.k1 <> '' AND a.ord < b.ord
       UNION ALL SELECT a.ord, b.ord, a.name, a.email, b.name, b.email, 1, 'same_local_part' FROM u a JOIN u b ON a.k2 = b.k2 AND a.k2 <> '' AND a.ord < b.ord
@@ -229,6 +260,15 @@ query(
     QUALIFY row_number() OVER (PARTITION BY least(lower(email_a), lower(email_b)), greatest(lower(email_a), lower(email_b)) ORDER BY r, oa, ob) = 1""",
 )(lambda d: identity.duplicate_identities(d.filter(~C.is_bot(F.col("name"), F.col("email")))))
 
+query(
+    "identity_groups", "developers",
+    f"""u AS (SELECT ord, name, email, lower({_N}) AS k1, CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 1)) END AS k2, {_NORMAL} AS k3 FROM developers
+      WHERE NOT {_BOT} AND {_NORMAL} NOT IN ({', '.join(f"'{x}'" for x in C.GENERIC_NAMES)})),
+    x AS (SELECT ord, name, email, '{identity.REASONS[0]}' AS reason, k1 AS k FROM u UNION ALL SELECT ord, name, email, '{identity.REASONS[1]}', k2 FROM u UNION ALL SELECT ord, name, email, '{identity.REASONS[2]}', k3 FROM u),
+    g AS (SELECT reason, k, min(ord) AS first, count(*) AS size FROM x WHERE k <> '' GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT x.name, x.email, f.name AS first_name, f.email AS first_email, x.reason, g.size FROM x JOIN g ON x.reason = g.reason AND x.k = g.k JOIN u f ON f.ord = g.first WHERE x.ord <> g.first""",
+)(lambda d: identity.identity_groups(d.filter(~C.is_bot(F.col("name"), F.col("email")))))
+
 
 def _merges(c: DataFrame) -> DataFrame:
     return c.sparkSession.createDataFrame([(f"dev{i}", f"dev{i % 10}") for i in range(10, 20)], "old string, new string")
@@ -266,9 +306,15 @@ query("auto_score", "diffs", f"SELECT commit_sha, file_path, {_AUTO} AS auto_sco
 query("score_caps", "diffs", f"SELECT commit_sha, file_path, {_CAP.format('0.75::DOUBLE')} AS score FROM diffs")(
     lambda d: d.select("commit_sha", "file_path", C.capped_score(F.col("file_path"), F.lit(0.75), F.col("additions") + F.col("deletions")).alias("score"))
 )
-query("file_categories", "diffs", "SELECT commit_sha, file_path, CASE WHEN split_part(file_path, '.', -1) = 'md' THEN 'docs' ELSE 'chore' END AS category FROM diffs")(
-    lambda d: d.select("commit_sha", "file_path", C.valid_category(F.when(F.col("file_path").endswith(".md"), "docs").otherwise("magic")).alias("category"))
-)
+query(
+    "file_categories", "diffs",
+    f"SELECT commit_sha, file_path, CASE WHEN split_part(file_path, '.', -1) IN ({', '.join(f"'{x}'" for x in C.CATEGORIES)}) THEN split_part(file_path, '.', -1) WHEN lower(split_part(file_path, '/', 2)) IN ({', '.join(f"'{x}'" for x in C.CATEGORIES)}) THEN split_part(file_path, '/', 2) ELSE 'chore' END AS category FROM diffs",
+)(lambda d: d.select("commit_sha", "file_path", C.valid_category(F.coalesce(F.when(F.element_at(F.split("file_path", "/"), 2).isin(*C.CATEGORIES), F.element_at(F.split("file_path", "/"), 2)), F.element_at(F.split("file_path", r"\."), -1))).alias("category")))
+query(
+    "rule_scores", "diffs",
+    f"""SELECT commit_sha, file_path, coalesce({_AUTO}, CASE WHEN additions + deletions > 0 THEN 0.25::DOUBLE + 0.25::DOUBLE * additions / (additions + deletions) ELSE 0 END) AS score,
+      CASE WHEN regexp_matches(file_path, '(^|/)tests?/', 'i') THEN 'test' WHEN regexp_matches(file_path, '\.md$', 'i') THEN 'docs' WHEN regexp_matches(file_path, '\.(json|ya?ml|toml|ini)$', 'i') THEN 'config' ELSE 'feature' END AS category FROM diffs""",
+)(scoring.rule_scores)
 
 
 def _scored(d: DataFrame) -> DataFrame:
@@ -299,7 +345,7 @@ def _snapshots(c: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now, then.unionByName(now.limit(1).withColumn("month", F.lit("1980-01")))
 
 
-_M = ("commits", "avg_weighted_score")
+_M = ("commits", "avg_weighted_score")  # the snapshot has these two
 query(
     "validate_monthly", "commits commit_scores",
     f"""m AS (SELECT strftime(date_trunc('month', authored_date), '%Y-%m') AS month, {_COUNTS}, {_SCORED} FROM {_LEFT} {_WHERE} GROUP BY 1),
@@ -318,6 +364,50 @@ query(
         validation.status_of(F.lit("total_additions"), F.lit("1.5"), F.element_at(F.array(F.lit("1.5"), F.lit("1.505"), F.lit("2.5"), F.lit(None).cast("string")), F.col("deletions") % 4 + 1)).alias("status"),
     )
 )
-query("validate_ranking", "commits", "SELECT 'ranking' AS metric, 'PASS' AS status, 10::BIGINT AS n_compared")(
-    lambda c: (lambda r: validation.compare_ranking(r, r, "author_name", "total_lines_changed"))(metrics.author_productivity(c, None, OPEN))
-)
+
+
+def _moved(c: DataFrame) -> DataFrame:
+    """A ranking in which the fourth author has the first one's place, and one that is shorter."""
+    now = metrics.author_productivity(c, None, OPEN).select("author_name", "total_lines_changed")
+    other = now.withColumn("total_lines_changed", F.col("total_lines_changed") + F.when(F.col("author_name").endswith("4"), 10**9).otherwise(0))
+    sides = {"same": now, "moved": other, "shorter": now.orderBy(F.desc("total_lines_changed"), "author_name").limit(4)}
+    out = [validation.compare_ranking(side, now, "author_name", "total_lines_changed").withColumn("metric", F.lit(name)) for name, side in sides.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+query(
+    "validate_ranking", "commits",
+    f"""a AS (SELECT author_name, author_email, {_LINES} FROM commits c WHERE {_IN} GROUP BY 1, 2 ORDER BY 3 DESC NULLS LAST, 2 NULLS LAST, 1 NULLS LAST LIMIT 20),
+    m AS (SELECT author_name, total_lines_changed + CASE WHEN author_name LIKE '%4' THEN 1000000000 ELSE 0 END AS x FROM a),
+    l AS (SELECT (SELECT string_agg(author_name, ',' ORDER BY total_lines_changed DESC, author_name) FROM (SELECT * FROM a ORDER BY total_lines_changed DESC, author_name LIMIT 10)) AS now,
+      (SELECT string_agg(author_name, ',' ORDER BY x DESC, author_name) FROM (SELECT * FROM m ORDER BY x DESC, author_name LIMIT 10)) AS moved, least(10, (SELECT count(*) FROM a)) AS n)
+    SELECT 'same' AS metric, 'PASS' AS status, n::BIGINT AS n_compared FROM l UNION ALL SELECT 'moved', CASE WHEN now = moved THEN 'PASS' ELSE 'FAIL' END, n::BIGINT FROM l UNION ALL SELECT 'shorter', 'PASS', least(4, n)::BIGINT FROM l""",
+)(_moved)
+
+
+query(
+    "validate_authors", "commits commit_scores",
+    f"""a AS (SELECT author_name, author_email, {_COUNTS.split(', ')[0]}, {_SCORED} FROM {_LEFT} WHERE {_IN} AND author_email IS NOT NULL GROUP BY 1, 2 ORDER BY total_productivity DESC, author_email, author_name LIMIT 20),
+    e AS (SELECT author_email FROM a)
+    SELECT 'author_ranking' AS metric, 'PASS' AS status UNION ALL SELECT 'author[' || author_email || '].commits', CASE WHEN split_part(author_email, '@', 1) LIKE '%2' THEN 'FAIL' ELSE 'PASS' END FROM e
+    UNION ALL SELECT 'author[' || author_email || '].total_productivity', CASE WHEN split_part(author_email, '@', 1) LIKE '%3' THEN 'OK' ELSE 'PASS' END FROM e""",
+)(
+    lambda c, s: (
+        lambda now: validation.compare_authors(
+            now.select(F.col("author_email").alias("author"), (F.col("commits") + F.col("author_email").like("%2@%").cast("int")).alias("commits"), (F.col("total_productivity") + F.when(F.col("author_email").like("%3@%"), 0.005).otherwise(0.0)).alias("total_productivity")), now
+        ).select("metric", "status")
+    )(metrics.author_productivity(c.filter("author_email is not null"), s, OPEN))
+)
+query(
+    "validate_categories", "commits commit_scores",
+    f"""k AS (SELECT DISTINCT coalesce(overall_category, 'none') AS c FROM commits c JOIN commit_scores s ON c.commit_sha = s.commit_sha {_WHERE} AND overall_category IS NOT NULL)
+    SELECT 'category[' || c || '].count' AS metric, CASE WHEN c = 'docs' THEN 'FAIL' ELSE 'PASS' END AS status FROM k UNION ALL SELECT 'category[' || c || '].percentage', CASE WHEN c = 'bugfix' THEN 'OK' ELSE 'PASS' END FROM k
+    UNION ALL SELECT 'category[gone].' || x, 'FAIL' FROM (VALUES ('count'), ('percentage')) v(x)""",
+)(
+    lambda c, s: (
+        lambda now: validation.compare_categories(
+            now.select("category", (F.col("commit_count") + (F.col("category") == "docs").cast("int")).alias("count"), (F.col("pct_of_total") + F.when(F.col("category") == "bugfix", 0.005).otherwise(0.0)).alias("percentage"))
+            .unionByName(now.limit(1).select(F.lit("gone").alias("category"), F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("percentage"))), now
+        ).select("metric", "status")
+    )(metrics.category_distribution(c, s, FILTERS).filter("category is not null"))
+)

@@ -13,8 +13,8 @@ from forgelens.sources.warehouse import Warehouse
 from forgelens.streaming.ingest import ingest
 
 COMMITS = [
-    {"commit_sha": "abc123def456", "project_path": "org/test-repo", "author_name": "a1", "author_email": "e1", "authored_date": dt.datetime(2026, 1, 15, 10), "additions": 50, "deletions": 10},
-    {"commit_sha": "def456abc789", "project_path": "org/test-repo", "author_name": "a2", "author_email": None, "authored_date": dt.datetime(2026, 2, 15, 10), "additions": 5, "deletions": 3, "unknown": 1},
+    {"commit_sha": "s1", "project_path": "team/tool", "author_name": "p1", "author_email": "m1", "authored_date": dt.datetime(2025, 4, 3, 9), "additions": 70, "deletions": 4},
+    {"commit_sha": "s2", "project_path": "team/tool", "author_name": "p2", "author_email": None, "authored_date": dt.datetime(2025, 5, 20, 17), "additions": 8, "deletions": 2, "unknown": 1},
 ]
 
 
@@ -36,7 +36,7 @@ def test_schemas():
 
 def test_store(spark, store):
     assert store.count("commits") == 2 and store.count("diffs") == 0
-    assert {r[0] for r in store.existing_shas().collect()} == {"abc123def456", "def456abc789"}
+    assert {r[0] for r in store.existing_shas().collect()} == {"s1", "s2"}
     assert store.query("SELECT commit_sha FROM commits WHERE additions > :least", {"least": 10}).count() == 1
     assert store.table("commits").columns == SCHEMAS["commits"].names
     store.insert("commits", [])
@@ -48,22 +48,22 @@ def test_store(spark, store):
 
 
 def test_merges_rewrite_the_table(spark, store):
-    merges = spark.createDataFrame([("a2", "a1")], "old string, new string")
+    merges = spark.createDataFrame([("p2", "p1")], "old string, new string")
     assert identity.apply_merges(store, merges) == 1
     assert identity.apply_merges(store, merges) == 0
-    assert {r[0] for r in store.table("commits").select("author_name").collect()} == {"a1"} and store.count("commits") == 2
+    assert {r[0] for r in store.table("commits").select("author_name").collect()} == {"p1"} and store.count("commits") == 2
 
 
 def test_empty_period_and_null_emails(spark, store):
     c = store.table("commits")
-    f = metrics.Filters("2026-01-01", "2027-01-01")
-    rows = {r["period"]: r for r in metrics.period_comparison(c, None, f, ("2026-01-01", "2026-02-01"), ("2027-01-01", "2028-01-01")).collect()}
+    f = metrics.Filters("2025-01-01", "2026-01-01")
+    rows = {r["period"]: r for r in metrics.period_comparison(c, None, f, ("2025-04-01", "2025-05-01"), ("2027-01-01", "2028-01-01")).collect()}
     assert rows["comparison"]["commits"] == 0 and rows["comparison"]["total_lines_changed"] is None and rows["% change"]["commits"] == -100.0
-    rows = {r["period"]: r for r in metrics.period_comparison(c, None, f, ("2030-01-01", "2031-01-01"), ("2026-01-01", "2027-01-01")).collect()}
+    rows = {r["period"]: r for r in metrics.period_comparison(c, None, f, ("2030-01-01", "2031-01-01"), ("2025-01-01", "2026-01-01")).collect()}
     assert rows["baseline"]["commits"] == 0 and rows["% change"]["commits"] is None
     assert metrics.monthly_trends(c, None, f).count() == 2
-    assert metrics.monthly_trends(c, None, metrics.Filters("2026-01-01", "2027-01-01", excluded=("nobody",))).count() == 1
-    assert metrics.monthly_trends(c, None, metrics.Filters("2026-01-01", "2027-01-01", repos=("org/other",))).count() == 0
+    assert metrics.monthly_trends(c, None, metrics.Filters("2025-01-01", "2026-01-01", excluded=("nobody",))).count() == 1
+    assert metrics.monthly_trends(c, None, metrics.Filters("2025-01-01", "2026-01-01", repos=("team/other",))).count() == 0
 
 
 def test_velocity_at_exactly_seven_days(spark):
@@ -99,20 +99,72 @@ def test_productivity_of_replies(spark):
     assert got == {"s": (10.15, round(10.15 / 24, 4)), "t": (0.5, 0.0)}
     assert {r["file_path"]: r["category"] for r in scoring.file_score_rows(scored).collect()} == {"a.py": "chore", "z.md": "docs", "e": "chore"}
     c = spark.createDataFrame([("s", "T", "M", dt.datetime(2026, 1, 1), "e", "n")], "commit_sha string, title string, message string, committed_date timestamp_ntz, author_email string, author_name string")
-    asked = scoring.prompts(scoring.commit_bundles(c, diffs.withColumn("diff", F.lit("+x"))))
-    assert "- a.py (+10/-5)" in asked.first()["prompt"]
-    assert [r["reply"] for r in scoring.scored_by(asked, lambda p: "ok", tasks=1).collect()] == ["ok"]
+    bundles = scoring.commit_bundles(c, diffs.withColumn("diff", F.repeat(F.lit("+x"), 900)))
+    assert "- a.py (+10/-5)" in scoring.prompts(bundles).first()["prompt"]
+    only_short = lambda p: '{"files": [{"path": "a.py"}]}' if len(p) < 4000 and "- z.md (+0/-4)" in p else '{"no": 1}'
+    assert [r["reply"] for r in scoring.scored_by(bundles, only_short, tasks=1, sleep=lambda s: None).collect()] == ['{"files": [{"path": "a.py"}]}']
     assert scoring.unscored_commits(c, got_scores := spark.createDataFrame([("x",)], "commit_sha string"), ("E",)).count() == 0
     assert scoring.unscored_commits(c, got_scores).count() == 1
 
 
+def test_asking_a_scorer():
+    slept, asked = [], []
+
+    def scorer(answers):
+        def reply(prompt):
+            asked.append(prompt)
+            found = answers.pop(0)
+            if isinstance(found, Exception):
+                raise found
+            return found
+
+        return reply
+
+    good = 'Here: ```json\n{"files": []}\n```'
+    assert scoring.ask(scorer([scoring.RateLimited(), ValueError(), good]), ["l", "m", "s"], slept.append) == good and (slept, asked) == ([2.0, 0.5], ["l", "m", "s"])
+    assert scoring.ask(scorer(["no", '{"other": 1}', "{broken"]), ["l", "m", "s"], slept.append) is None and slept == [2.0, 0.5, 0.5, 0.5]
+
+
+def test_scores_are_written_once(spark, store):
+    store.insert("diffs", [{"commit_sha": "s1", "file_path": "src/a.py", "additions": 70, "deletions": 4, "diff": "+x"}, {"commit_sha": "s2", "file_path": "README.md", "additions": 8, "deletions": 2, "diff": "+y"}])
+    assert scoring.score_commits(store, limit=1) == 1 and scoring.score_commits(store) == 1 and scoring.score_commits(store) == 0
+    rows = {r["commit_sha"]: r for r in store.table("commit_scores").collect()}
+    assert (rows["s1"]["overall_category"], rows["s2"]["overall_category"]) == ("feature", "docs") and rows["s2"]["total_productivity"] == 1.2 and store.count("file_scores") == 2
+    store.insert("commits", [{"commit_sha": "s3"}])
+    store.insert("diffs", [{"commit_sha": "s3", "file_path": "b.py", "additions": 4, "deletions": 0, "diff": "+z"}])
+    reply = json.dumps({"files": [{"path": "b.py", "score": 0.5, "category": "bugfix", "reasoning": "r"}], "overall_category": "bugfix"})
+    assert scoring.score_commits(store, lambda p: reply) == 1
+    row = store.table("commit_scores").filter("commit_sha = 's3'").first()
+    assert (row["total_productivity"], row["weighted_score"], row["overall_category"]) == (2.0, 0.5, "bugfix") and row["scored_at"] is not None
+
+
+def test_numbers_that_all_projects_share(spark):
+    """1000 projects with the same request numbers, names with and without wildcards."""
+    n = spark.range(1000).select(F.concat(F.lit("org/p_"), F.col("id").cast("string")).alias("project_id"), F.concat(F.lit("p_"), F.col("id").cast("string")).alias("project_name"), F.explode(F.sequence(F.lit(1), F.lit(5)).cast("array<string>")).alias("mr_iid"))
+    links = n.select("project_id", "mr_iid", F.concat_ws("-", "project_id", "mr_iid").alias("commit_sha"))
+    merged = n.filter("project_id LIKE '%7'").select("mr_iid", "project_name", F.col("project_id").alias("mr_project"))
+    want = {r[0] for r in links.filter("project_id LIKE '%7'").select("commit_sha").collect()}
+    assert {r[0] for r in metrics._held(links, merged, True).collect()} == want
+    assert want <= {r[0] for r in metrics._held(links, merged, False).collect()}
+    ids, names = ["org/a_b", "org/axb", "x", "org/100%", "b"], ["a_b", "b", "_", "0%", "", "org/a_b", "%x%"]
+    pairs = metrics._like_pairs(spark.createDataFrame([(i,) for i in ids], "project_id string"), spark.createDataFrame([(i,) for i in names], "project_name string"))
+    slow = spark.createDataFrame([(i, k) for i in ids for k in names], "project_id string, project_name string").filter("project_id LIKE concat('%', project_name)")
+    assert sorted(map(tuple, pairs.select("project_id", "project_name").collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_identity_groups_stay_linear(spark):
+    d = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("name"), F.concat(F.lit("info@c"), F.col("id").cast("string"), F.lit(".example")).alias("email"))
+    rows = identity.identity_groups(d)
+    assert rows.count() == 2999 and rows.select("first_email", "reason", "size").distinct().collect() == [("info@c0.example", "same_local_part", 3000)]
+
+
 @pytest.mark.parametrize(
     ("metric", "a", "b", "want"),
     [("m.avg", None, None, "PASS"), ("m.avg", None, "1", "FAIL"), ("m.avg", "1.0", "1.009", "OK"), ("m.avg", "1.0", "1.1", "FAIL"), ("m.commits", "3", "3.0", "PASS"), ("m.commits", "3", "4", "FAIL"),
      ("author[accounts@x].total_productivity", "1", "1.005", "OK"), ("m.top", "a", "a", "PASS"), ("m.top", "a", "b", "FAIL")],
 )
 def test_status(spark, metric, a, b, want):
-    rows = spark.createDataFrame([(metric, a, b)], "metric string, reference string, plugin string")
+    rows = spark.createDataFrame([(metric, a, b)], "metric string, reference string, result string")
     assert validation.compared(rows).first()["status"] == want
 
 
@@ -120,7 +172,8 @@ def test_snapshot_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("2026-01", 3), ("2026-02", None)], "month string, commits int")
     validation.save_snapshot({"monthly_trends": t}, ("2026-01-01", "2027-01-01"), "now", str(tmp_path / "s.json"))
     back = validation.load_snapshot(spark, str(tmp_path / "s.json"))["monthly_trends"]
-    results = validation.compare_by_key(back, t, "month", ("commits",), "monthly_trends")
+    results = validation.compare_monthly(back, t)
+    assert validation.verdict(results) == ("Validation: 2 PASS, 0 OK, 0 FAIL", 0) and validation.validate({}, {}) is None
     assert validation.all_passed(results) and validation.summary(results).first()["n"] == 2
     (tmp_path / "s.csv").write_text("dataset,month,commits\nmonthly_trends,2026-01,3\n")
     assert validation.load_snapshot(spark, str(tmp_path / "s.csv"))["monthly_trends"].first()["commits"] == 3
