@@ -4,12 +4,13 @@ A small network is fitted by the non-negative PU risk (Kiryo et al., "Positive-u
 with non-negative risk estimator"): trusted positives against unlabelled texts, with a class prior
 that is estimated from the same two samples (the least ratio of unlabelled to positive mass above a
 score; Garg et al., "Mixture proportion estimation and PU learning"). Labels other than 1 are never
-used. Inputs are measures of the whole text only.
+used. Inputs come from the whole text only: measures of its shape (character classes, repetition,
+lengths), and hashed counts of its words, pairs of words and runs of four characters.
 
-One pass makes every document's measures, which are written once; the two samples are drawn by hash
+One pass makes every document's inputs, which are written once; the two samples are drawn by hash
 and hold at most about SAMPLE rows each, so what the driver sees is bounded; scoring is a map.
 
-Defined results: a null or empty text has all measures 0 and a score like any other; without any
+Defined results: a null or empty text has all inputs 0 and a score like any other; without any
 positive the score is 0.5; labels may repeat; rows that repeat are scored alike; other columns of
 the input are ignored, and none but the text enters a score.
 """
@@ -23,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.llm import sketches
 from forgelens.llm.tables import cut
 
 #: Rows in each of the two training samples, about; parts of the network and of its training.
 SAMPLE, HIDDEN, STEPS, BATCH, DECAY = 20_000, 8, 400, 1024, 3e-3
 PREDICT_FROM = 0.3
-MEASURES = 15
+#: Measures of shape, buckets of hashed counts (half for words, half for characters), and how much less these weigh: there are many, and positives may be few.
+MEASURES, GRAMS, GRAM_WEIGHT = 15, 128, 0.3
+INPUTS = MEASURES + GRAMS
 
 _BYTES = np.arange(256)
 _CLASSES = [
@@ -59,17 +63,43 @@ def measures(text: str | None) -> np.ndarray:
     return out
 
 
+def grams(texts: list[bytes]) -> np.ndarray:
+    """A row of square roots of shares for each lower-cased text: words and their pairs, then runs of four bytes."""
+    half, n = GRAMS // 2, len(texts)
+    w, at = sketches.word_hashes(texts)
+    row = np.repeat(np.arange(n), np.diff(at))
+    pairs = np.flatnonzero(row[1:] == row[:-1])
+    hashed = np.concatenate([w, sketches.mix(w[pairs] * np.uint64(3) + w[pairs + 1])])
+    of = np.concatenate([row, row[pairs]])
+    words = np.bincount(of * half + (hashed >> np.uint64(58)).astype(np.int64), minlength=n * half).reshape(n, half)
+    b = np.frombuffer(b"   ".join([*texts, b""]), np.uint8).astype(np.uint32)
+    runs = (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]) * np.uint32(0x9E3779B1) if len(b) > 3 else np.zeros(0, np.uint32)
+    inside = np.repeat(np.tile([True, False], n), [k for t in texts for k in (len(t), 3)])[: len(runs)]  # runs that begin in a text end in it or in the spaces behind it
+    owner = np.repeat(np.arange(n), [len(t) for t in texts])[: inside.sum()]
+    chars = np.bincount(owner * half + (runs[inside] >> np.uint32(26)).astype(np.int64), minlength=n * half).reshape(n, half)
+    return np.concatenate([np.sqrt(x / np.maximum(1, x.sum(axis=1, keepdims=True))) for x in (words, chars)], axis=1)
+
+
+def inputs_of(texts: list[str | None]) -> np.ndarray:
+    """A row of INPUTS for each text."""
+    found = [np.concatenate([np.stack([measures(t) for t in texts[first : first + len(run)]]), grams(run)], axis=1) for first, run in sketches.slices(texts)]
+    return np.concatenate([np.zeros((0, INPUTS)), *found]).astype(np.float16)  # as they are kept, so that both uses give equal scores
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of the whole text."""
+    """doc_id and the inputs as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.concatenate([np.zeros(0), *map(measures, b.column(1).to_pylist())]).astype("<f4")
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * MEASURES, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "measures"])
+            rows = [x.tobytes() for x in inputs_of(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "inputs"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, measures array<float>")
+    return slim.mapInArrow(run, "doc_id long, inputs binary")
+
+
+def _rows(kept: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(kept), np.float16).reshape(-1, INPUTS).astype(float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,17 +107,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """One hidden layer on standardised measures and their squares."""
+    """One hidden layer on standardised inputs and the squares of the measures."""
 
     def __init__(self, x: np.ndarray):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         rng = np.random.default_rng(0)
-        k = 2 * x.shape[1]
+        k = x.shape[1] + MEASURES
         self.w = [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.concatenate([z, z * z / 8], 1)
+        shape = z[:, :MEASURES]
+        return np.concatenate([shape, GRAM_WEIGHT * z[:, MEASURES:], shape * shape / 8], 1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.w
@@ -145,12 +176,12 @@ def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
 
 
 def _sample(rows: DataFrame, seed: int) -> np.ndarray:
-    """About SAMPLE rows' measures, by hash, in a fixed order."""
+    """About SAMPLE rows' inputs, by hash, in a fixed order."""
     n = rows.count()
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     drawn = rows.filter(h < F.lit(int((1 << 40) * min(1.0, SAMPLE / max(1, n)))) ) if n > SAMPLE else rows
-    found = sorted((r[0], tuple(r[1])) for r in drawn.select(h, "measures").collect())
-    return np.array([m for _, m in found], float).reshape(-1, MEASURES)
+    found = sorted((r[0], bytes(r[1])) for r in drawn.select(h, "inputs").collect())
+    return _rows([m for _, m in found])
 
 
 def held_out_part(doc_id: Column, parts: int) -> Column:
@@ -176,8 +207,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy().astype(float).reshape(-1, MEASURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(net, x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(net, _rows(b.column(1).to_pylist())))], names=["doc_id", "score"])
 
     held_out = held_out_part(F.col("doc_id"), 5) == 0
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
@@ -189,7 +219,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([measures(t) for t in b.column(at).to_pylist()]).reshape(-1, MEASURES)
-            yield b.filter(pa.array(scores(net, x) >= PREDICT_FROM))
+            yield b.filter(pa.array(scores(net, inputs_of(b.column(at).to_pylist()).astype(float)) >= PREDICT_FROM))
 
     return docs.mapInArrow(run, docs.schema)

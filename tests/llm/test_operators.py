@@ -464,15 +464,43 @@ def test_quality(spark, sf, odd):
     assert kept.columns == d.columns and 0.5 * d.count() < kept.count() < d.count()
 
 
+def two_classes(rng, n):
+    return rng.normal(0, 1, (n, quality.INPUTS)), np.concatenate([rng.normal(3, 1, (n, quality.MEASURES)), rng.normal(0, 1, (n, quality.GRAMS))], axis=1)
+
+
 def test_prior_is_estimated():
-    rng = np.random.default_rng(8)
-    good, bad = rng.normal(0, 1, (9000, quality.MEASURES)), rng.normal(3, 1, (9000, quality.MEASURES))
+    good, bad = two_classes(np.random.default_rng(8), 9000)
     unlabelled = np.concatenate([good[:3500], bad[:1500]])
+    net = quality.fit(good[4000:6000], unlabelled[::2], 0.5)
+    assert abs(quality.estimated_prior(net, good[6000:8000], unlabelled[1::2]) - 0.7) < 0.08  # of rows that the network hasn't seen
     net = quality.fit_with_prior(good[4000:8000], unlabelled)
     s = quality.scores(net, np.concatenate([good[8000:], bad[8000:]]))
     assert (s[:1000] >= 0.3).mean() > 0.97 and (s[1000:] < 0.3).mean() > 0.97
 
 
+def test_slopes_are_those_of_the_output():
+    good, bad = two_classes(np.random.default_rng(9), 30)
+    net, to_output = quality.Network(np.concatenate([good, bad])), np.random.default_rng(10).normal(size=60)
+    x = np.concatenate([good, bad])
+    slopes = net.slope(net.inputs(x), to_output)
+    for w, g in zip(net.w, slopes):
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 7)]:
+            w[at] += 1e-5
+            up = (to_output * net(x)).sum()
+            w[at] -= 2e-5
+            down = (to_output * net(x)).sum()
+            w[at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+def test_inputs_do_not_depend_on_the_batch():
+    texts = ["One two two\nthree", None, "", "x", "é ß one two", "a longer text of some words. " * 9]
+    whole = quality.inputs_of(texts)
+    assert whole.shape == (6, quality.INPUTS) and not whole[1:3].any()
+    assert all((quality.inputs_of([t])[0] == row).all() for t, row in zip(texts, whole))
+    assert (whole[0] != quality.inputs_of(["One two six\nthree"])[0]).any()
+
+
 def test_language(spark, sf, odd):
     d, _ = sf
     rows = language.predict_languages(d).filter("held_out").join(d.select("doc_id", "lang"), "doc_id").toPandas()
