@@ -21,6 +21,8 @@ EXCLUDED = ("dev5@corp.example", "DEV9")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The SQL over tables that are there already.
+OVER_TABLES: dict[str, str] = {}
 
 
 def query(name: str, tables: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
@@ -30,6 +32,7 @@ def query(name: str, tables: str, sql: str | None = None) -> Callable[[Callable[
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(*[getattr(derive, t)(spark, sf_dir) for t in names])
         if sql:
+            OVER_TABLES[name] = sql if sql.lstrip().startswith("SELECT") else f"WITH {sql}"
             SQL[name] = "WITH " + ",\n".join(derive.SQL[t] for t in names) + ("\n" if sql.lstrip().startswith("SELECT") else ",\n") + sql
         return f
 
