@@ -315,7 +315,7 @@ query(
 )(lambda d: d.select("commit_sha", "file_path", C.valid_category(F.coalesce(F.when(F.element_at(F.split("file_path", "/"), 2).isin(*C.CATEGORIES), F.element_at(F.split("file_path", "/"), 2)), F.element_at(F.split("file_path", r"\."), -1))).alias("category")))
 query(
     "rule_scores", "diffs",
-    f"""SELECT commit_sha, file_path, coalesce({_AUTO}, CASE WHEN additions + deletions > 0 THEN 0.25::DOUBLE + 0.25::DOUBLE * additions / (additions + deletions) ELSE 0 END) AS score,
+    rf"""SELECT commit_sha, file_path, coalesce({_AUTO}, CASE WHEN additions + deletions > 0 THEN 0.25::DOUBLE + 0.25::DOUBLE * additions / (additions + deletions) ELSE 0 END) AS score,
       CASE WHEN regexp_matches(file_path, '(^|/)tests?/', 'i') THEN 'test' WHEN regexp_matches(file_path, '\.md$', 'i') THEN 'docs' WHEN regexp_matches(file_path, '\.(json|ya?ml|toml|ini)$', 'i') THEN 'config' ELSE 'feature' END AS category FROM diffs""",
 )(scoring.rule_scores)
 
