@@ -10,7 +10,9 @@ token ids begin in the block (one more for the end), the words and the escapes.
 by selector, all words of a selector at once.
 
 Documents are range-partitioned by doc_id and sorted within a part, so the files hold them in
-ascending doc_id order (nulls first); rows that repeat a doc_id follow in the order of their texts.
+ascending doc_id order (nulls first). Rows that share a doc_id (or have none) follow in the order of
+their texts' hashes and then of the input, and these are part of the ranges too: an id that a third of
+all rows have spreads over as many parts as others do.
 A null or empty text has its end id only; an empty table gives files without rows; other columns are
 ignored.
 """
@@ -116,8 +118,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         if doc_ids:
             yield _blocks([block()])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = ("doc_id", "h", "at")
+    slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -133,6 +133,25 @@ def test_token_files(spark, odd, tmp_path):
     assert token_files.read_ids(spark, str(tmp_path / "c")).collect() == []
 
 
+def test_token_files_split_a_hot_id(spark, tmp_path):
+    """Rows without an id and rows that are equal go to several parts, and still each is there once, gapless."""
+    rows = [(None, f"word {i}") for i in range(300)] + [(7, "the same")] * 300 + [(i, "other") for i in range(8, 308)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one part
+    try:
+        token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "a"), tokenizer_path(WORD_BPE), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "a")).select("part", F.explode("doc_ids").alias("id"))
+    assert min(r["n"] for r in parts.filter("id is null or id = 7").groupBy("id").agg(F.countDistinct("part").alias("n")).collect()) > 1
+    got = sorted(token_files.read_ids(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    e = plain(WORD_BPE)
+    want = sorted(np.array([*e.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows)
+    assert sorted(bytes(r["ids"]) for r in got) == want
+
+
 # Personal data
 
 
