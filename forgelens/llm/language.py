@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows in the training sample, about; buckets of the hashed features; steps and decay of the fit.
@@ -121,7 +121,7 @@ class Languages:
         return out, score
 
 
-def _slim(docs: DataFrame, *more: str) -> DataFrame:
+def _slim(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
@@ -139,8 +139,8 @@ def _fit(docs: DataFrame) -> Languages | None:
         return None
     each = SAMPLE / len(counts)
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, each / n))])[F.col("lang")]
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = _slim(known, "lang").filter(chance < share).mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id"])
+    chance = F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 40)) / F.lit(float(1 << 40))  # rows without an id or with equal ones are drawn like others
+    drawn = _slim(known, "lang", F.monotonically_increasing_id().alias("at")).filter(chance < share).select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id"])
     x = np.frombuffer(b"".join(drawn["x"]), "<f2").reshape(-1, BUCKETS).astype(np.float32)
     return Languages(x, drawn["lang"].to_numpy(str)) if len(x) else None
 

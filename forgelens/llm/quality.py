@@ -7,7 +7,8 @@ score; Garg et al., "Mixture proportion estimation and PU learning"). Labels oth
 used. Inputs come from the whole text only: measures of its shape (character classes, repetition,
 lengths), and hashed counts of its words, pairs of words and runs of four characters.
 
-One pass makes every document's inputs, which are written once; the two samples are drawn by hash
+One pass makes every document's inputs, which are written once; the two samples are drawn by a hash of
+id and place in what was written, so that rows without an id or with equal ones are drawn like others,
 and hold at most about SAMPLE rows each, so what the driver sees is bounded; scoring is a map.
 
 Defined results: a null or empty text has all inputs 0 and a score like any other; without any
@@ -178,8 +179,8 @@ def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
 def _sample(rows: DataFrame, seed: int) -> np.ndarray:
     """About SAMPLE rows' inputs, by hash, in a fixed order."""
     n = rows.count()
-    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
-    drawn = rows.filter(h < F.lit(int((1 << 40) * min(1.0, SAMPLE / max(1, n)))) ) if n > SAMPLE else rows
+    h = F.pmod(F.xxhash64("doc_id", "at", F.lit(seed)), F.lit(1 << 40))
+    drawn = rows.filter(h < F.lit(int((1 << 40) * SAMPLE / n))) if n > SAMPLE else rows
     found = sorted((r[0], bytes(r[1])) for r in drawn.select(h, "inputs").collect())
     return _rows([m for _, m in found])
 
@@ -190,7 +191,7 @@ def held_out_part(doc_id: Column, parts: int) -> Column:
 
 def trained(rows: DataFrame, labels: DataFrame) -> Network | None:
     """The network for measured rows, or None without positives."""
-    seen = rows.filter(held_out_part(F.col("doc_id"), 5) != 0)
+    seen = rows.withColumn("at", F.monotonically_increasing_id()).filter(held_out_part(F.col("doc_id"), 5) != 0)
     trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     positive, unlabelled = _sample(seen.join(trusted, "doc_id", "left_semi"), 1), _sample(seen, 2)
     return fit_with_prior(positive, unlabelled) if len(positive) and len(unlabelled) else None

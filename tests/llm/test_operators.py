@@ -483,6 +483,21 @@ def test_quality(spark, sf, odd):
     assert kept.columns == d.columns and 0.5 * d.count() < kept.count() < d.count()
 
 
+def test_samples_are_bounded_without_ids(spark, monkeypatch):
+    """Rows without an id, or with one id, are drawn one by one: the driver sees neither all of them nor none."""
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    rng, seen = random.Random(21), []
+    texts = [sentence(rng, 8) for _ in range(2000)]
+    monkeypatch.setattr(language, "Languages", lambda x, lang: seen.append(len(x)))
+    for doc_id in (None, 1):
+        d = docs(spark, [(doc_id, t, "en", "s", 1) for t in texts])
+        rows = quality.measured(d).withColumn("at", F.monotonically_increasing_id())
+        seen += [len(quality._sample(rows, 1)), len(quality._sample(rows, 2))]
+        language._fit(d)
+    assert len(seen) == 6 and all(100 < n < 300 for n in seen)
+
+
 def two_classes(rng, n):
     return rng.normal(0, 1, (n, quality.INPUTS)), np.concatenate([rng.normal(3, 1, (n, quality.MEASURES)), rng.normal(0, 1, (n, quality.GRAMS))], axis=1)
 
