@@ -9,7 +9,9 @@ less than the largest record, groups stay together except where they don't fit,
 than a range meets in one task: a group with a third of all rows spans as many ranges as its size
 asks for.
 
-DataFrame functions only. The driver sees draws (a bounded number) and one row for each range.
+DataFrame functions only. There are more ranges the more records there are, so a range's task doesn't
+grow with the table; the driver sees a few draws and one row for each range, about a kilobyte for each
+million records.
 
 Defined results: an empty table gives no rows; null ids come first in the order; rows that are equal
 in group, id and size are interchangeable; all columns of the input are kept, and the results
@@ -27,8 +29,8 @@ from pyspark.sql.window import Window
 
 from forgelens.llm.tables import cut
 
-#: Ranges for each shard, draws for each range, and how often overfull ranges are split again.
-RANGES, DRAWS, SPLITS = 16, 16, 4
+#: Ranges for each shard at least, records of a range at most in the mean, draws for each range, and how often overfull ranges are split again.
+RANGES, ROWS, DRAWS, SPLITS = 16, 2_000_000, 16, 4
 _LEAST = -(1 << 63)
 
 Key = tuple[int, int]
@@ -38,7 +40,7 @@ def _range_of(splitters: list[Key]) -> Column:
     """The number of splitters at or below the record's key, by binary search in a constant array."""
     if not splitters:
         return F.lit(0)
-    groups, keys = (F.array(*[F.lit(x).cast("long") for x in side]) for side in zip(*splitters))
+    groups, keys = (F.split(F.lit(",".join(map(str, side))), ",").cast("array<long>") for side in zip(*splitters))  # Catalyst folds each into one constant
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(splitters).bit_length()))])
 
     def at_or_below(i: Column) -> Column:  # no such splitter: null, which counts as false
@@ -87,8 +89,9 @@ def assign_shards(records: DataFrame, group: Column, key: str, size: str, shards
     """
     kept = [c for c in records.columns if c not in ("shard", "slot")]
     records = cut(records.select(*kept, group.alias("_group"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("_key"), F.col(size).cast("long").alias("_size")))
-    total = records.agg(F.sum("_size")).first()[0] or 1
-    found = _splitters(records, total, shards * RANGES)
+    total, n = records.agg(F.sum("_size"), F.count("*")).first()
+    total, ranges = total or 1, max(shards * RANGES, -(-n // ROWS))
+    found = _splitters(records, total, ranges)
     placed = records.withColumn("_range", _range_of(found))
     order = Window.orderBy("_range")
     sums = placed.groupBy("_range").agg(F.sum("_size").alias("_s"), F.count("*").alias("_n"))
@@ -96,7 +99,7 @@ def assign_shards(records: DataFrame, group: Column, key: str, size: str, shards
     inside = Window.partitionBy("_range").orderBy("_group", "_key", "_size")
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumns({"_size_in": F.coalesce(F.sum("_size").over(running), F.lit(0)), "_row_in": F.row_number().over(inside) - 1})
-    placed = placed.join(F.broadcast(before), "_range")  # one row for each range, of which there are at most a few for each shard
+    placed = placed.join(F.broadcast(before), "_range")  # one row for each range
     at = (F.col("_size_before") + F.col("_size_in")).cast("decimal(38,0)")
     shard = F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(total)).cast("int"))
     placed = cut(placed.select(*kept, shard.alias("shard"), (F.col("_rows_before") + F.col("_row_in")).alias("_row")))

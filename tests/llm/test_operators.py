@@ -419,6 +419,21 @@ def test_sharding(spark, odd):
     assert sharding.shard_documents(odd.limit(0)).collect() == []
 
 
+def test_shards_of_many_ranges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "ROWS", 5)
+    rng = random.Random(7)
+    texts = [sentence(rng, rng.choice([1, 5, 50])) for _ in range(2000)] + ["a copy"] * 1000
+    table = docs(spark, texts)
+    placed = sharding.shard_documents(table, 4).cache()
+    rows = placed.collect()
+    sizes = {i: sum(r["size"] for r in rows if r["shard"] == i) for i in range(4)}
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in rows)
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == i) == list(range(sum(r["shard"] == i for r in rows))) for i in range(4))
+    sharding.write_shards(table, placed, f"{tmp_path}/shards")
+    again = spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "text", "shard").collect()
+    assert {(r["doc_id"], r["text"], r["shard"]) for r in again} == {(r["doc_id"], texts[r["doc_id"]], r["shard"]) for r in rows} and len(again) == 3000
+
+
 # Exact top-k
 
 
