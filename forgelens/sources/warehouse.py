@@ -77,6 +77,20 @@ class Warehouse:
         rows.write.parquet(temp)
         self._fs().rename(self._path(name, temp.rsplit("/", 1)[1]), self._path(name, f"v{int(current) + 1:06d}"))
 
+    def tidy(self, keep: int = 2) -> list[str]:
+        """Deletes all versions but the newest ones, and what failed rewrites left; returns what went. For times when nobody rewrites and no reader is at an older version."""
+        self._writable()
+        if keep < 1:
+            raise ValueError("the newest version has to stay")
+        fs, gone = self._fs(), []
+        for table in SCHEMAS:
+            path = self._path(table)
+            names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+            gone += [(table, n) for n in [n for n in names if n.startswith("v")][:-keep] + [n for n in names if n.startswith("_new-")]]
+        for parts in gone:
+            fs.delete(self._path(*parts), True)
+        return ["/".join(parts) for parts in gone]
+
     def query(self, sql: str, args: dict | None = None) -> DataFrame:
         """Spark SQL over the tables, with :name parameters."""
         for name in SCHEMAS:

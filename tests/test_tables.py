@@ -27,6 +27,16 @@ def store(spark, tmp_path):
     return w
 
 
+def test_tidy_keeps_the_newest_versions(store):
+    for n in (3, 4):
+        store.replace("commits", store.table("commits").withColumn("additions", F.lit(n)))
+    store.table("diffs").write.parquet(f"{store.root}/diffs/_new-failed")
+    assert store.tidy() == ["commits/v000000", "diffs/_new-failed"] and store.tidy(1) == ["commits/v000001"] and store.tidy(1) == []
+    assert {r["additions"] for r in store.table("commits").collect()} == {4} and store.count("diffs") == 0
+    with pytest.raises(ValueError):
+        store.tidy(0)
+
+
 def test_schemas():
     assert {k: len(v) for k, v in SCHEMAS.items()} == {"commits": 20, "diffs": 11, "merge_requests": 19, "mr_commits": 5, "commit_scores": 5, "file_scores": 6}
     assert all(ddl(t).startswith(f"CREATE TABLE IF NOT EXISTS {t} (") for t in SCHEMAS)
@@ -191,14 +201,18 @@ def test_stream_takes_each_commit_once(spark, tmp_path):
     landed = tmp_path / "landed"
     landed.mkdir()
 
-    def take():
-        ingest(spark, str(landed), forge.GITLAB_COMMIT, lambda b: forge.gitlab_commits(b, "7", "org/repo"), store, "commits", ("commit_sha",), str(tmp_path / "c")).awaitTermination()
+    def take(within=None):
+        ingest(spark, str(landed), forge.GITLAB_COMMIT, lambda b: forge.gitlab_commits(b, "7", "org/repo"), store, "commits", ("commit_sha",), str(tmp_path / "c"), within).awaitTermination()
         return store.count("commits")
 
     (landed / "1.json").write_text(json.dumps([LAB, LAB | {"id": "s2"}, LAB | {"id": "none", "diffs": []}]))
     assert take() == 2
     (landed / "2.json").write_text(json.dumps([LAB | {"id": "s2"}, LAB | {"id": "s3"}]))
     assert take() == 3 and take() == 3
+    (landed / "3.json").write_text(json.dumps([LAB | {"id": "s3"}, LAB | {"id": "s4", "committed_date": "2026-02-01T10:00:00Z"}]))
+    assert take("committed_date") == 4
+    (landed / "4.json").write_text(json.dumps([LAB | {"id": "s4", "committed_date": "2026-02-01T10:00:00Z"}, LAB | {"id": "none", "diffs": []}]))
+    assert take("committed_date") == 4
     row = store.table("commits").filter("commit_sha = 's1'").first()
     assert (row["parent_ids"], row["project_name"], str(row["authored_date"])) == ("p,q", "repo", "2026-01-15 10:00:00")
 
