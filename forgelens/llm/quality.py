@@ -31,6 +31,8 @@ from forgelens.llm.tables import cut
 #: Rows in each of the two training samples, about; parts of the network and of its training.
 SAMPLE, HIDDEN, STEPS, BATCH, DECAY = 20_000, 8, 400, 1024, 3e-3
 PREDICT_FROM = 0.3
+#: Rows whose inputs a worker holds at once.
+PART = 1000
 #: Measures of shape, buckets of hashed counts (half for words, half for characters), and how much less these weigh: there are many, and positives may be few.
 MEASURES, GRAMS, GRAM_WEIGHT = 15, 128, 0.3
 INPUTS = MEASURES + GRAMS
@@ -87,11 +89,18 @@ def inputs_of(texts: list[str | None]) -> np.ndarray:
     return np.concatenate([np.zeros((0, INPUTS)), *found]).astype(np.float16)  # as they are kept, so that both uses give equal scores
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PART rows at a time, so that a worker holds few inputs at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, PART):
+            yield b.slice(at, PART)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the inputs as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             rows = [x.tobytes() for x in inputs_of(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "inputs"])
 
@@ -207,7 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = trained(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(net, _rows(b.column(1).to_pylist())))], names=["doc_id", "score"])
 
     held_out = held_out_part(F.col("doc_id"), 5) == 0
@@ -219,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net, at = trained(cut(measured(docs)), labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             yield b.filter(pa.array(scores(net, inputs_of(b.column(at).to_pylist()).astype(float)) >= PREDICT_FROM))
 
     return docs.mapInArrow(run, docs.schema)
