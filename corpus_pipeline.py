@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from forgelens.llm import decontamination, line_dedup, near_duplicates, packing, quality
 from forgelens.llm.queries import BYTE_BPE, table, tokenizer_path
-from forgelens.llm.tables import drop_tables, new_path
+from forgelens.llm.tables import drop, new_path, scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the stages wrote for themselves goes as soon as a stage is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage cuts for itself goes once it is written, and its output once the next is; other results of the session stay."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = new_path(spark, "pipeline")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_tables(spark)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            drop(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs

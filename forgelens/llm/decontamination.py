@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.llm.slices import by_bytes
 from forgelens.llm.tables import cut
 
 #: Bytes of a block in the shift tables, lengths at which a new class begins, bytes of a block's windows, windows of a segment.
@@ -119,7 +120,7 @@ def segments(benchmark: DataFrame, length: int) -> DataFrame:
     """Distinct (words, item): runs of an item's words that hold each of its windows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = words(text)
@@ -158,7 +159,7 @@ def _pass(docs: DataFrame, block: list[Segment], length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(sent.value, length)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             n_words, hits, items = [], [], []
             for text in b.column(1).to_pylist():
                 w = words(text)
@@ -215,7 +216,7 @@ def _without(docs: DataFrame, block: list[Segment], length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(sent.value, length)
-        for b in batches:
+        for b in by_bytes(batches, at):
             yield b.filter(pa.array([not tables.find(joined(words(t)))[0] for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

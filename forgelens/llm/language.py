@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.llm.slices import by_bytes
+
 #: Rows in the training sample, about; buckets of the hashed features; steps and decay of the fit.
 SAMPLE, BUCKETS, STEPS, DECAY = 6000, 2048, 150, 1e-4
 
@@ -129,7 +131,7 @@ def _fit(docs: DataFrame) -> Languages | None:
     """From rows with text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             x = [features(t).astype("<f2").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -151,7 +153,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     fitted = _fit(docs.filter(part != 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             rows, x = [], []
             for i, t in enumerate(b.column(1).to_pylist()):

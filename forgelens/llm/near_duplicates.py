@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from forgelens.llm import sketches
 from forgelens.llm.components import components
+from forgelens.llm.slices import by_bytes
 from forgelens.llm.tables import cut
 
 #: Sets on either side of a tile.
@@ -46,7 +47,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
     """Columns other than the text, and shingle sets."""
-    for b in batches:
+    for b in by_bytes(batches, 1):
         for first, run in sketches.slices(b.column(1).to_pylist()):
             yield [b.column(i).slice(first, len(run)) for i in (0, 2, 3)], sketches.shingle_sets(run, k)
 

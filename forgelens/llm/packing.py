@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.llm.slices import by_bytes
 from forgelens.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -175,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()
         def batch(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * len(FIELDS))], names=list(FIELDS))
 
-        for b in batches:
+        for b in by_bytes(batches, *range(1, 3 if prompt_col else 2)):
             found: list[tuple] = []
             texts = b.column(1).to_pylist()
             prompts = encoder.encode(b.column(2).to_pylist()) if prompt_col else iter([b""] * len(texts))

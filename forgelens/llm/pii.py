@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.llm.slices import by_bytes
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
 SCHEMA = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
@@ -178,7 +180,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per document the number of spans of each kind, the digest of the base spans, and all spans as kind:start:end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             rows = []
             for text in b.column(1).to_pylist():
                 found = spans(text)

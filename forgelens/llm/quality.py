@@ -7,9 +7,11 @@ score; Garg et al., "Mixture proportion estimation and PU learning"). Labels oth
 used. Inputs come from the whole text only: measures of its shape (character classes, repetition,
 lengths), and hashed counts of its words, pairs of words and runs of four characters.
 
-One pass makes every document's inputs, which are written once; the two samples are drawn by a hash of
-id and place in what was written, so that rows without an id or with equal ones are drawn like others,
-and hold at most about SAMPLE rows each, so what the driver sees is bounded; scoring is a map.
+The two samples are drawn first, by a hash of id and place, so that rows without an id or with equal
+ones are drawn like others, and hold at most about SAMPLE rows each; their inputs alone are made and
+seen by the driver. Then one map makes the inputs of every document and scores them; they are never
+written. Positives are found by their ids: of more than twice SAMPLE ids, that many are drawn, so what
+is broadcast is bounded.
 
 Defined results: a null or empty text has all inputs 0 and a score like any other; without any
 positive the score is 0.5; labels may repeat; rows that repeat are scored alike; other columns of
@@ -26,13 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import sketches
+from forgelens.llm.slices import by_bytes
 from forgelens.llm.tables import cut
 
 #: Rows in each of the two training samples, about; parts of the network and of its training.
 SAMPLE, HIDDEN, STEPS, BATCH, DECAY = 20_000, 8, 400, 1024, 3e-3
 PREDICT_FROM = 0.3
-#: Rows whose inputs a worker holds at once.
-PART = 1000
 #: Measures of shape, buckets of hashed counts (half for words, half for characters), and how much less these weigh: there are many, and positives may be few.
 MEASURES, GRAMS, GRAM_WEIGHT = 15, 128, 0.3
 INPUTS = MEASURES + GRAMS
@@ -89,18 +90,11 @@ def inputs_of(texts: list[str | None]) -> np.ndarray:
     return np.concatenate([np.zeros((0, INPUTS)), *found]).astype(np.float16)  # as they are kept, so that both uses give equal scores
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PART rows at a time, so that a worker holds few inputs at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, PART):
-            yield b.slice(at, PART)
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the inputs as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in by_bytes(batches, 1):
             rows = [x.tobytes() for x in inputs_of(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "inputs"])
 
@@ -185,24 +179,37 @@ def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
     return fit(positive, unlabelled, prior)
 
 
-def _sample(rows: DataFrame, seed: int) -> np.ndarray:
-    """About SAMPLE rows' inputs, by hash, in a fixed order."""
-    n = rows.count()
-    h = F.pmod(F.xxhash64("doc_id", "at", F.lit(seed)), F.lit(1 << 40))
-    drawn = rows.filter(h < F.lit(int((1 << 40) * SAMPLE / n))) if n > SAMPLE else rows
-    found = sorted((r[0], bytes(r[1])) for r in drawn.select(h, "inputs").collect())
-    return _rows([m for _, m in found])
+def _part_of(share: float, *of: str | Column) -> Column:
+    """Whether a row is among about this share of all, by a hash."""
+    return F.pmod(F.xxhash64(*of), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, share)))
+
+
+def _sample(rows: DataFrame, n: int, seed: int) -> np.ndarray:
+    """The inputs of about SAMPLE of n rows (doc_id, text and at, a row's place), in a fixed order."""
+    drawn = rows.filter(_part_of(SAMPLE / n, "doc_id", "at", F.lit(seed))) if n > SAMPLE else rows
+    return _rows([m for _, m in sorted((r[0], bytes(r[1])) for r in measured(drawn).select(F.xxhash64("doc_id", F.lit(seed)), "inputs").collect())])
+
+
+def _positives(ids: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Ids of trusted positives, about twice SAMPLE at most, and how many rows have them."""
+    trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = cut(ids.groupBy("doc_id").agg(F.count("*").alias("c")).join(trusted, "doc_id"))
+    n = found.count()
+    if n > 2 * SAMPLE:
+        found = found.filter(_part_of(2 * SAMPLE / n, "doc_id", F.lit(3)))
+    return found.select("doc_id"), found.agg(F.sum("c")).first()[0] or 0
 
 
 def held_out_part(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts))
 
 
-def trained(rows: DataFrame, labels: DataFrame) -> Network | None:
-    """The network for measured rows, or None without positives."""
-    seen = rows.withColumn("at", F.monotonically_increasing_id()).filter(held_out_part(F.col("doc_id"), 5) != 0)
-    trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    positive, unlabelled = _sample(seen.join(trusted, "doc_id", "left_semi"), 1), _sample(seen, 2)
+def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The network for documents, or None without positives."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("at"))
+    seen = slim.filter(held_out_part(F.col("doc_id"), 5) != 0)
+    ids, n = _positives(seen.select("doc_id"), labels)
+    positive, unlabelled = _sample(seen.join(F.broadcast(ids), "doc_id", "left_semi"), n, 1), _sample(seen, seen.count(), 2)
     return fit_with_prior(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
@@ -210,25 +217,29 @@ def scores(net: Network | None, x: np.ndarray) -> np.ndarray:
     return _sigmoid(net(x)) if net else np.full(len(x), 0.5)
 
 
+def _scored(net: Network | None, b: pa.RecordBatch, text: int) -> np.ndarray:
+    return scores(net, inputs_of(b.column(text).to_pylist()).astype(float))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document doc_id, held_out (its label wasn't used), score and predicted."""
-    rows = cut(measured(docs))
-    net = trained(rows, labels)
+    net = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(net, _rows(b.column(1).to_pylist())))], names=["doc_id", "score"])
+        for b in by_bytes(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scored(net, b, 1))], names=["doc_id", "score"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = held_out_part(F.col("doc_id"), 5) == 0
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with all their columns. Measuring again costs less than a join with the texts."""
-    net, at = trained(cut(measured(docs)), labels), docs.columns.index("text")
+    """The documents that aren't rejected, with all their columns (text has to be a string)."""
+    net, at = trained(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
-            yield b.filter(pa.array(scores(net, inputs_of(b.column(at).to_pylist()).astype(float)) >= PREDICT_FROM))
+        for b in by_bytes(batches, at):
+            yield b.filter(pa.array(_scored(net, b, at) >= PREDICT_FROM))
 
     return docs.mapInArrow(run, docs.schema)

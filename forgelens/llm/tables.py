@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where tables of a scratch() are cut; None: in the application's own folder.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, kind: str = "tables") -> str:
     """A place for one table below this application's folder."""
     return f"{shared_folder(spark)}/{spark.conf.get('spark.app.id', 'application')}/{kind}/{uuid.uuid4().hex}"
@@ -26,13 +33,25 @@ def new_path(spark: SparkSession, kind: str = "tables") -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once and read again: later work starts from the files, also after executors are lost."""
-    path = new_path(df.sparkSession)
+    folder = _SCRATCH.get()
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, kind: str = "tables") -> None:
-    """Deletes what this application has cut so far. Results that are still to be computed from it have to be written before."""
-    folder = new_path(spark, kind).rsplit("/", 1)[0]
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001 - Spark's Python API deletes no files
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all that is in it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Spark's Python API deletes no files
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)  # noqa: SLF001
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that are cut inside go to a folder of their own, which goes at the end: write a result that reads them before. Other tables stay."""
+    path = new_path(spark, "scratch")
+    held = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(held)
+        drop(spark, path)

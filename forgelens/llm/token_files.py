@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from forgelens.llm.slices import by_bytes
 from forgelens.llm.tokens import Encoder
 
 # Ids in a word and bits of each, by selector; the largest id that a word holds stands for an escape.
@@ -106,7 +107,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             before, ids, doc_ids, starts = before + starts[-1], bytearray(), [], [0]
             return row
 
-        for b in batches:
+        for b in by_bytes(batches, 1):
             rows = []
             for doc_id, found in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                 ids += found + end

@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 
 #: Texts that are encoded together, and the longest chunk and number of chunks kept.
-SLICE, KEEP_CHARS, KEEP_CHUNKS = 256, 48, 800_000
+SLICE, KEEP_CHARS, KEEP_CHUNKS = 256, 48, 500_000
 PUNCTUATION = ".,!?;:*$%&#|"
 
 _ODD_SPACE = re.compile(r"\s(?:\s|$)")

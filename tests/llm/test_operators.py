@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, token_files, top_k
+from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, slices, token_files, top_k
 from forgelens.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 from forgelens.llm.tokens import Encoder
 
@@ -507,12 +507,32 @@ def test_samples_are_bounded_without_ids(spark, monkeypatch):
     monkeypatch.setattr(language, "Languages", lambda x, lang: seen.append(len(x)))
     for doc_id in (None, 1):
         d = docs(spark, [(doc_id, t, "en", "s", 1) for t in texts])
-        rows = quality.measured(d).withColumn("at", F.monotonically_increasing_id())
-        seen += [len(quality._sample(rows, 1)), len(quality._sample(rows, 2))]
+        rows = d.select("doc_id", "text").withColumn("at", F.monotonically_increasing_id())
+        seen += [len(quality._sample(rows, 2000, 1)), len(quality._sample(rows, 2000, 2))]
         language._fit(d)
     assert len(seen) == 6 and all(100 < n < 300 for n in seen)
 
 
+def test_positives_are_drawn_by_id(spark, monkeypatch):
+    """Of many trusted ids about twice SAMPLE are drawn, with all their rows; null ids are nobody's."""
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    ids = spark.createDataFrame([(i % 1500,) for i in range(3000)] + [(None,)] * 5, "doc_id long")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(1200)] + [(None, 1), (3, 1)], "doc_id long, quality int")
+    found, n = quality._positives(ids, labels)
+    got = {r[0] for r in found.collect()}
+    assert 120 < len(got) < 280 and got <= set(range(1000)) and n == 2 * len(got)
+    found, n = quality._positives(ids, labels.filter("doc_id < 50"))
+    assert {r[0] for r in found.collect()} == set(range(50)) and n == 100
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["a" * 400, None, "", "b" * 5000, "é" * 200, *["c"] * 40]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(slices.by_bytes(iter([b, b.slice(0, 0)]), 1, limit=1000))
+    assert [t for x in got for t in x.column(1).to_pylist()] == texts and max(x.num_rows for x in got) <= 16
+    assert all(x.num_rows == 1 or sum(len((t or "").encode()) for t in x.column(1).to_pylist()) <= 1000 for x in got)
+
+
 def two_classes(rng, n):
     return rng.normal(0, 1, (n, quality.INPUTS)), np.concatenate([rng.normal(3, 1, (n, quality.MEASURES)), rng.normal(0, 1, (n, quality.GRAMS))], axis=1)
 
