@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -84,6 +84,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_of_ids(read_ids(spark, path))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.tables import new_path
+    from forgelens.llm.warc import read_warc, write_warc
+
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).drop("url")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from forgelens.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_divergence": op11_divergence,
+    "op12_warc": op12_warc,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
@@ -122,4 +146,45 @@ WITH flat AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_top_k": _TOP_K_SQL}
+#: Dense: every kept term with every group of its language.
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), t AS (
+  SELECT lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), n AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL
+), langs AS (
+  SELECT lang, sum(total)::HUGEINT AS total, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM groups g GROUP BY lang
+), p AS (
+  SELECT k.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 1) // (g.total + l.v) AS p
+  FROM kept k JOIN groups g ON g.lang = k.lang JOIN langs l ON l.lang = k.lang LEFT JOIN n ON n.lang = k.lang AND n.term = k.term AND n.source = g.source
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q FROM n JOIN langs USING (lang) GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_top_k": _TOP_K_SQL, "op11_divergence": _DIVERGENCE_SQL, "op12_warc": _WARC_SQL}

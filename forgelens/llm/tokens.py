@@ -34,7 +34,7 @@ _ODD_SPACE = re.compile(r"\s(?:\s|$)")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -79,7 +79,7 @@ class Encoder:
         self.may_add = re.compile("|".join(map(re.escape, sorted(begins))), re.IGNORECASE).search if begins else lambda text: None
         self.lower = "Lowercase" in str(spec.get("normalizer"))
         self.cut = {"before_space": _before_space, "drop_space": _drop_space, "whole": lambda text: [text]}[self.rule]
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.plain = re.compile((" ?" if self.rule == "before_space" else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.kept: dict[str, bytes] = {}
 
