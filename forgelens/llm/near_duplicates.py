@@ -18,8 +18,9 @@ The bands miss a pair at exactly the least similarity with probability (1 - 0.85
 
 Defined results: a text without words (null, empty, blank) has no shingles and is linked with
 nothing; one with fewer words than a shingle is one shingle; rows that repeat are copies; if a
-doc_id repeats with different texts, links of each row count for the id; a null doc_id keeps its row
-and counts as the id -1 in links; other columns are ignored.
+doc_id repeats with different texts, links of each row count for the id; a row without a doc_id stands
+for itself: it links what is near its text, has the least doc_id that it reaches as its component_id
+(null if it reaches none) and is kept if there is none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import sketches
@@ -42,7 +43,8 @@ TILE = 64
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = docs["text"].cast("string")
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-1).cast("long")).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), docs["doc_id"].isNull().alias("no_id"))
+    given = docs["doc_id"].cast("long")
+    return docs.select(F.coalesce(given, F.lit(0).cast("long")).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), given.isNull().alias("no_id"))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
@@ -59,7 +61,7 @@ def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
 
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id (-1 for none), the text's hash h, no_id, the set's size n, its digest and its band keys."""
+    """id (0 beside no_id), the text's hash h, no_id, the set's size n, its digest and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for others, sets in _batches(batches, k):
@@ -148,35 +150,52 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return edges.unionByName(cut(_tile_links(members, cut(components(edges)), sets, percent)))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
-    """Per row doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is its component's least)."""
+def _named(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Per row no_id, id, the text's hash h, the set's size n and component_id (null if no doc_id is in it)."""
     info = cut(sketched(docs, k, bands, rows))
-    classes = info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "h")).alias("least"), F.first("keys").alias("keys"))
-    classes = cut(classes.select("n", "d1", "d2", "least.id", "least.h", "keys").withColumn("rep", F.monotonically_increasing_id()))
+    classes = info.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("no_id", "id", "h")).alias("least"), F.first("keys").alias("keys"))
+    classes = cut(classes.select("n", "d1", "d2", "least.no_id", "least.id", "least.h", "keys").withColumn("rep", F.monotonically_increasing_id()))
     keys = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     members = cut(keys.join(shared, "key").select("key", "rep", "n"))
-    candidates = cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "h", "n", "d1", "d2"))
-    texts = _texts(docs).join(candidates.select("id", "h").distinct().hint("shuffle_hash"), ["id", "h"], "left_semi")  # one text of each candidate; they grow with the documents
+    candidates = cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "no_id", "id", "h", "n", "d1", "d2"))
+    texts = _texts(docs).join(candidates.select("no_id", "id", "h").distinct().hint("shuffle_hash"), ["no_id", "id", "h"], "left_semi")  # one text of each candidate; they grow with the documents
     sets = cut(shingled(texts, k).join(candidates, ["n", "d1", "d2"]).select("rep", "n", "shingles"))
-    placed = cut(info.drop("keys", "h").join(classes.select("n", "d1", "d2", "rep", F.col("id").alias("least")), ["n", "d1", "d2"], "left").select("no_id", "id", "n", "rep", "least"))
-    several = cut(placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a"))
-    same_id = placed.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    own = classes.select("n", "d1", "d2", "rep", F.when(~F.col("no_id"), F.col("id")).alias("least"))
+    placed = cut(info.drop("keys").join(own, ["n", "d1", "d2"], "left").select("no_id", "id", "h", "n", "rep", "least"))
+    with_id = placed.filter(~F.col("no_id"))
+    several = cut(with_id.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a"))
+    same_id = with_id.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
     labels = cut(components(links(members, sets, percent).unionByName(same_id)).select(F.col("node").alias("rep"), "label"))
-    named = cut(labels.join(classes.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("name")))
+    named = cut(labels.join(own.filter("least is not null").select("rep", "least"), "rep").groupBy("label").agg(F.min("least").alias("name")))
     whole = placed.join(labels.join(named, "label").select("rep", "name"), "rep", "left")
-    given = lambda c: F.when(~F.col("no_id"), c)
-    whole = whole.withColumns({"doc_id": given(F.col("id")), "component_id": given(F.coalesce("name", "least", "id"))})
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return whole.withColumn("component_id", F.coalesce("name", "least", F.when(~F.col("no_id"), F.col("id")))).select("no_id", "id", "h", "n", "component_id")
+
 
+def _kept() -> Column:
+    return F.when(F.col("no_id"), F.col("component_id").isNull()).otherwise(F.col("id") == F.col("component_id"))
 
-def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents, with their columns, of which each is the least of its component; of rows with equal doc_id and text one stays, and so do all without a doc_id."""
-    found = near_duplicates(docs, **how)
-    gone = cut(found.filter("not kept").select("doc_id").distinct())
-    repeated = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"))
-    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
+    """Per row doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is its component's least)."""
+    found = _named(docs, k, percent, bands, rows)
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
+    """The documents, with their columns, of which each is the least of its component.
+
+    Of rows with equal doc_id and text one stays. A row without a doc_id goes if any row with one is in
+    its component; where none is, all of them stay.
+    """
+    found = cut(_named(docs, k, percent, bands, rows).withColumn("kept", _kept()))
+    gone = found.filter("not kept and not no_id").select("id").distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    nameless = found.filter("not kept and no_id").select("h").distinct()
+    if not nameless.isEmpty():
+        left = left.join(nameless, docs["doc_id"].isNull() & (F.xxhash64(docs["text"].cast("string")) == nameless["h"]), "left_anti")
+    repeated = cut(found.filter("kept and not no_id").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, docs["doc_id"] == repeated["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, docs["doc_id"] == repeated["doc_id"], "left_anti").unionByName(once)
+    once = left.join(repeated, docs["doc_id"] == repeated["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, docs["doc_id"] == repeated["id"], "left_anti").unionByName(once)
