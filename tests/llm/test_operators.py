@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, slices, token_files, top_k
+from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, slices, tables, token_files, top_k
 from forgelens.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 from forgelens.llm.tokens import Encoder
 
@@ -247,8 +247,41 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     a, b, c, d, e = (sentence(rng, n) for n in (104, 110, 120, 130, 5000))
     rows = [(7, a), (None, edited(a, 50)), (None, e), (20, b), (21, c), (22, edited(b, 40)), (22, edited(c, 60)), (30, d), (31, edited(d, 9)), (32, sentence(rng, 100))]
     found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == [(7, -1), (20, 20), (21, 20), (22, 20), (22, 20), (30, 30), (31, 30), (32, 32)]
-    assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)] * 2
+    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == [(7, 7), (20, 20), (21, 20), (22, 20), (22, 20), (30, 30), (31, 30), (32, 32)]
+    assert {(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None} == {(7, False), (None, True)}
+
+
+def brute_named(rows, percent=85):
+    """component_id of each row: rows are nodes, linked by text or by an id that both have."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            near = sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+            if (near or (rows[i][0] is not None and rows[i][0] == rows[j][0])) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return [min((rows[k][0] for k, x in enumerate(label) if x == y and rows[k][0] is not None), default=None) for y in label]
+
+
+def test_null_ids_are_nodes_of_their_own(spark):
+    """Rows without an id link what is near them and nothing else, also beside real ids -1 and 0."""
+    rng = random.Random(31)
+    a, b, c, d = (sentence(rng, 100) for _ in range(4))
+    rows = [(None, a), (7, edited(a, 50)), (None, b), (9, edited(b, 50)), (-1, c), (0, d), (None, edited(c, 9)), (None, sentence(rng, 60)), (None, None), (None, ""), (11, None)]
+    for _ in range(40):
+        base = rng.choice([a, b, c, d, sentence(rng, 70)])
+        rows.append((rng.choice([None, None, -1, 0, 7, *range(12, 30)]), edited(base, *rng.sample(range(60), rng.randrange(4)))))
+    rows += [rows[0], rows[1], rows[2]]
+    want = brute_named(rows)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda x: tuple((y is not None, y or 0) for y in x)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=key) == sorted(((i, len(shingle_set(t)), w) for (i, t), w in zip(rows, want)), key=key)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+    kept = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    stay = {(i, t) for (i, t), w in zip(rows, want) if i == w}
+    assert {tuple(r) for r in kept} == stay and sum(r[0] is not None for r in kept) == sum(i is not None for i, _ in stay)
 
 
 def test_pipeline_s_near_duplicates_begin_at_80_percent(spark):
@@ -434,6 +467,42 @@ def test_shards_of_many_ranges(spark, monkeypatch, tmp_path):
     assert {(r["doc_id"], r["text"], r["shard"]) for r in again} == {(r["doc_id"], texts[r["doc_id"]], r["shard"]) for r in rows} and len(again) == 3000
 
 
+def test_shards_keep_groups_whole(spark):
+    """Groups that fit are in one shard, larger ones in as few as can take them, and shards are nearly equal."""
+    rng = random.Random(17)
+    texts = [sentence(rng, rng.choice([1, 5, 30])) for _ in range(1500)]
+    for n, size in ((900, 30), (300, 20), (120, 10), (40, 5), (7, 40), (2, 60)):
+        texts += [sentence(rng, size)] * n
+    texts += [""] * 2000 + texts[:200]
+    rng.shuffle(texts)
+    rows = sharding.shard_documents(docs(spark, texts), 8).collect()
+    share, of, size = sum(r["size"] for r in rows) / 8, {}, {}
+    for r in rows:
+        of.setdefault(texts[r["doc_id"]], {}).setdefault(r["shard"], 0)
+        of[texts[r["doc_id"]]][r["shard"]] += r["size"]
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+    assert all(len(found) == 1 for found in of.values() if sum(found.values()) < share / 16)
+    assert sum(len(found) > 1 for found in of.values()) <= 2 and all(len(found) <= 2 + sum(found.values()) / share for found in of.values())
+    assert all(abs(s - share) <= share / 16 + max(r["size"] for r in rows) for s in size.values())
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == i) == list(range(sum(r["shard"] == i for r in rows))) for i in range(8))
+
+
+def test_large_groups_are_given_places():
+    places, taken = sharding.given_places({1: 50, 2: 250, 3: 60, 4: 40}, 100, 4)
+    assert places[3] == [(60, 3)] or len(places[3]) == 1
+    assert sum(taken) == 400 and max(taken) == 100 and [e for e, _ in places[2]] == [100, 200, 250]
+
+
+def test_ranges_split_rows_of_one_text_without_ids(spark, monkeypatch):
+    """A third of the rows share text and have no id: no range holds more than its share of them."""
+    monkeypatch.setattr(sharding, "cut", lambda df: seen.append(df) or tables.cut(df))
+    seen = []
+    rng = random.Random(18)
+    rows = [(None, "one text of many")] * 5000 + [(i, sentence(rng, 4)) for i in range(10_000)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(found) == 15_000 and max(r[1] for r in seen[-1].groupBy("_range").count().collect()) < 15_000 / 64 * 4
+
+
 # Exact top-k
 
 
