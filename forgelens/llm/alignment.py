@@ -28,6 +28,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from forgelens.llm.tables import cut
 from forgelens.llm.tokens import byte_letters
 
 #: Bytes of texts in a unit, about (one longer text is a unit alone); pieces that a worker keeps, and how long they may be; rows of pairs in a batch.
-UNIT_BYTES, KEEP_PIECES, KEEP_CHARS, PAIR_ROWS = 8 << 20, 300_000, 48, 200_000
+UNIT_BYTES, KEEP_PIECES, KEEP_CHARS, PAIR_ROWS = 8 << 20, 600_000, 48, 200_000
 
 UNIT = "unit long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, pairs binary, holders binary, docs binary, times binary"
 PAIR = "unit long, a int, b int, holders long"
@@ -57,20 +58,17 @@ _PIECES = re.compile(r"(?<=\S)(?= )")
 Aligned = tuple[int, int, int, str, bytes]
 
 
-def labels(a: list[int], b: list[int]) -> bytes:
-    """The label of each byte, of tokens' lengths in bytes."""
-    out = bytearray(sum(a))
-    for lengths, label in ((a, 1), (b, 2)):
-        end = -1
-        for n in lengths:
-            end += n
-            out[end] |= label
-    return bytes(out)
+def labels(a: np.ndarray, b: np.ndarray, n: int) -> bytes:
+    """The label of each of n bytes, of the ends of tokens."""
+    out = np.zeros(n, np.uint8)
+    out[a - 1] |= 1
+    out[b - 1] |= 2
+    return out.tobytes()
 
 
-def groups(label: bytes) -> list[tuple[int, int]]:
-    """How many tokens of A and of B each group has."""
-    return [(1 + s.count(1), 1 + s.count(2)) for s in _SPAN.findall(label)]
+def group_ends(label: bytes) -> np.ndarray:
+    """Where the spans end."""
+    return np.cumsum(np.fromiter(map(len, _SPAN.findall(label)), np.int64))
 
 
 class Aligner:
@@ -88,12 +86,17 @@ class Aligner:
         letters = {chr(c): byte for byte, c in byte_letters().items()}
         with open(a, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in vocabulary.items() if all(c in letters for c in entry)}
+        self.a_bytes = [b""] * (1 + max(vocabulary.values()))
+        for entry, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
         self.blank = self.b.piece_to_id("▁")
         self.size = len(pieces)
+        self.lengths = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        # ids as text with what stands behind them inside a group and at its end
+        self.shown = [[np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks] for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
         self.kept: dict[str, Aligned | None] = {}
 
     @classmethod
@@ -105,35 +108,53 @@ class Aligner:
 
     def _learn(self, pieces: list[str]) -> dict[str, Aligned | None]:
         """Of pieces that begin with a space each; None where a tokenizer doesn't give the piece's bytes."""
-        found_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        found_b = self.b.encode([p[1:] for p in pieces], num_threads=1)  # B adds the space again
-        return {p: self._aligned(p.encode(), x.ids, y or [self.blank]) for p, x, y in zip(pieces, found_a, found_b)}
-
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(parts[0]) != text or b"".join(parts[1]) != text:
-            return None
-        spans = groups(labels(*([*map(len, p)] for p in parts)))
-        shown, pairs, i, j = [], [], 0, 0
-        for x, y in spans:
-            shown.append(",".join(map(str, a[i : i + x])) + "|" + ",".join(map(str, b[j : j + y])))
-            if x == 1 or y == 1:  # one token of one kind meets all of the other
-                pairs += [p * self.size + q for p in a[i : i + x] for q in b[j : j + y]]
-            else:
-                p, q = i, j
-                end_a, end_b = len(parts[0][p]), len(parts[1][q])
-                while True:
-                    pairs.append(a[p] * self.size + b[q])
-                    if p == i + x - 1 and q == j + y - 1:
-                        break
-                    if end_a < end_b:
-                        p += 1
-                        end_a += len(parts[0][p])
-                    else:  # inside a group no two ends meet
-                        q += 1
-                        end_b += len(parts[1][q])
-            i, j = i + x, j + y
-        return len(a), len(b), len(spans), ";".join(shown), np.array(pairs, "<i8").tobytes()
+        found = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)], [y or [self.blank] for y in self.b.encode([p[1:] for p in pieces], num_threads=1)]  # B adds the space again
+        texts = [p.encode() for p in pieces]
+        if not all(self._gives(ids, which, texts) for which, ids in enumerate(found)):
+            good = [all(self._gives([ids[i]], which, [t]) for which, ids in enumerate(found)) for i, t in enumerate(texts)]
+            kept = [i for i, ok in enumerate(good) if ok]
+            whole = self._aligned([texts[i] for i in kept], *[[ids[i] for i in kept] for ids in found])
+            return {p: next(whole) if ok else None for p, ok in zip(pieces, good)}
+        return dict(zip(pieces, self._aligned(texts, *found)))
+
+    def _gives(self, ids: list[list[int]], which: int, texts: list[bytes]) -> bool:
+        """Whether the tokens' bytes are those of each text."""
+        parts = (self.a_bytes, self.b_bytes)[which]
+        if b"".join([parts[i] for x in ids for i in x]) != b"".join(texts):
+            return False
+        n, length = np.fromiter(map(len, ids), np.int64, len(ids)), self.lengths[which]
+        ends = np.cumsum(length[np.fromiter(chain.from_iterable(ids), np.int64)])
+        return bool((ends[np.cumsum(n) - 1] == np.cumsum([len(t) for t in texts])).all()) and bool(n.all())
+
+    def _aligned(self, texts: list[bytes], *found: list[list[int]]) -> Iterator[Aligned]:
+        """Of texts that both tokenizers give back, all in one string of labels; every text ends with a label of both."""
+        if not texts:
+            return
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in found]
+        ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, ids)]
+        label = labels(*ends, int(ends[0][-1]))
+        upto = group_ends(label)
+        # how many ends of each kind a span has, as sums up to its end
+        counts = [np.searchsorted(e, upto, "right") for e in ends]
+        flat = np.frombuffer(label, np.uint8)
+        at = np.flatnonzero(flat)
+        kinds = [flat[at] & 1, flat[at] >> 1]
+        a, b = (x[np.cumsum(k, dtype=np.int64) - k] for x, k in zip(ids, kinds))  # the tokens of each stretch
+        links = (a * self.size + b).astype("<i8").tobytes()
+        tokens = np.empty(len(ids[0]) + len(ids[1]), object)
+        for which, (x, (inside, last)) in enumerate(zip(ids, self.shown)):
+            text = inside[x]
+            text[counts[which] - 1] = last[x[counts[which] - 1]]
+            others = np.repeat(counts[1 - which] if which else np.concatenate([[0], counts[1][:-1]]), np.diff(counts[which], prepend=0))
+            tokens[np.arange(len(x)) + others] = text
+        tokens = tokens.tolist()
+        n = [np.cumsum([len(y) for y in x]) for x in found]
+        last = np.searchsorted(upto, np.cumsum([len(t) for t in texts])) + 1
+        before = (0, 0, 0)
+        for now in zip(n[0].tolist(), n[1].tolist(), last.tolist()):
+            (x, y, g), (i, j, k) = before, now
+            yield i - x, j - y, k - g, "".join(tokens[x + y : i + j])[:-1], links[8 * (x + y - g) : 8 * (i + j - k)]
+            before = now
 
     def align(self, texts: list[str | None]) -> Iterator[Aligned | None]:
         """None for a text without tokens."""

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,16 +99,16 @@ def test_pieces_give_the_groups_of_whole_texts(text):
         assert found is None
     else:
         assert (found[0], found[1], found[3]) == want[:3] and found[2] == want[2].count(";") + 1
-        import numpy as np
-
         size = alignment.Aligner.of(A, B).size
         assert Counter((int(c) // size, int(c) % size) for c in np.frombuffer(found[4], "<i8")) == Counter(want[3])
 
 
 def test_labels_and_groups():
-    assert alignment.labels([1, 2, 3], [3, 1, 2]) == bytes([1, 0, 3, 2, 0, 3])
-    assert alignment.groups(bytes([1, 0, 3, 2, 0, 3])) == [(2, 1), (1, 2)]
-    assert alignment.groups(labels := alignment.labels([10, 1], [5, 5, 1])) == [(1, 2), (1, 1)] and labels[9] == 3  # byte 10 is no line's end here
+    ends = lambda *lengths: np.cumsum(lengths)
+    assert alignment.labels(ends(1, 2, 3), ends(3, 1, 2), 6) == bytes([1, 0, 3, 2, 0, 3])
+    assert alignment.group_ends(bytes([1, 0, 3, 2, 0, 3])).tolist() == [3, 6]
+    label = alignment.labels(ends(10, 1), ends(5, 5, 1), 11)
+    assert alignment.group_ends(label).tolist() == [10, 11] and label[9] == 3
 
 
 @pytest.mark.parametrize("unit_bytes", [8 << 20, 700])
