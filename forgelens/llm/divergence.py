@@ -41,7 +41,7 @@ from forgelens.llm.tables import cut
 #: Documents that a kept term is in; the unit of shares; ranks of terms.
 LEAST_DOCUMENTS, UNIT, RANKS = 3, 1_000_000_000, 200
 #: Counted terms that a task holds before it passes them on; pairs of a slice of the second scan.
-HELD, PAIRS = 300_000, 1 << 20
+HELD, PAIRS = 600_000, 1 << 20
 
 COUNTS = "lang string, term string, source string, holders long, n long"
 KEPT = "lang string, term string, sources array<string>, counts array<long>"
@@ -82,37 +82,42 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(*given).mapInArrow(run, COUNTS)
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
 def kept_terms(rows: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """A row for each run of (lang, term) that enough documents hold, with its sources and counts; the group rows, as the term '', whole."""
+    names = ["lang", "term", "source", "holders", "n"]
+
+    def scanned(b: pa.RecordBatch | pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """(runs that have ended, rows of the one that hasn't, one for each of its sources)"""
+        lang, term, source, holders, n = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in b.columns)
+        new = _changes(lang) | _changes(term)
+        run = np.flatnonzero(np.concatenate([[True], new]))
+        entry = np.flatnonzero(np.concatenate([[True], new | _changes(source)]))
+        sums = [np.add.reduceat(c.to_numpy(), entry) for c in (holders, n)]
+        first = np.searchsorted(entry, run)  # each run's first entry
+        done = len(run) if last else len(run) - 1
+        end = len(entry) if last else first[-1]
+        left = [c.take(pa.array(entry[end:])) for c in (lang, term, source)] + [pa.array(x[end:]) for x in sums]
+        at = pa.array(run[:done])
+        offsets = pa.array(np.concatenate([first[:done], [end]]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (source.take(pa.array(entry[:end])), pa.array(sums[1][:end]))]
+        found = pa.RecordBatch.from_arrays([lang.take(at), term.take(at), *lists], names=["lang", "term", "sources", "counts"])
+        enough = np.add.reduceat(sums[0], first)[:done] >= least
+        group = pc.equal(found.column(1), "").to_numpy(zero_copy_only=False)
+        return found.filter(pa.array(enough | group)), pa.RecordBatch.from_arrays(left, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple[str, str] | None = None
-        holders, sources, counts, out = 0, [], [], []
-
-        def ended() -> None:
-            if now and (holders >= least or not now[1]):
-                out.append((*now, sources, counts))
-
-        def batch() -> pa.RecordBatch:
-            columns = [list(c) for c in zip(*out)] if out else [[]] * 4
-            out.clear()
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "term", "sources", "counts"])
-
+        left = None
         for b in batches:
-            for lang, term, source, h, n in zip(*(c.to_pylist() for c in b.columns)):
-                if (lang, term) != now:
-                    ended()
-                    now, holders, sources, counts = (lang, term), 0, [], []
-                holders += h
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
-            yield batch()
-        ended()
-        yield batch()
+            if b.num_rows:
+                found, left = scanned(pa.Table.from_batches([left, b]) if left is not None else b, False)
+                yield found
+        if left is not None:
+            yield scanned(left, True)[0]
 
     return rows.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(run, KEPT)
 

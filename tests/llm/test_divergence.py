@@ -38,7 +38,7 @@ def result(found):
     return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in found.collect())
 
 
-@pytest.mark.parametrize(("held", "pairs"), [(300_000, 1 << 20), (40, 50)])
+@pytest.mark.parametrize(("held", "pairs"), [(600_000, 1 << 20), (40, 50)])
 def test_divergence(spark, messy, monkeypatch, held, pairs):
     monkeypatch.setattr(divergence, "HELD", held)
     monkeypatch.setattr(divergence, "PAIRS", pairs)
