@@ -53,6 +53,7 @@ def _options(args: list[str] | None) -> argparse.Namespace:
     p.add_argument("--canonical", help="merge: the address that stays")
     p.add_argument("--alias", action="append", default=[], help="merge: an address that is the same person's")
     p.add_argument("--transport", default="", help="extract: module:function instead of the network")
+    p.add_argument("--full", action="store_true", help="extract: everything, not only what is newer than the last run's")
     for side in ("baseline", "comparison"):
         p.add_argument(f"--{side}-start")
         p.add_argument(f"--{side}-end")
@@ -73,8 +74,13 @@ def main(args: list[str] | None = None) -> int:
     filters = metrics.Filters(since, until, c.repos, c.excluded)
     if a.command == "extract":
         store.create_tables()
-        added = Extraction(spark, store, c, a.since, a.until, a.transport).run(Progress(beside(a.config, "progress")), IdentityFile(beside(a.config, "people.json")))
+        progress = Progress(beside(a.config, "progress"))
+        added = Extraction(spark, store, c, a.since, a.until, a.transport, full=a.full).run(progress, IdentityFile(beside(a.config, "people.json")))
         print(", ".join(f"{t}: {n}" for t, n in added.items()))
+        unfinished = [r for r in c.repos if progress.exists(r)]
+        if unfinished:
+            print(f"unfinished, to be asked again: {', '.join(unfinished)}")
+            return 1
     elif a.command == "score":
         print(f"scored by rule: {scoring.score_commits(store, excluded=c.excluded)}")
     elif a.command == "merge":

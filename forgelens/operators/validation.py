@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words in the name of a metric that is compared as an integer.
+# The line of counts, and words in the name of a metric that is compared as an integer.
 INTEGER_WORDS = ("count", "commits", "unique_authors", "commit_count", "authors", "merged_count", "total_mrs")
 TOP = 10
 SCHEMA = "metric string, reference string, result string, status string, delta double"
@@ -20,11 +20,10 @@ def is_integer_metric(metric: Column) -> Column:
 
 
 def status_of(metric: Column, reference: Column, result: Column, tolerance: float = 0.01) -> Column:
-    """PASS if equal, OK within the tolerance, else FAIL; text exactly, integer metrics by their whole part."""
+    """PASS if equal, OK within the tolerance, else FAIL; text exactly, integer metrics by their whole part. NaN and infinities equal themselves only."""
     a, b = reference.try_cast("double"), result.try_cast("double")
-    numbers = F.when(is_integer_metric(metric), F.when(a.cast("long") == b.cast("long"), "PASS").otherwise("FAIL")).otherwise(
-        F.when(a == b, "PASS").when(F.abs(a - b) <= tolerance, "OK").otherwise("FAIL")
-    )
+    whole = F.when(a.try_cast("long") == b.try_cast("long"), "PASS").otherwise("FAIL")
+    numbers = F.when(a == b, "PASS").when(is_integer_metric(metric), whole).when(F.abs(a - b) <= tolerance, "OK").otherwise("FAIL")
     return (
         F.when(reference.isNull() & result.isNull(), "PASS")
         .when(reference.isNull() | result.isNull(), "FAIL")
@@ -39,17 +38,25 @@ def compared(pairs: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return pairs.select("metric", "reference", "result", status_of(metric, a, b, tolerance).alias("status"), F.abs(a.try_cast("double") - b.try_cast("double")).alias("delta"))
 
 
-def compare_by_key(reference: DataFrame, result: DataFrame, key: str, metrics: tuple[str, ...], label: str, tolerance: float = 0.01, result_key: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
-    """Each metric that the reference has, of each of its rows, against the result's row of the same key (of several the greatest in all columns); rows that the reference lacks are ignored.
+def compare_by_key(
+    reference: DataFrame, result: DataFrame, key: str, metrics: tuple[str, ...], label: str, tolerance: float = 0.01, result_key: str | None = None, names: dict[str, str] | None = None, last: bool = True
+) -> DataFrame:
+    """Each metric that the reference has, of each of its rows, against the result's row of the same key; rows that the reference lacks are ignored, and without a known metric nothing is compared.
 
-    names: what the result calls a metric of the reference.
+    names: what the result calls a metric of the reference. last: of several of the result's rows the last counts, else the first.
     """
     names, metrics = names or {}, tuple(m for m in metrics if m in reference.columns)
+    if not metrics:
+        return reference.sparkSession.createDataFrame([], SCHEMA)
     called = {m: next((n for n in (names.get(m, m), m) if n in result.columns), None) for m in metrics}
-    ours = result.select(F.col(result_key or key).cast("string").alias("k"), *[(F.col(n).cast("string") if n else F.lit(None).cast("string")).alias(f"p_{m}") for m, n in called.items()])
-    ours = ours.groupBy("k").agg(F.max(F.struct(*[f"p_{m}" for m in metrics])).alias("p")).select("k", "p.*")
-    rows = reference.select(F.col(key).cast("string").alias("k"), *[F.col(m).cast("string").alias(f"r_{m}") for m in metrics]).join(ours, "k", "left")
-    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{label}["), F.col("k"), F.lit(f"].{m}")).alias("metric"), F.col(f"r_{m}").alias("reference"), F.col(f"p_{m}").alias("result")) for m in metrics]))
+    named = result_key or key
+    ours = result.select(
+        (F.col(named).cast("string") if named in result.columns else F.lit(None).cast("string")).alias("k"), F.struct(*[(F.col(n).cast("string") if n else F.lit(None).cast("string")).alias(f"p_{m}") for m, n in called.items()]).alias("p"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    ours = ours.groupBy("k").agg((F.max_by if last else F.min_by)("p", "at").alias("p")).select("k", "p.*")
+    rows = reference.select((F.col(key).cast("string") if key in reference.columns else F.lit(None).cast("string")).alias("k"), *[F.col(m).cast("string").alias(f"r_{m}") for m in metrics]).join(ours, "k", "left")
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{label}["), F.coalesce("k", F.lit("")), F.lit(f"].{m}")).alias("metric"), F.col(f"r_{m}").alias("reference"), F.col(f"p_{m}").alias("result")) for m in metrics]))
     return compared(rows.select(each.alias("x")).select("x.*"), tolerance)
 
 
@@ -59,19 +66,35 @@ CALLED = {"commit_count": "commits", "avg_score": "avg_weighted_score", "count":
 
 
 def compare_monthly(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """By the first seven characters of the month."""
+    """By the first seven characters of the month; of several rows of a month the first."""
     both = [t.withColumn("month", F.substring(F.col("month").cast("string"), 1, 7)) for t in (reference, result)]
-    return compare_by_key(*both, "month", MONTHLY, "monthly_trends", tolerance, names=CALLED)
+    return compare_by_key(*both, "month", MONTHLY, "monthly_trends", tolerance, names=CALLED, last=False)
+
+
+#: By what authors are ranked: the first of these that both sides have, or else that a side has.
+MEASURES = ("total_productivity", "commits", "total_lines_changed")
+
+
+def _ranked_by(reference: DataFrame, result: DataFrame) -> tuple[str, str] | None:
+    both = [(m, m) for m in MEASURES if m in reference.columns and m in result.columns]
+    own = [next((m for m in MEASURES if m in t.columns), None) for t in (reference, result)]
+    return both[0] if both else tuple(own) if all(own) else None
 
 
 def compare_authors(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """The ranking, then commits and productivity of each author of the reference, who is named by author_email or author."""
+    """The ranking, then commits and productivity of each author of the reference, who is named by author_email or author; of several rows of an author the last.
+
+    A side without any measure isn't ranked.
+    """
     key = "author_email" if "author_email" in reference.columns else "author"
-    by = "total_productivity" if {"total_productivity"} <= {*reference.columns} & {*result.columns} else "commits"
-    theirs = reference.select(F.col(key).alias("author_email"), F.col(by).try_cast("double").alias(by) if dict(reference.dtypes)[by] == "string" else F.col(by).cast("double").alias(by))
-    ranked = compare_ranking(theirs, result.select("author_email", F.col(by).cast("double").alias(by)), "author_email", by)
-    first = ranked.select(F.lit("author_ranking").alias("metric"), F.lit(None).cast("string").alias("reference"), F.lit(None).cast("string").alias("result"), "status", F.lit(None).cast("double").alias("delta"))
-    return first.unionByName(compare_by_key(reference, result, key, ("commits", "total_productivity"), "author", tolerance, result_key="author_email"))
+    found = compare_by_key(reference, result, key, ("commits", "total_productivity"), "author", tolerance, result_key="author_email")
+    by = _ranked_by(reference, result)
+    if not by or key not in reference.columns or "author_email" not in result.columns:
+        return found
+    sides = [t.select(F.col(k).alias("author_email"), F.col(m).cast("string").try_cast("double").alias("by")) for t, k, m in ((reference, key, by[0]), (result, "author_email", by[1]))]
+    ranked = compare_ranking(*sides, "author_email", "by")
+    none = F.lit(None)
+    return ranked.select(F.lit("author_ranking").alias("metric"), none.cast("string").alias("reference"), none.cast("string").alias("result"), "status", none.cast("double").alias("delta")).unionByName(found)
 
 
 def compare_categories(reference: DataFrame, result: DataFrame, tolerance: float = 0.01) -> DataFrame:

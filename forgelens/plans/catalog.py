@@ -287,6 +287,15 @@ query(
     f"""SELECT name, coalesce(string_agg(DISTINCT email, ', ' ORDER BY email), '') AS emails, CASE max(CASE WHEN coalesce(email IN ('user7@corp0.example'), false) OR coalesce(name IN ('Admin'), false) THEN 2 WHEN {_BOT} THEN 1 ELSE 0 END)
       WHEN 2 THEN 'Excluded' WHEN 1 THEN 'Bot' ELSE 'Active' END AS status FROM developers GROUP BY name""",
 )(lambda d: identity.roster_status(d, ("user7@corp0.example", "Admin")))
+query(
+    "deanonymize_merged", "commits developers",
+    f"""{_ALIASES} SELECT commit_sha, coalesce(canonical, author_email) AS author_email FROM commits LEFT JOIN al ON lower(author_email) = alias WHERE author_email IS NOT NULL""",
+)(
+    lambda c, d: identity.deanonymized(
+        identity.anonymized(c.filter("author_email is not null").select("commit_sha", "author_name", "author_email"), ("author_name", "author_email"), KEY, _aliases(d)),
+        identity.identity_map(identity.resolve_aliases(c, "author_email", _aliases(d)), KEY, "authored_date"),
+    ).select("commit_sha", "author_email")
+)
 query(
     "deanonymize", "commits",
     f"SELECT commit_sha, CASE WHEN author_email IS NULL THEN {_hmac_sql('author_name')} ELSE author_name END AS author_name, author_email FROM commits",
@@ -401,6 +410,18 @@ query(
         ).select("metric", "status")
     )(metrics.author_productivity(c.filter("author_email is not null"), s, OPEN))
 )
+query(
+    "validate_repeated_authors", "commits",
+    f"""a AS (SELECT author_email, count(*) AS n FROM commits WHERE {_IN} AND author_email IS NOT NULL GROUP BY 1)
+    SELECT 'author[' || author_email || '].commits' AS metric, n::VARCHAR AS reference, n::VARCHAR AS result, 'PASS' AS status FROM a
+    UNION ALL SELECT 'author[' || author_email || '].total_productivity', 'NaN', NULL, 'FAIL' FROM a""",
+)(
+    lambda c: (
+        lambda now: validation.compare_by_key(
+            now.withColumn("total_productivity", F.lit("NaN")), now.withColumn("commits", F.col("commits") + 4).unionByName(now), "author_email", ("commits", "total_productivity"), "author"
+        ).select("metric", "reference", "result", "status")
+    )(OPEN.commits(c).filter("author_email is not null").groupBy("author_email").agg(F.count("*").alias("commits")))
+)
 query(
     "validate_categories", "commits commit_scores",
     f"""k AS (SELECT DISTINCT coalesce(overall_category, 'none') AS c FROM commits c JOIN commit_scores s ON c.commit_sha = s.commit_sha {_WHERE} AND overall_category IS NOT NULL)

@@ -28,11 +28,18 @@ SCHEMAS: dict[str, T.StructType] = {
     "file_scores": _schema("commit_sha file_path score:d category reasoning scored_at:t"),
 }
 
+#: What extraction keeps beside the tables: up to when a repository has been listed, and answers that failed.
+STATE: dict[str, T.StructType] = {
+    "watermarks": _schema("repo since:t noted_at:t"),
+    "dead_letters": _schema("repo what path error attempts:i given_up:b noted_at:t"),
+}
+
 
 def schema_of(table: str) -> T.StructType:
-    if table not in SCHEMAS:
+    known = SCHEMAS | STATE
+    if table not in known:
         raise ValueError(f"unknown table {table!r}; known: {', '.join(SCHEMAS)}")
-    return SCHEMAS[table]
+    return known[table]
 
 
 def ddl(table: str, location: str | None = None) -> str:

@@ -73,6 +73,11 @@ class Progress:
     def save(self, repo: str, **state: object) -> None:
         _replace(self._path(repo), {"timestamp": dt.datetime.now(dt.UTC).isoformat()} | state)
 
+    def open_runs(self) -> tuple[str, ...]:
+        """Names of runs that some repository hasn't finished."""
+        found = (_read(p) or {} for p in sorted(self.folder.glob("*.json")))
+        return tuple(dict.fromkeys(x["run"] for x in found if x.get("run")))
+
     def clear(self, repo: str) -> None:
         self._path(repo).unlink(missing_ok=True)
 

@@ -150,9 +150,10 @@ def without_excluded(rows: DataFrame, excluded: tuple[str, ...], columns: tuple[
     return rows
 
 
-def active_branches(branches: DataFrame, since: str) -> DataFrame:
-    """Branches whose last commit is not before the day; those without a date stay."""
-    return branches.filter(F.col("last_commit_date").isNull() | (F.substring("last_commit_date", 1, 10) >= since))
+def active_branches(branches: DataFrame, since: str | Column) -> DataFrame:
+    """Branches whose last commit is not before the day; those without a date stay, and where there is no day all do."""
+    day = _column(since)
+    return branches.filter(F.col("last_commit_date").isNull() | day.isNull() | (F.substring("last_commit_date", 1, 10) >= F.substring(day, 1, 10)))
 
 
 def updated_within(requests: DataFrame, since: str, until: str | None = None) -> DataFrame:

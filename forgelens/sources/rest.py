@@ -60,9 +60,9 @@ def http(url: str, headers: dict) -> tuple[int, dict, str]:
         return e.code, {k.lower(): v for k, v in e.headers.items()}, e.read().decode(errors="replace")
 
 
-def fetch(url: str, headers: dict, transport: Transport, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time) -> tuple[dict, str] | None:
+def fetch(url: str, headers: dict, transport: Transport, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time, attempts: int = ATTEMPTS) -> tuple[dict, str] | None:
     """A page with retries; None if there is nothing (404, 409)."""
-    for attempt in range(ATTEMPTS):
+    for attempt in range(attempts):
         try:
             status, got, body = transport(url, headers)
         except OSError:
@@ -81,16 +81,16 @@ def fetch(url: str, headers: dict, transport: Transport, sleep: Callable[[float]
             sleep(max(0.0, _number(got, "reset") - now()))
         else:
             sleep(2**attempt)
-    raise RuntimeError(f"no answer from {url} after {ATTEMPTS} attempts")
+    raise RuntimeError(f"no answer from {url} after {attempts} attempts")
 
 
-def pages(url: str, headers: dict, transport: Transport, **waits: Callable) -> Iterator[list]:
-    """All pages (a single object counts as a page of one): by the link to the next, by X-Next-Page, or until one is short."""
+def pages(url: str, headers: dict, transport: Transport, enough: Callable[[list], bool] | None = None, **how: object) -> Iterator[list]:
+    """All pages (a single object counts as a page of one): by the link to the next, by X-Next-Page, or until one is short, or is the first of which enough says so."""
     page = 1
     join = "&" if "?" in url else "?"
     following: str | None = f"{url}{join}per_page={PAGE}&page=1"
     while following:
-        found = fetch(following, headers, transport, **waits)
+        found = fetch(following, headers, transport, **how)
         if found is None:
             return
         got, body = found
@@ -99,6 +99,8 @@ def pages(url: str, headers: dict, transport: Transport, **waits: Callable) -> I
             yield [rows]
             return
         yield rows
+        if enough and enough(rows):
+            return
         link = re.search(r'<([^>]+)>;\s*rel="next"', got.get("link", ""))
         if link:
             following = link[1]
@@ -121,26 +123,38 @@ def headers_of(token_env: str) -> dict[str, str]:
     return {"Authorization": f"Bearer {token}"} if token else {}
 
 
-def fetched(asked: DataFrame, base_url: str, token_env: str = "", transport: str = "", tasks: int = 8, seconds: float = 0.0) -> DataFrame:
-    """The columns of asked but path, with pos and body of each object below its path. Write the result before reading it twice: each reading asks again.
+def before(day: str | None) -> Callable[[list], bool] | None:
+    """Whether the last of rows, the newest first, was updated before a time (ISO text, compared as far as it goes)."""
+    return (lambda rows: bool(rows) and str(rows[-1].get("updated_at") or day)[: len(day)] < day) if day else None
+
+
+def fetched(asked: DataFrame, base_url: str, token_env: str = "", transport: str = "", tasks: int = 8, seconds: float = 0.0, attempts: int = ATTEMPTS) -> DataFrame:
+    """The columns of asked, with pos and body of each object below its path, and one row a path without pos: with the error that ended it, or none. Write the result before reading it twice: each reading asks again.
 
-    tasks bounds the calls at a time; each task waits tasks times the seconds between two, so that the token's quota holds.
+    A path that fails has no other row, and ends nothing but itself. A column enough_before, if there is one, ends the pages of
+    a path at the first whose last object was updated before it. tasks bounds the calls at a time; each task waits tasks times the
+    seconds between two, so that the token's quota holds.
     """
-    keep = [c for c in asked.columns if c != "path"]
-    at, schema = asked.columns.index("path"), T.StructType([*[asked.schema[c] for c in keep], T.StructField("pos", T.IntegerType()), T.StructField("body", T.StringType())])
+    names = asked.columns
+    at, until = names.index("path"), names.index("enough_before") if "enough_before" in names else None
+    schema = T.StructType([*asked.schema, T.StructField("pos", T.IntegerType()), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
     base = base_url.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, headers = transport_of(transport, seconds * tasks), headers_of(token_env)
         for b in batches:
-            of, pos, bodies = [], [], []
+            enough = b.column(until).to_pylist() if until is not None else [None] * b.num_rows
             for i, path in enumerate(b.column(at).to_pylist()):
-                rows = [row for page in pages(base + path, headers, ask) for row in page]
-                of += [i] * len(rows)
-                pos += range(len(rows))
-                bodies += map(json.dumps, rows)
-            kept = b.select(keep).take(pa.array(of, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pos, pa.int32()), pa.array(bodies, pa.string())], names=[*keep, "pos", "body"])
+                bodies: list[str] = []
+                error = None
+                try:
+                    for page in pages(base + path, headers, ask, before(enough[i]), attempts=attempts):
+                        bodies += map(json.dumps, page)
+                except Exception as e:  # noqa: BLE001 - whatever a forge answers, other paths go on
+                    bodies, error = [], f"{type(e).__name__}: {e}"[:1000]
+                n = len(bodies) + 1
+                kept = b.take(pa.array([i] * n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([None, *range(n - 1)], pa.int32()), pa.array([None, *bodies], pa.string()), pa.array([error] + [None] * (n - 1), pa.string())], names=[*names, "pos", "body", "error"])
 
     return asked.repartition(tasks).mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.config import Config
-from forgelens.schemas import SCHEMAS, schema_of
+from forgelens.schemas import SCHEMAS, STATE, schema_of
 
 
 class Warehouse:
@@ -51,7 +51,7 @@ class Warehouse:
     def create_tables(self) -> None:
         """Empty tables where there are none."""
         self._writable()
-        for name, schema in SCHEMAS.items():
+        for name, schema in (SCHEMAS | STATE).items():
             if not self._fs().exists(self._path(name)):
                 self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/{name}/v000000")
 
@@ -77,23 +77,37 @@ class Warehouse:
         rows.write.parquet(temp)
         self._fs().rename(self._path(name, temp.rsplit("/", 1)[1]), self._path(name, f"v{int(current) + 1:06d}"))
 
-    def tidy(self, keep: int = 2) -> list[str]:
-        """Deletes all versions but the newest ones, and what failed rewrites left; returns what went. For times when nobody rewrites and no reader is at an older version."""
+    def landed(self, run: str, what: str) -> str:
+        """Where a run's answers to one question are landed."""
+        return f"{self.root}/_landed/{run}/{what}"
+
+    def drop_landed(self, run: str) -> None:
+        """For a run that is finished."""
+        self._fs().delete(self._path("_landed", run), True)
+
+    def exists(self, path: str) -> bool:
+        return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    def tidy(self, keep: int = 2, open_runs: tuple[str, ...] | None = None) -> list[str]:
+        """Deletes all versions but the newest ones, what failed rewrites left and, if open_runs are given, the landed answers of all other runs; returns what went. For times when nobody rewrites and no reader is at an older version."""
         self._writable()
         if keep < 1:
             raise ValueError("the newest version has to stay")
         fs, gone = self._fs(), []
-        for table in SCHEMAS:
+        for table in SCHEMAS | STATE:
             path = self._path(table)
             names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
             gone += [(table, n) for n in [n for n in names if n.startswith("v")][:-keep] + [n for n in names if n.startswith("_new-")]]
+        if open_runs is not None and fs.exists(self._path("_landed")):
+            names = (s.getPath().getName() for s in fs.listStatus(self._path("_landed")))
+            gone += [("_landed", n) for n in sorted(names) if n not in open_runs]
         for parts in gone:
             fs.delete(self._path(*parts), True)
         return ["/".join(parts) for parts in gone]
 
     def query(self, sql: str, args: dict | None = None) -> DataFrame:
         """Spark SQL over the tables, with :name parameters."""
-        for name in SCHEMAS:
+        for name in SCHEMAS | {k: v for k, v in STATE.items() if self.exists(f"{self.root}/{k}")}:
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(sql, args=args or {})
 

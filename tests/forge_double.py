@@ -58,3 +58,31 @@ def gitlab(url, headers):
         "/projects/7/merge_requests/1/commits": [{"id": "l1"}],
     }
     return (200, {"x-next-page": ""}, json.dumps(answers[path])) if path in answers else (404, {}, "")
+
+
+def growing(url, headers):
+    """A forge in a JSON file, which tests let grow: commits by repository (sha, date, author), request numbers, and paths that fail. Each request is noted beside it."""
+    file, _, path = url.removeprefix("https://grow.invalid").partition("//api")
+    with open(file, encoding="utf-8") as f:
+        state = json.load(f)
+    path = re.sub(r"[?&](per_page|page)=\d+", "", path)
+    with open(f"{file}.asked", "a", encoding="utf-8") as f:
+        f.write(path + "\n")
+    if any(x in path for x in state.get("failing", [])):
+        return 500, {}, "broken"
+    m = re.match(r"/repos/(\w+/\w+)/(\w+)(?:/(\w+))?(?:\?(.*))?", path)
+    repo, what, name, asked = m.groups()
+    options = dict(x.split("=", 1) for x in (asked or "").split("&") if x)
+    listed = sorted(state["commits"].get(repo, []), key=lambda c: c["date"], reverse=True)
+    whole = lambda c: hub_commit(c["sha"], {"name": c["who"], "email": f"{c['who']}@x.example", "date": c["date"]})
+    if what == "branches":
+        body = [{"name": "main"}]
+    elif what == "commits" and name:
+        body = next((whole(c) for c in listed if c["sha"] == name), None)
+    elif what == "commits":
+        body = [{"sha": c["sha"], "commit": whole(c)["commit"]} for c in listed if options.get("since", "") <= c["date"] <= options.get("until", "9")]
+    elif what == "pulls" and name:
+        body = [{"sha": c["sha"]} for c in listed[:1]]
+    else:
+        body = [{"id": int(f"{n}{len(repo)}"), "number": n, "title": "t", "state": "closed", "user": {"login": "d"}, "created_at": day, "updated_at": day, "merged_at": day, "head": {"ref": "f"}, "base": {"ref": "main"}} for n, day in state.get("pulls", {}).get(repo, [])]
+    return (404, {}, "") if body is None else (200, {"link": ""}, json.dumps(body))

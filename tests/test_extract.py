@@ -126,3 +126,106 @@ def test_merges_reach_the_file(spark, store, tmp_path):
     merges = spark.createDataFrame([("old", "new"), ("old", "newer")], "old string, new string")
     assert identity.apply_merges(store, merges, f) == 1
     assert {r[0] for r in store.table("commits").select("author_email").collect()} == {"new"} and f.load()["old"]["merged_into"] == "new"
+
+
+class Grown:
+    """A growing forge, its warehouse and what was asked of it."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.file, self.progress = spark, folder / "forge.json", files.Progress(folder / "state")
+        self.store = Warehouse(spark, str(folder / "w"))
+        self.store.create_tables()
+        self.state = {"commits": {"t/a": [], "t/b": []}, "pulls": {}, "failing": []}
+        self.config = config.Config(repos=("t/a", "t/b"), base_url=f"https://grow.invalid{self.file}//api", anonymize=False)
+
+    def grow(self, repo, *days):
+        self.state["commits"][repo] += [{"sha": f"{repo[-1]}{day.replace('-', '')}", "date": f"{day}T10:00:00Z", "who": f"dev{day[-1]}"} for day in days]
+
+    def run(self, **more):
+        """(rows added, paths asked)"""
+        self.file.write_text(json.dumps(self.state))
+        asked = self.file.with_name("forge.json.asked")
+        asked.write_text("")
+        added = Extraction(self.spark, self.store, self.config, transport="tests.forge_double:growing", tasks=2, seconds=0, tries=1, **more).run(self.progress)
+        return added, asked.read_text().split()
+
+    def shas(self):
+        found = [r[0] for r in self.store.table("commits").select("commit_sha").collect()]
+        assert len(found) == len(set(found))
+        return set(found)
+
+
+def test_runs_ask_for_what_is_newer(spark, tmp_path):
+    forge = Grown(spark, tmp_path)
+    forge.grow("t/a", "2026-03-01", "2026-03-05")
+    forge.grow("t/b", "2026-02-01")
+    forge.state["pulls"] = {"t/a": [(3, "2026-03-06T00:00:00Z"), (2, "2026-03-02T00:00:00Z"), (1, "2026-01-02T00:00:00Z")]}
+    added, asked = forge.run()
+    assert added == {"commits": 3, "diffs": 3, "merge_requests": 3, "mr_commits": 3} and not any("since=" in p for p in asked)
+    marks = {r["repo"]: str(r["since"]) for r in forge.store.table("watermarks").collect()}
+    assert marks == {"t/a": "2026-03-05 10:00:00", "t/b": "2026-02-01 10:00:00"} and not forge.store.exists(f"{forge.store.root}/_landed/x")
+    forge.grow("t/a", "2026-03-08")
+    added, asked = forge.run()
+    assert added["commits"] == 1 and forge.shas() == {"a20260301", "a20260305", "a20260308", "b20260201"}
+    assert {p for p in asked if "since=" in p} == {"/repos/t/a/commits?sha=main&since=2026-03-04T10:00:00Z", "/repos/t/b/commits?sha=main&since=2026-01-31T10:00:00Z"}
+    assert [p for p in asked if "/commits/" in p and "pulls" not in p] == ["/repos/t/a/commits/a20260308"]  # one detail only
+    full, asked = forge.run(full=True)
+    assert full["commits"] == 0 and not any("since=" in p for p in asked) and len(forge.shas()) == 4
+
+
+def test_a_late_commit_within_the_overlap_is_found(spark, tmp_path):
+    forge = Grown(spark, tmp_path)
+    forge.grow("t/a", "2026-03-05")
+    forge.run()
+    forge.state["commits"]["t/a"].append({"sha": "late", "date": "2026-03-04T12:00:00Z", "who": "dev"})
+    assert forge.run()[0]["commits"] == 1 and "late" in forge.shas()
+
+
+def test_one_repository_s_failure_ends_nothing_else(spark, tmp_path):
+    forge = Grown(spark, tmp_path)
+    forge.grow("t/a", "2026-03-01", "2026-03-02", "2026-03-03")
+    forge.grow("t/b", "2026-03-01")
+    forge.state["failing"] = ["/repos/t/a/commits/a20260302"]
+    added, _ = forge.run()
+    assert forge.shas() == {"a20260301", "a20260303", "b20260301"} and added["commits"] == 3
+    assert forge.progress.exists("t/a") and not forge.progress.exists("t/b") and len(forge.progress.open_runs()) == 1
+    dead = forge.store.table("dead_letters").collect()
+    assert [(r["repo"], r["what"], r["path"], r["attempts"], r["given_up"]) for r in dead] == [("t/a", "detail", "/repos/t/a/commits/a20260302", 1, False)] and "RuntimeError" in dead[0]["error"]
+    assert {r["repo"] for r in forge.store.table("watermarks").collect()} == {"t/b"}
+    forge.state["failing"] = []
+    added, asked = forge.run()
+    mine = [p for p in asked if p.startswith("/repos/t/a")]
+    assert added["commits"] == 1 and mine == ["/repos/t/a/commits/a20260302"] and "a20260302" in forge.shas()  # all else of it had been landed
+    assert forge.progress.open_runs() == () and {r["repo"] for r in forge.store.table("watermarks").collect()} == {"t/a", "t/b"}
+    assert forge.store.tidy(open_runs=()) == []  # answers of finished runs are gone already
+
+
+def test_paths_are_given_up_in_the_end(spark, tmp_path):
+    forge = Grown(spark, tmp_path)
+    forge.grow("t/a", "2026-03-01", "2026-03-02")
+    forge.state["failing"] = ["a20260302"]
+    assert forge.run(attempts=2)[0]["commits"] == 1 and forge.progress.exists("t/a")
+    assert forge.run(attempts=2)[0]["commits"] == 0 and not forge.progress.exists("t/a")
+    assert sorted((r["attempts"], r["given_up"]) for r in forge.store.table("dead_letters").collect()) == [(1, False), (2, True)]
+
+
+def test_pages_end_at_what_is_old():
+    pages_ = [[{"updated_at": f"2026-03-{d:02d}T00:00:00Z"} for d in days] for days in ((9, 8), (7, 6), (5, 4))]
+    asked = []
+
+    def answer(url, headers):
+        n = int(url.rsplit("=", 1)[1])
+        asked.append(n)
+        return 200, {"link": f'<u?page={n + 1}>; rel="next"' if n < 3 else ""}, json.dumps(pages_[n - 1])
+
+    assert len(list(rest.pages("u", {}, answer, rest.before("2026-03-07")))) == 2 and asked == [1, 2]
+    assert rest.before(None) is None and len(list(rest.pages("u", {}, answer))) == 3
+
+
+def test_people_of_merged_addresses_are_known(spark, store, tmp_path):
+    people = files.IdentityFile(tmp_path / "people.json")
+    run = Extraction(spark, store, HUB, transport="tests.forge_double:github", tasks=2, seconds=0)
+    run.run(files.Progress(tmp_path / "state"), people)
+    stored = {r[0] for r in store.table("commits").select("author_email").collect()}
+    known = people.load()
+    assert stored <= set(known) and {known[h]["email"] for h in stored} == {"dev1@team.example", "dev2@team.example"}
