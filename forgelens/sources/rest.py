@@ -1,4 +1,4 @@
-"""REST pages of a forge as a Spark data source: ``spark.read.format("forge")``.
+"""REST pages of a forge as a Spark data source: ``spark.read.format("forge")``, and as a stream: ``spark.readStream.format("forge")``.
 
 Options: repos (comma-joined), base_url, token_env, and transport (module:function, for tests), a
 function of a URL and headers that returns (status, headers, body). One partition a repository; a quota is for a token, so read
@@ -7,6 +7,7 @@ with no more tasks at a time than the quota bears.
 
 from __future__ import annotations
 
+import datetime as dt
 import importlib
 import json
 import os
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 Transport = Callable[[str, dict], tuple[int, dict, str]]
 ATTEMPTS, PAGE, LOW_QUOTA = 5, 100, 100
@@ -183,6 +184,67 @@ class ForgeReader(DataSourceReader):
                 at += 1
 
 
+class Span(InputPartition):
+    """What a repository has listed after one time and up to another."""
+
+    def __init__(self, repo: str, after: str, upto: str):
+        super().__init__(repo)
+        self.repo, self.after, self.upto = repo, after, upto
+
+
+def _hours_before(time_: str, hours: float) -> str:
+    if not hours or not time_:
+        return time_
+    return (dt.datetime.fromisoformat(time_) - dt.timedelta(hours=hours)).astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+class ForgeStreamReader(DataSourceStreamReader):
+    """The offset is the time, in UTC, of each repository's newest object; a batch is what lies behind the last offset, up to the next.
+
+    The checkpoint has the offsets, so a query that is begun again lists what its last batch hasn't, and a batch that is
+    tried again lists the same. Options beside the reader's: date (where an object has its time, commit.committer.date),
+    since (where a new query begins), overlap_hours (listed again before each batch, for objects that came late; what
+    they bring twice is for the sink to leave out, as streaming.ingest does).
+    """
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.repos = [p.repo for p in ForgeReader(options).partitions()]
+
+    def _date(self, row: dict) -> str:
+        found: object = row
+        for part in self.options.get("date", "commit.committer.date").split("."):
+            found = found.get(part) if isinstance(found, dict) else None
+        return dt.datetime.fromisoformat(str(found)).astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") if found else ""
+
+    def _pages(self, repo: str, more: str = "") -> Iterator[list]:
+        o = self.options
+        path = o.get("path", "/repos/{repo}/commits").replace("{repo}", repo)
+        url = o["base_url"].rstrip("/") + path + (("&" if "?" in path else "?") + more if more else "")
+        return pages(url, headers_of(o.get("token_env", "")), transport_of(o.get("transport", ""), float(o.get("seconds", 0))))
+
+    def initialOffset(self) -> dict:  # noqa: N802 - Spark's name
+        return {r: self.options.get("since", "") for r in self.repos}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """By the first page of each repository, which has the newest."""
+        return {r: max((self._date(row) for row in next(self._pages(r), [])), default="") for r in self.repos}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(r, start.get(r, ""), upto) for r, upto in end.items() if upto > start.get(r, "")]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        hours = float(self.options.get("overlap_hours", 0))
+        after = _hours_before(partition.after, hours)
+        at = 0
+        for rows in self._pages(partition.repo, "&".join([f"since={after}"] * bool(after) + [f"until={partition.upto}"])):
+            for row in rows:
+                date = self._date(row)
+                if (after <= date if hours else after < date) and date <= partition.upto:
+                    yield partition.repo, at, json.dumps(row)
+                    at += 1
+
+
 class ForgeSource(DataSource):
     """Rows (repo, pos, body): parse body with from_json and a schema of sources.forge."""
 
@@ -195,3 +257,6 @@ class ForgeSource(DataSource):
 
     def reader(self, schema) -> ForgeReader:
         return ForgeReader(self.options)
+
+    def streamReader(self, schema) -> ForgeStreamReader:  # noqa: N802 - Spark's name
+        return ForgeStreamReader(self.options)

@@ -23,7 +23,13 @@ def _near(rows: DataFrame, stored: DataFrame, column: str) -> DataFrame:
 def ingest(
     spark: SparkSession, landed: str, schema: str, project: Callable[[DataFrame], DataFrame], warehouse: Warehouse, table: str, keys: tuple[str, ...], checkpoint: str, within: str | None = None
 ) -> StreamingQuery:
-    """All files that are there and not yet taken. Rows whose keys the table has are left out, so a batch that is tried again, or overlaps another, adds nothing twice.
+    """All files that are there and not yet taken, by taken()."""
+    stream = spark.readStream.schema(schema).option("multiLine", True).json(landed)
+    return taken(stream, project, warehouse, table, keys, checkpoint, within)
+
+
+def taken(stream: DataFrame, project: Callable[[DataFrame], DataFrame], warehouse: Warehouse, table: str, keys: tuple[str, ...], checkpoint: str, within: str | None = None) -> StreamingQuery:
+    """What a stream has so far (landed files, or a forge itself), into a table. Rows whose keys the table has are left out, so a batch that is tried again, or overlaps another, adds nothing twice.
 
     within: a column in which rows with equal keys are equal (a commit's committed_date), so that only the table's part between a batch's least and greatest value is compared.
     """
@@ -36,5 +42,4 @@ def ingest(
         warehouse.insert(table, not_stored(rows, stored if within is None else _near(rows, stored, within), *keys))
         rows.unpersist()
 
-    stream = spark.readStream.schema(schema).option("multiLine", True).json(landed)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,9 @@ from forgelens.functions import columns as C
 from forgelens.operators import identity
 from forgelens.sources import files, rest
 from forgelens.sources.extract import Extraction
+from forgelens.sources.forge import GITHUB_COMMIT, github_commits
 from forgelens.sources.warehouse import Warehouse, open_warehouse
+from forgelens.streaming.ingest import taken
 
 HUB = config.Config(repos=("team/a",), base_url="https://hub.invalid", key="ab" * 32, aliases={"dev3@team.example": "dev1@team.example"})
 
@@ -229,3 +231,45 @@ def test_people_of_merged_addresses_are_known(spark, store, tmp_path):
     stored = {r[0] for r in store.table("commits").select("author_email").collect()}
     known = people.load()
     assert stored <= set(known) and {known[h]["email"] for h in stored} == {"dev1@team.example", "dev2@team.example"}
+
+
+def stream_of(forge, folder, **options):
+    """One run of a query over the growing forge, from its checkpoint on; (batches, paths asked)."""
+    forge.file.write_text(json.dumps(forge.state))
+    asked = forge.file.with_name("forge.json.asked")
+    asked.write_text("")
+    forge.spark.dataSource.register(rest.ForgeSource)
+    options = {"repos": "t/a,t/b", "base_url": forge.config.base_url, "transport": "tests.forge_double:growing"} | options
+    stream = forge.spark.readStream.format("forge").options(**options).load()
+    whole = lambda rows: github_commits(rows.select("repo", F.from_json("body", GITHUB_COMMIT).alias("c")).select("repo", "c.*"), F.col("repo"))
+    query = taken(stream, whole, forge.store, "commits", ("commit_sha",), str(folder / "checkpoint"), within="committed_date")
+    query.awaitTermination(60)
+    assert query.exception() is None
+    return asked.read_text().split()
+
+
+def test_a_forge_as_a_stream(spark, tmp_path):
+    """Two queries over one checkpoint, the forge growing between them: nothing is lost or there twice."""
+    forge = Grown(spark, tmp_path)
+    forge.grow("t/a", "2026-03-01", "2026-03-05")
+    stream_of(forge, tmp_path)
+    assert forge.shas() == {"a20260301", "a20260305"}
+    forge.grow("t/a", "2026-03-08")
+    forge.grow("t/b", "2026-01-01")
+    asked = stream_of(forge, tmp_path)
+    assert forge.shas() == {"a20260301", "a20260305", "a20260308", "b20260101"}
+    assert "/repos/t/a/commits?since=2026-03-05T10:00:00Z&until=2026-03-08T10:00:00Z" in asked and not any("since" in p for p in asked if "t/b" in p)
+    asked = stream_of(forge, tmp_path)
+    assert len(forge.shas()) == 4 and not any("until" in p for p in asked)  # nothing new: only the newest are looked at
+    forge.state["commits"]["t/a"].append({"sha": "late", "date": "2026-03-07T12:00:00+01:00", "who": "dev"})
+    forge.grow("t/a", "2026-03-09")
+    stream_of(forge, tmp_path, overlap_hours="48")
+    assert forge.shas() == {"a20260301", "a20260305", "a20260308", "a20260309", "b20260101", "late"}
+
+
+def test_offsets_of_the_stream():
+    reader = rest.ForgeStreamReader({"repos": "t/a", "base_url": "u", "since": "2026-01-01T00:00:00Z"})
+    assert reader.initialOffset() == {"t/a": "2026-01-01T00:00:00Z"}
+    spans = reader.partitions({"t/a": "2026-01-01T00:00:00Z", "t/b": "5"}, {"t/a": "2026-02-01T00:00:00Z", "t/b": "5", "t/c": "7", "t/d": ""})
+    assert [(s.repo, s.after, s.upto) for s in spans] == [("t/a", "2026-01-01T00:00:00Z", "2026-02-01T00:00:00Z"), ("t/c", "", "7")]
+    assert reader._date({"commit": {"committer": {"date": "2026-03-07T12:00:00+02:00"}}}) == "2026-03-07T10:00:00Z" and reader._date({"commit": None}) == ""

@@ -244,3 +244,19 @@ def test_retries():
     assert rest.fetch("u", {}, lambda u, h: (404, {}, ""), slept.append) is None
     with pytest.raises(RuntimeError, match="after 5 attempts"):
         rest.fetch("u", {}, lambda u, h: (500, {}, ""), lambda s: None)
+
+
+def test_odd_snapshots_are_compared(spark):
+    """Without a known metric, without a measure to rank by, with NaN, and with repeated authors, of whom the last row counts."""
+    now = spark.createDataFrame([("2026-01", 3)], "month string, commits long")
+    assert validation.compare_monthly(now.select("month", F.lit(1).alias("other")), now).collect() == []
+    first = spark.createDataFrame([("2026-01", 3), ("2026-01", 4)], "month string, commits long").coalesce(1)
+    assert validation.compare_monthly(now, first).first()["status"] == "PASS"
+    authors = spark.createDataFrame([("a@x", 9, 1.0), ("b@x", 7, 2.0), ("a@x", 5, 1.0)], "author_email string, commits long, total_productivity double").coalesce(1)
+    found = {r["metric"]: r["status"] for r in validation.compare_authors(spark.createDataFrame([("a@x", "5")], "author string, commits string"), authors).collect()}
+    assert found["author[a@x].commits"] == "PASS"
+    only = validation.compare_authors(spark.createDataFrame([("b@x", "2.0")], "author_email string, total_productivity string"), authors.drop("total_productivity")).collect()
+    assert [(r["metric"], r["status"]) for r in only] == [("author_ranking", "FAIL"), ("author[b@x].total_productivity", "FAIL")]
+    assert validation.compare_authors(spark.createDataFrame([("b@x",)], "author_email string"), authors).count() == 0
+    odd = spark.createDataFrame([("x.commits", "NaN", "3"), ("x.commits", "NaN", "NaN"), ("x.commits", "Infinity", "3"), ("avg", "NaN", "1.0"), ("x.commits", "1e30", "1e30")], "metric string, reference string, result string")
+    assert [r["status"] for r in validation.compared(odd).collect()] == ["FAIL", "PASS", "FAIL", "FAIL", "PASS"]
