@@ -53,6 +53,10 @@ def _options(args: list[str] | None) -> argparse.Namespace:
     p.add_argument("--canonical", help="merge: the address that stays")
     p.add_argument("--alias", action="append", default=[], help="merge: an address that is the same person's")
     p.add_argument("--transport", default="", help="extract: module:function instead of the network")
+    p.add_argument("--scorer", help="score: module:function of a prompt that returns a reply, instead of rules")
+    p.add_argument("--tasks", type=int, default=8, help="score: tasks that call the scorer")
+    p.add_argument("--in-flight", type=int, default=10, help="score: calls of a task at a time")
+    p.add_argument("--calls-a-second", type=int, default=0, help="score: of all tasks together; 0 for no bound")
     p.add_argument("--full", action="store_true", help="extract: everything, not only what is newer than the last run's")
     for side in ("baseline", "comparison"):
         p.add_argument(f"--{side}-start")
@@ -82,7 +86,8 @@ def main(args: list[str] | None = None) -> int:
             print(f"unfinished, to be asked again: {', '.join(unfinished)}")
             return 1
     elif a.command == "score":
-        print(f"scored by rule: {scoring.score_commits(store, excluded=c.excluded)}")
+        n = scoring.score_commits(store, a.scorer, c.excluded, tasks=a.tasks, in_flight=a.in_flight, calls_a_second=a.calls_a_second)
+        print(f"scored by {a.scorer or 'rule'}: {n}")
     elif a.command == "merge":
         c = config.add_merges(a.config, a.canonical, a.alias)
         print(f"values changed: {merge_people(store, c, IdentityFile(beside(a.config, 'people.json')))}")

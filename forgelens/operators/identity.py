@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from forgelens.functions.columns import is_bot, is_generic_name, is_known_bot, normalized_name, pseudonym, stripped
+from forgelens.operators.closure import components
 from forgelens.sources.files import IdentityFile
 
 IDENTITY_COLUMNS = {"commits": ("author_name", "author_email", "committer_name", "committer_email"), "merge_requests": ("author_name", "author_email")}
@@ -75,12 +76,35 @@ def duplicate_identities(developers: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("name_a", "email_a", "name_b", "email_b", "reason")
 
 
-def identity_groups(developers: DataFrame) -> DataFrame:
-    """What duplicate_identities links, without its pairs: each identity but the first (by ord) of those that share a name, local part or normalised name, with that first one and the group's size. As many rows at most as identities and reasons."""
+def _shared(developers: DataFrame) -> DataFrame:
+    """ord, name, email with reason and k: what an identity may share with others. Generic names share nothing."""
     name, email = F.col("name"), F.col("email")
     keys = [F.lower(stripped(name)), F.when(email.contains("@"), F.lower(F.substring_index(email, "@", 1))), normalized_name(name)]
     kinds = F.array(*[F.struct(F.lit(reason).alias("reason"), k.alias("k")) for reason, k in zip(REASONS, keys)])
-    rows = developers.filter(~is_generic_name(name) | name.isNull()).select("ord", "name", "email", F.inline(kinds)).filter("k <> ''")
+    return developers.filter(~is_generic_name(name) | name.isNull()).select("ord", "name", "email", F.inline(kinds)).filter("k <> ''")
+
+
+def identity_components(developers: DataFrame) -> DataFrame:
+    """People: identities that share names, local parts or normalised names, also over others. One row for each identity in a group of several.
+
+    component: its least ord; size: its identities; n_shared: its names, local parts and normalised names that several of them have; canonical_name,
+    canonical_email: of its first identity (by ord) with an address, as a suggestion. Identities that share nothing have no row; ord is a key.
+    """
+    rows = _shared(developers)
+    groups = rows.groupBy("reason", "k").agg(F.countDistinct("ord").alias("n")).filter("n > 1").select("reason", "k")
+    members = rows.join(groups, ["reason", "k"]).select(F.col("ord").alias("node"), F.concat_ws(":", "reason", "k").alias("group"))
+    found = components(members)
+    people = developers.select("ord", "name", "email").join(found.withColumnRenamed("node", "ord"), "ord")
+    first = F.min_by(F.struct("name", "email"), F.when(F.col("email").isNotNull(), F.col("ord")))
+    named = people.groupBy("component").agg(F.count("*").alias("size"), first.alias("first"))
+    shared = members.join(found, "node").groupBy("component").agg(F.countDistinct("group").alias("n_shared"))
+    whole = people.join(named, "component").join(shared, "component")
+    return whole.select("ord", "name", "email", "component", "size", "n_shared", F.col("first.name").alias("canonical_name"), F.col("first.email").alias("canonical_email"))
+
+
+def identity_groups(developers: DataFrame) -> DataFrame:
+    """What duplicate_identities links, without its pairs: each identity but the first (by ord) of those that share a name, local part or normalised name, with that first one and the group's size. As many rows at most as identities and reasons."""
+    rows = _shared(developers)
     first = rows.groupBy("reason", "k").agg(F.min("ord").alias("first"), F.min_by("name", "ord").alias("first_name"), F.min_by("email", "ord").alias("first_email"), F.count("*").alias("size")).filter("size > 1")
     return rows.join(first, ["reason", "k"]).filter("ord <> first").select("name", "email", "first_name", "first_email", "reason", "size")
 

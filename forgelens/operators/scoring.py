@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from forgelens.functions.columns import auto_score, capped_score, parsed_reply, truncated, valid_category
+from forgelens.sources.lease import Lease
 from forgelens.sources.warehouse import Warehouse
 
 #: Diff lengths that a scorer is given, from the first attempt to the last.
 ATTEMPTS = (10_000, 2_000, 1_000)
+#: Replies that a task passes on together.
+REPLIES = 50
 
 
 def unscored_commits(commits: DataFrame, scores: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -80,15 +87,47 @@ def has_files(reply: str | None) -> bool:
         return False
 
 
-def scored_by(bundles: DataFrame, scorer: Callable[[str], str], tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+Scorer = Callable[[str], str]
+
+
+def named(scorer: Scorer | str) -> Scorer:
+    """A scorer, or the one that module:function names."""
+    if not isinstance(scorer, str):
+        return scorer
+    module, _, attribute = scorer.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def in_order(call: Callable[[object], object], items: Iterable[object], in_flight: int) -> Iterator[object]:
+    """What call gives for each item, in the items' order, with so many calls at a time; no more than twice as many items are held."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        for item in items:
+            if len(waiting) >= 2 * in_flight:
+                yield waiting.popleft().result()
+            waiting.append(pool.submit(call, item))
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def scored_by(bundles: DataFrame, scorer: Scorer | str, tasks: int = 8, sleep: Callable[[float], None] = time.sleep, in_flight: int = 1, lease: Lease | None = None) -> DataFrame:
     """commit_sha and a scorer's reply to each bundle, null after the last failed attempt. Write the result before reading it twice: each reading asks again.
 
-    tasks bounds the calls at a time; a quota is for all executors together.
+    At most tasks times in_flight calls are made at a time; a lease bounds how many all tasks together begin in a window of time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"commit_sha": b["commit_sha"], "reply": [ask(scorer, list(x), sleep) for x in b["prompts"]]})
+        own = named(scorer)
+
+        def asked_in_turn(prompt: str) -> str:
+            if lease:
+                lease.take()
+            return own(prompt)
+
+        rows = ((sha, list(attempts)) for b in batches for sha, attempts in zip(b["commit_sha"], b["prompts"]))
+        found = in_order(lambda row: (row[0], ask(asked_in_turn, row[1], sleep)), rows, in_flight)
+        while part := list(islice(found, REPLIES)):
+            yield pd.DataFrame(part, columns=["commit_sha", "reply"])
 
     asked = bundles.select("commit_sha", F.array(*[_prompt(limit) for limit in ATTEMPTS]).alias("prompts"))
     return asked.repartition(tasks).mapInPandas(run, "commit_sha string, reply string")
@@ -148,22 +187,28 @@ def write_scores(warehouse: Warehouse, scored: DataFrame, categories: DataFrame)
     warehouse.insert("commit_scores", commit_score_rows(new, categories).select("*", now))
 
 
-def score_commits(warehouse: Warehouse, scorer: Callable[[str], str] | None = None, excluded: tuple[str, ...] = (), limit: int | None = None, tasks: int = 8) -> int:
-    """Scores the newest commits without a score, by a scorer or by rules; how many were added. Replies are landed first, so that a broken write asks for nothing again."""
+def score_commits(
+    warehouse: Warehouse, scorer: Scorer | str | None = None, excluded: tuple[str, ...] = (), limit: int | None = None, tasks: int = 8, in_flight: int = 1, calls_a_second: int = 0
+) -> int:
+    """Scores the newest commits without a score, by a scorer or by rules; how many were added. Replies are landed first and go once the scores are written. Of several diffs of one path the last extracted counts, then the largest."""
     before = warehouse.count("commit_scores")
     todo = unscored_commits(warehouse.table("commits"), warehouse.table("commit_scores"), excluded)
     todo = todo.limit(limit) if limit else todo
+    run = f"replies-{uuid.uuid4().hex}"
     diffs = warehouse.table("diffs").join(todo.select("commit_sha"), "commit_sha", "left_semi")
     if scorer is None:
         rows = rule_scores(diffs).withColumns({"reasoning": F.lit("by rule"), "overall_category": F.col("category")})
         largest = F.max_by("category", F.struct(F.coalesce("score", F.lit(0.0)), "file_path"))
         files, categories = rows, rows.groupBy("commit_sha").agg(largest.alias("overall_category"))
     else:
-        path = f"{warehouse.root}/_landed/replies-{uuid.uuid4().hex}"
-        scored_by(commit_bundles(todo.select("commit_sha", "title", "message"), diffs), scorer, tasks).write.parquet(path)
+        path = warehouse.landed(run, "replies")
+        lease = Lease(f"{warehouse.root}/_landed/{run}/lease", calls_a_second) if calls_a_second else None
+        scored_by(commit_bundles(todo.select("commit_sha", "title", "message"), diffs), scorer, tasks, in_flight=in_flight, lease=lease).write.parquet(path)
         files = reply_files(warehouse.spark.read.parquet(path))
         categories = files.select("commit_sha", "overall_category").distinct()
-    write_scores(warehouse, scored_files(files, diffs.dropDuplicates(["commit_sha", "file_path"])), categories)
+    last = F.struct("extracted_at", "additions", "deletions", "diff")
+    write_scores(warehouse, scored_files(files, diffs.withColumn("last", last), "last"), categories)
+    warehouse.drop_landed(run)
     return warehouse.count("commit_scores") - before
 
 

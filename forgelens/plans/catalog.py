@@ -273,6 +273,21 @@ query(
 )(lambda d: identity.identity_groups(d.filter(~C.is_bot(F.col("name"), F.col("email")))))
 
 
+query(
+    "identity_components", "developers",
+    f"""u AS (SELECT ord, name, email, lower({_N}) AS k1, CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 1)) END AS k2, {_NORMAL} AS k3 FROM developers
+      WHERE NOT {_BOT} AND {_NORMAL} NOT IN ({', '.join(f"'{x}'" for x in C.GENERIC_NAMES)})),
+    x AS (SELECT ord, 1 AS reason, k1 AS k FROM u WHERE k1 <> '' UNION ALL SELECT ord, 2, k2 FROM u WHERE k2 <> '' UNION ALL SELECT ord, 3, k3 FROM u WHERE k3 <> ''),
+    g AS (SELECT reason, k, min(ord) AS first FROM x GROUP BY 1, 2 HAVING count(*) > 1),
+    e AS (SELECT x.ord AS a, g.first AS b FROM x JOIN g USING (reason, k) UNION SELECT g.first, x.ord FROM x JOIN g USING (reason, k)),
+    c AS (WITH RECURSIVE reach AS (SELECT DISTINCT a AS ord, a AS r FROM e UNION SELECT reach.ord, e.b FROM reach JOIN e ON reach.r = e.a) SELECT ord, min(r) AS component FROM reach GROUP BY 1),
+    s AS (SELECT component, count(DISTINCT (reason, k)) AS n_shared FROM g JOIN c ON c.ord = g.first GROUP BY 1)
+    SELECT d.ord, d.name, d.email, component, count(*) OVER (PARTITION BY component) AS size, n_shared,
+      first_value(d.name) OVER w AS canonical_name, first_value(d.email) OVER w AS canonical_email
+    FROM c JOIN developers d USING (ord) JOIN s USING (component) WINDOW w AS (PARTITION BY component ORDER BY d.email IS NULL, d.ord)""",
+)(lambda d: identity.identity_components(d.filter(~C.is_bot(F.col("name"), F.col("email")))))
+
+
 def _merges(c: DataFrame) -> DataFrame:
     return c.sparkSession.createDataFrame([(f"dev{i}", f"dev{i % 10}") for i in range(10, 20)], "old string, new string")
 

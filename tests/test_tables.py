@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from forgelens.operators import identity, metrics, scoring, validation
+from forgelens.operators.closure import components
 from forgelens.schemas import SCHEMAS, ddl, schema_of
 from forgelens.sources import forge, rest
+from forgelens.sources.lease import Lease
 from forgelens.sources.warehouse import Warehouse
 from forgelens.streaming.ingest import ingest
 
@@ -260,3 +263,88 @@ def test_odd_snapshots_are_compared(spark):
     assert validation.compare_authors(spark.createDataFrame([("b@x",)], "author_email string"), authors).count() == 0
     odd = spark.createDataFrame([("x.commits", "NaN", "3"), ("x.commits", "NaN", "NaN"), ("x.commits", "Infinity", "3"), ("avg", "NaN", "1.0"), ("x.commits", "1e30", "1e30")], "metric string, reference string, result string")
     assert [r["status"] for r in validation.compared(odd).collect()] == ["FAIL", "PASS", "FAIL", "FAIL", "PASS"]
+
+
+def slow_scorer(prompt):
+    """50 ms a reply, which names the commit."""
+    import time
+
+    time.sleep(0.05)
+    title = prompt.split("\n")[0]
+    return json.dumps({"files": [{"path": "a.py", "score": len(title) % 10 / 10, "category": "feature"}], "overall_category": "feature", "title": title})
+
+
+def test_calls_in_flight_are_faster_and_in_order(spark):
+    import time
+
+    bundles = scoring.commit_bundles(
+        spark.createDataFrame([(f"c{i:03d}", f"Title {i}", "m") for i in range(200)], "commit_sha string, title string, message string"),
+        spark.createDataFrame([(f"c{i:03d}", "a.py", 1, 0, "+x") for i in range(200)], "commit_sha string, file_path string, additions int, deletions int, diff string"),
+    ).cache()
+    bundles.count()
+    took, replies = {}, {}
+    for n in (1, 10):
+        start = time.perf_counter()
+        replies[n] = [tuple(r) for r in scoring.scored_by(bundles, "tests.test_tables:slow_scorer", tasks=1, in_flight=n).collect()]
+        took[n] = time.perf_counter() - start
+    assert took[1] > 10 > 4 > took[10] and sorted(replies[1]) == sorted(replies[10]) and len(replies[10]) == 200
+    assert list(scoring.in_order(lambda x: x * x, range(100), 7)) == [x * x for x in range(100)]
+
+
+def test_errors_of_a_call_end_no_other():
+    def call(prompt):
+        if prompt == "bad":
+            raise RuntimeError("no")
+        return '{"files": []}'
+
+    found = list(scoring.in_order(lambda p: scoring.ask(call, [p] * 3, lambda s: None), ["a", "bad", "b"], 2))
+    assert found == ['{"files": []}', None, '{"files": []}']
+
+
+def test_a_lease_holds_for_all(tmp_path):
+    """Two tasks, one clock: no window has more calls than it may, and one that stops leaves its part."""
+    clock, begun = [100.0], []
+
+    def sleep(s):
+        clock[0] += s
+
+    both = [Lease(f"file://{tmp_path}/l", 3, 2.0, sleep, lambda: clock[0]) for _ in range(2)]
+    for i in range(12):
+        both[i % 2 if i < 6 else 0].take()
+        begun.append(int(clock[0] // 2))
+    assert [begun.count(w) for w in sorted(set(begun))] == [3, 3, 3, 3] and len(list((tmp_path / "l").iterdir())) <= 3
+    with pytest.raises(ValueError):
+        Lease("x", 0)
+
+
+def test_scores_by_a_named_scorer(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    w.create_tables()
+    w.insert("commits", [{"commit_sha": f"s{i}", "title": f"T{i}", "message": "m"} for i in range(6)])
+    w.insert("diffs", [{"commit_sha": f"s{i}", "file_path": "a.py", "additions": n, "deletions": 0, "diff": "+x"} for i in range(6) for n in (2, 5)])  # a path twice: the larger counts
+    assert scoring.score_commits(w, "tests.test_tables:slow_scorer", tasks=2, in_flight=3, calls_a_second=50) == 6
+    assert {(r["total_productivity"], r["overall_category"]) for r in w.table("commit_scores").collect()} == {(4.5, "feature")} and w.count("file_scores") == 6
+    assert scoring.score_commits(w, "tests.test_tables:slow_scorer", tasks=2) == 0 and w.tidy(open_runs=()) == []
+
+
+def test_components_are_those_of_brute_force(spark):
+    """A long chain, a very large group, and groups at random; nulls link nothing."""
+    rng = random.Random(3)
+    rows = [(i, f"chain{i}") for i in range(60)] + [(i + 1, f"chain{i}") for i in range(60)] + [(100 + i, "hot") for i in range(400)]
+    rows += [(rng.randrange(600, 700), f"g{rng.randrange(70)}") for _ in range(110)] + [(None, "hot"), (5, None), (60, "chain59"), (900, "alone")]
+    label = {n: n for n, g in rows if n is not None and g is not None}
+    groups = {}
+    for n, g in rows:
+        if n is not None and g is not None:
+            groups.setdefault(g, set()).add(n)
+    changed = True
+    while changed:
+        changed = False
+        for members in groups.values():
+            least = min(label[n] for n in members)
+            for n in members:
+                changed |= label[n] != least
+                label[n] = least
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "node long, group string")).collect()}
+    assert found == label
+    assert components(spark.createDataFrame([], "node long, group string")).collect() == []
