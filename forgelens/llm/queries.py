@@ -146,6 +146,53 @@ WITH flat AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
+_NEAR_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM d WHERE len(words) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM starts
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), edges AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), ways AS (
+  SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges
+), components AS (
+  WITH RECURSIVE reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM ways UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a)
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+_OVERLAP_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), starts AS (
+  SELECT item, words, least(10, len(words)) AS n, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM b WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS w FROM starts
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, lengths WHERE len(words) >= n
+), hits AS (
+  SELECT p.r, p.i, p.n, w.item FROM places p JOIN windows w ON w.n = p.n AND w.w = array_to_string(p.words[p.i : p.i + p.n - 1], ' ')
+), counts AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counts USING (r) LEFT JOIN items USING (r)
+"""
+
 #: Dense: every kept term with every group of its language.
 _DIVERGENCE_SQL = r"""
 WITH d AS (
@@ -187,4 +234,4 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_top_k": _TOP_K_SQL, "op11_divergence": _DIVERGENCE_SQL, "op12_warc": _WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": _TOP_K_SQL, "op8_near_duplicates": _NEAR_SQL, "op9_decontamination": _OVERLAP_SQL, "op11_divergence": _DIVERGENCE_SQL, "op12_warc": _WARC_SQL}
