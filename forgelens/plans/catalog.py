@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.functions import columns as C
+from forgelens.functions import sql as sql_functions
 from forgelens.operators import identity, metrics, scoring, validation
 from forgelens.plans import derive
 from forgelens.sources import forge, warehouse
@@ -234,6 +235,22 @@ query("normalized_names", "developers", f"SELECT ord, {_NORMAL} AS normal, {_NOR
 )
 
 
+def _by_sql(table: str, text: str) -> Callable[[DataFrame], DataFrame]:
+    """A query in SQL with the registered functions."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        sql_functions.register(rows.sparkSession)
+        return rows.sparkSession.sql(text.replace(table, "{rows}"), rows=rows)
+
+    return run
+
+
+query("sql_is_bot", "developers", f"SELECT ord, {_BOT} AS bot, {_NORMAL} AS normal FROM developers")(_by_sql("DEVELOPERS", "SELECT ord, is_bot(name, email) AS bot, normalized_name(coalesce(name, '')) AS normal FROM DEVELOPERS"))
+query("sql_months", "commits", "SELECT date_trunc('month', authored_date)::TIMESTAMP AS month, count(*) AS n, round(CAST((sum(additions) - sum(deletions))::DOUBLE / nullif(sum(deletions)::DOUBLE, 0) * 100 AS DECIMAL(38,6)), 1)::DOUBLE AS more FROM commits GROUP BY 1")(
+    _by_sql("COMMITS", "SELECT month_of(authored_date) AS month, count(*) AS n, pct_change(sum(deletions), sum(additions)) AS more FROM COMMITS GROUP BY 1")
+)
+
+
 def _hmac_sql(value: str) -> str:
     inner, outer = (p.hex() for p in C.hmac_pads(KEY))
     trimmed = rf"lower(regexp_replace({value}, '^\s+|\s+$', '', 'g'))"
@@ -330,6 +347,9 @@ query("commit_diff_bundle", "commits diffs", "SELECT commit_sha, count(*)::INTEG
 _AUTO = "CASE " + " ".join(f"WHEN regexp_matches(lower(file_path), '^(?:{p.lower()})') THEN {s}::DOUBLE" for p, s in C.AUTO_SCORES) + " END"
 _CAP = """CASE WHEN lower(file_path) LIKE '%.md' THEN least({0}, 0.15::DOUBLE) WHEN lower(file_path) LIKE '%.json' AND lower(file_path) NOT LIKE '%package.json%' AND additions + deletions > 500 THEN least({0}, 0.05::DOUBLE) ELSE {0} END"""
 query("auto_score", "diffs", f"SELECT commit_sha, file_path, {_AUTO} AS auto_score FROM diffs")(lambda d: d.select("commit_sha", "file_path", C.auto_score(F.col("file_path")).alias("auto_score")))
+query("sql_scores", "diffs", f"SELECT commit_sha, file_path, {_AUTO} AS auto_score, {_CAP.format('0.75::DOUBLE')} AS score FROM diffs")(
+    _by_sql("DIFFS", "SELECT commit_sha, file_path, auto_score(file_path) AS auto_score, capped_score(file_path, 0.75D, additions + deletions) AS score FROM DIFFS")
+)
 query("score_caps", "diffs", f"SELECT commit_sha, file_path, {_CAP.format('0.75::DOUBLE')} AS score FROM diffs")(
     lambda d: d.select("commit_sha", "file_path", C.capped_score(F.col("file_path"), F.lit(0.75), F.col("additions") + F.col("deletions")).alias("score"))
 )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.config import Config
+from forgelens.functions import sql as sql_functions
 from forgelens.schemas import SCHEMAS, STATE, schema_of
 
 
@@ -106,7 +107,8 @@ class Warehouse:
         return ["/".join(parts) for parts in gone]
 
     def query(self, sql: str, args: dict | None = None) -> DataFrame:
-        """Spark SQL over the tables, with :name parameters."""
+        """Spark SQL over the tables, with :name parameters and the functions of functions.sql."""
+        sql_functions.register(self.spark)
         for name in SCHEMAS | {k: v for k, v in STATE.items() if self.exists(f"{self.root}/{k}")}:
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(sql, args=args or {})

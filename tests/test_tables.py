@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from forgelens.functions import columns as C
 from forgelens.operators import identity, metrics, scoring, validation
 from forgelens.operators.closure import components
 from forgelens.schemas import SCHEMAS, ddl, schema_of
@@ -348,3 +349,23 @@ def test_components_are_those_of_brute_force(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "node long, group string")).collect()}
     assert found == label
     assert components(spark.createDataFrame([], "node long, group string")).collect() == []
+
+
+def test_sql_functions_are_the_column_functions(spark, tmp_path):
+    """Each can be called from Warehouse.query, says what the column function does, and is inlined."""
+    w = Warehouse(spark, str(tmp_path / "w"))
+    w.create_tables()
+    people = [("s1", "dependabot[bot]", "x@y"), ("s2", " Ann.Lee_B ", "a@x.example"), ("s3", "Ann", "29139614+z@users.noreply.github.com"), ("s4", None, None), ("s5", "\u00a0Codecov\t", "q@z"), ("s6", "x", "a\nbot@x")]
+    w.insert("commits", [{"commit_sha": s, "author_name": n, "author_email": e, "authored_date": dt.datetime(2026, 3, 4, 5)} for s, n, e in people])
+    paths = ["a/dist/x", "README.md", "big.json", "package.json", "x.lock", "İ.MIN.JS", "a.py", "..md", "locales/../q/locales/de.yml"]
+    w.insert("diffs", [{"commit_sha": "s1", "file_path": p, "additions": 600, "deletions": 1, "diff": "@@ -1 +1 @@\n--- a\n+++ b\n-old\n+new\n same"} for p in paths])
+    got = w.query("SELECT commit_sha, is_bot(author_name, author_email) AS b, normalized_name(author_name) AS n, month_of(authored_date) AS m FROM commits")
+    want = w.table("commits").select("commit_sha", C.is_bot(F.col("author_name"), F.col("author_email")).alias("b"), C.normalized_name(F.col("author_name")).alias("n"), C.month_of(F.col("authored_date")).alias("m"))
+    assert sorted(got.collect()) == sorted(want.collect()) and "is_bot(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = w.query("SELECT file_path, auto_score(file_path) AS a, capped_score(file_path, 0.9D, additions + deletions) AS c, valid_category(file_path) AS v FROM diffs")
+    path = F.col("file_path")
+    want = w.table("diffs").select("file_path", C.auto_score(path).alias("a"), C.capped_score(path, F.lit(0.9), F.col("additions") + F.col("deletions")).alias("c"), C.valid_category(path).alias("v"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    lines = w.query("SELECT l.* FROM diffs, LATERAL diff_lines(diff) l WHERE file_path = :p ORDER BY line", {"p": "a.py"}).collect()
+    assert [tuple(r) for r in lines] == [(1, "@", "@@ -1 +1 @@"), (2, " ", "--- a"), (3, " ", "+++ b"), (4, "-", "old"), (5, "+", "new"), (6, " ", " same")]
+    assert w.query("SELECT pct_change(0D, 5D) AS a, pct_change(NULL, 5D) AS b, pct_change(8D, 9D) AS c, days_between(TIMESTAMP_NTZ'2026-01-01', TIMESTAMP_NTZ'2026-01-02 12:00:00') AS d").first() == (None, None, 12.5, 1.5)
