@@ -141,6 +141,18 @@ def rule_scores(diffs: DataFrame) -> DataFrame:
     return diffs.select("commit_sha", "file_path", F.coalesce(auto_score(path), share).alias("score"), category.alias("category"))
 
 
+def ruled(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, categories) by rule, as replies would give them; a commit's category is that of its highest score."""
+    rows = rule_scores(diffs).withColumns({"reasoning": F.lit("by rule"), "overall_category": F.col("category")})
+    largest = F.max_by("category", F.struct(F.coalesce("score", F.lit(0.0)), "file_path"))
+    return rows, rows.groupBy("commit_sha").agg(largest.alias("overall_category"))
+
+
+def last_extracted() -> Column:
+    """By what the last of several diffs of one path is found: the time, then the largest."""
+    return F.struct("extracted_at", "additions", "deletions", "diff")
+
+
 def reply_files(replies: DataFrame) -> DataFrame:
     """One row a file of each reply that can be read; reply columns: commit_sha, reply."""
     parsed = replies.withColumn("r", parsed_reply(F.col("reply"))).filter(F.col("r").isNotNull())
@@ -197,17 +209,14 @@ def score_commits(
     run = f"replies-{uuid.uuid4().hex}"
     diffs = warehouse.table("diffs").join(todo.select("commit_sha"), "commit_sha", "left_semi")
     if scorer is None:
-        rows = rule_scores(diffs).withColumns({"reasoning": F.lit("by rule"), "overall_category": F.col("category")})
-        largest = F.max_by("category", F.struct(F.coalesce("score", F.lit(0.0)), "file_path"))
-        files, categories = rows, rows.groupBy("commit_sha").agg(largest.alias("overall_category"))
+        files, categories = ruled(diffs)
     else:
         path = warehouse.landed(run, "replies")
         lease = Lease(f"{warehouse.root}/_landed/{run}/lease", calls_a_second) if calls_a_second else None
         scored_by(commit_bundles(todo.select("commit_sha", "title", "message"), diffs), scorer, tasks, in_flight=in_flight, lease=lease).write.parquet(path)
         files = reply_files(warehouse.spark.read.parquet(path))
         categories = files.select("commit_sha", "overall_category").distinct()
-    last = F.struct("extracted_at", "additions", "deletions", "diff")
-    write_scores(warehouse, scored_files(files, diffs.withColumn("last", last), "last"), categories)
+    write_scores(warehouse, scored_files(files, diffs.withColumn("last", last_extracted()), "last"), categories)
     warehouse.drop_landed(run)
     return warehouse.count("commit_scores") - before
 

@@ -70,6 +70,28 @@ class Warehouse:
         have = set(rows.columns)
         rows.select([(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(self._version(name))
 
+    def has_batch(self, batch: str) -> bool:
+        return self.exists(f"{self.root}/_batches/{batch}/done")
+
+    def insert_batch(self, batch: str, rows: dict[str, DataFrame]) -> None:
+        """Appends to several tables under the name of a batch: again, it replaces what a broken attempt left, and does nothing once all tables have it."""
+        self._writable()
+        if self.has_batch(batch):
+            return
+        fs, jvm = self._fs(), self.spark._jvm.org.apache.hadoop.fs
+        staged = {name: f"{self.root}/_batches/{batch}/{name}" for name in rows}
+        for name, found in rows.items():
+            found.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(name)]).write.mode("overwrite").parquet(staged[name])
+        for name, path in staged.items():
+            table = self._version(name)
+            for old in fs.globStatus(jvm.Path(f"{table}/batch-{batch}-*")) or []:
+                fs.delete(old.getPath(), False)
+            for i, part in enumerate(sorted(s.getPath().toString() for s in fs.globStatus(jvm.Path(f"{path}/part-*")) or [])):
+                fs.rename(jvm.Path(part), jvm.Path(f"{table}/batch-{batch}-{i:05d}.parquet"))
+        fs.create(self._path("_batches", batch, "done")).close()
+        for path in staged.values():
+            fs.delete(jvm.Path(path), True)
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """A new version of the table from rows that may read the old one."""
         self._writable()

@@ -15,6 +15,7 @@ from forgelens.sources import forge, rest
 from forgelens.sources.lease import Lease
 from forgelens.sources.warehouse import Warehouse
 from forgelens.streaming.ingest import ingest
+from forgelens.streaming.scores import score_batch, score_stream
 
 COMMITS = [
     {"commit_sha": "s1", "project_path": "team/tool", "author_name": "p1", "author_email": "m1", "authored_date": dt.datetime(2025, 4, 3, 9), "additions": 70, "deletions": 4},
@@ -369,3 +370,39 @@ def test_sql_functions_are_the_column_functions(spark, tmp_path):
     lines = w.query("SELECT l.* FROM diffs, LATERAL diff_lines(diff) l WHERE file_path = :p ORDER BY line", {"p": "a.py"}).collect()
     assert [tuple(r) for r in lines] == [(1, "@", "@@ -1 +1 @@"), (2, " ", "--- a"), (3, " ", "+++ b"), (4, "-", "old"), (5, "+", "new"), (6, " ", " same")]
     assert w.query("SELECT pct_change(0D, 5D) AS a, pct_change(NULL, 5D) AS b, pct_change(8D, 9D) AS c, days_between(TIMESTAMP_NTZ'2026-01-01', TIMESTAMP_NTZ'2026-01-02 12:00:00') AS d").first() == (None, None, 12.5, 1.5)
+
+
+def test_scores_of_a_stream(spark, tmp_path):
+    """Each commit once, also when it comes again or a batch is tried again; state goes with the watermark."""
+    w = Warehouse(spark, str(tmp_path / "w"))
+    w.create_tables()
+    w.insert("diffs", [{"commit_sha": f"s{i}", "file_path": "a.py", "additions": 4, "deletions": 0, "diff": "+x"} for i in range(8)])
+    landed = str(tmp_path / "landed")
+
+    def land(day, *names):
+        rows = [(n, f"T {n}", dt.datetime(2026, 3, day)) for n in names]
+        spark.createDataFrame(rows, "commit_sha string, title string, extracted_at timestamp_ntz").withColumn("message", F.lit("m")).coalesce(1).write.mode("append").parquet(landed)
+
+    def run(**how):
+        stream = spark.readStream.schema("commit_sha string, title string, extracted_at timestamp_ntz, message string").parquet(landed)
+        q = score_stream(stream, w, str(tmp_path / "c"), delay="2 days", **how)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        return {r[0] for r in w.table("commit_scores").select("commit_sha").collect()}, w.count("commit_scores"), [(p.stateOperators[0].numRowsTotal, p.numInputRows) for p in q.recentProgress if p.stateOperators]
+
+    land(1, "s0", "s1", "s1")
+    assert run()[:2] == ({"s0", "s1"}, 2)
+    land(2, "s1", "s2")
+    assert run(scorer="tests.test_tables:slow_scorer", tasks=2, in_flight=2)[:2] == ({"s0", "s1", "s2"}, 3) and w.count("file_scores") == 3
+    land(20, "s3")
+    assert run()[1] == 4
+    land(21, "s4")
+    found, n, state = run()
+    assert n == 5 and [total for total, taken in state if taken] == [2]  # s0 to s2 are forgotten
+    score_batch(w, w.table("commits"), "scores", 0)  # tried again: it is whole
+    assert w.count("commit_scores") == 5
+    commits = spark.createDataFrame([("s5", "T", "m")], "commit_sha string, title string, message string")
+    score_batch(w, commits, "other", 0)
+    w._fs().delete(w._path("_batches", "other-0", "done"), False)  # as if the attempt had ended before it was whole
+    score_batch(w, commits, "other", 0)
+    assert w.count("commit_scores") == 6 and w.count("file_scores") == 6
