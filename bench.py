@@ -20,8 +20,9 @@ HEADLINE = [
     "monthly_trends_scored", "monthly_trends_raw", "period_comparison_scored", "period_comparison_raw", "author_productivity_scored", "author_productivity_raw",
     "merge_velocity", "category_distribution", "code_efficiency", "code_efficiency_strict", "cross_branch_dedup", "incremental_anti_join", "commits_missing_diffs", "anonymized_commits",
     "duplicate_identities", "retroactive_merge", "auto_score", "commit_productivity", "validate_monthly",
+    "rollup_monthly_trends_scored", "rollup_period_comparison_scored", "rollup_period_comparison_raw", "rollup_author_productivity_scored", "rollup_category_distribution",
 ]
-TABLES = ("commits", "commit_scores", "merge_requests", "mr_commits", "diffs", "developers", "branches")
+TABLES = ("commits", "commit_scores", "merge_requests", "mr_commits", "diffs", "developers", "branches", "activity")
 
 
 def main() -> None:

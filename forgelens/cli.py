@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from forgelens import config, report
 from forgelens.functions.columns import pseudonym
-from forgelens.operators import identity, metrics, scoring, validation
+from forgelens.operators import identity, metrics, rollup, scoring, validation
 from forgelens.sources.extract import Extraction
 from forgelens.sources.files import IdentityFile, Progress, key_of
 from forgelens.sources.warehouse import Warehouse, open_warehouse
@@ -41,7 +41,7 @@ def answer(store: Warehouse, name: str, filters: metrics.Filters, periods: tuple
 
 def _options(args: list[str] | None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("command", nargs="?", choices=["query", "extract", "score", "snapshot", "validate", "report", "merge"], default="query")
+    p.add_argument("command", nargs="?", choices=["query", "extract", "score", "snapshot", "validate", "report", "merge", "rollup"], default="query")
     p.add_argument("--config", required=True)
     p.add_argument("--query", choices=[*NAMES, "all"], default="all")
     p.add_argument("--since")
@@ -57,6 +57,7 @@ def _options(args: list[str] | None) -> argparse.Namespace:
     p.add_argument("--tasks", type=int, default=8, help="score: tasks that call the scorer")
     p.add_argument("--in-flight", type=int, default=10, help="score: calls of a task at a time")
     p.add_argument("--calls-a-second", type=int, default=0, help="score: of all tasks together; 0 for no bound")
+    p.add_argument("--from-rollup", action="store_true", help="query: questions about commits from the sums by day that the command rollup has made")
     p.add_argument("--full", action="store_true", help="extract: everything, not only what is newer than the last run's")
     for side in ("baseline", "comparison"):
         p.add_argument(f"--{side}-start")
@@ -73,7 +74,7 @@ def main(args: list[str] | None = None) -> int:
     a = _options(args)
     c = config.load(a.config)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store = open_warehouse(spark, replace(c, readonly=c.readonly or a.command not in ("extract", "score", "merge")))
+    store = open_warehouse(spark, replace(c, readonly=c.readonly or a.command not in ("extract", "score", "merge", "rollup")))
     since, until = a.since or "1970-01-01", a.until or "2100-01-01"
     filters = metrics.Filters(since, until, c.repos, c.excluded)
     if a.command == "extract":
@@ -88,6 +89,9 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "score":
         n = scoring.score_commits(store, a.scorer, c.excluded, tasks=a.tasks, in_flight=a.in_flight, calls_a_second=a.calls_a_second)
         print(f"scored by {a.scorer or 'rule'}: {n}")
+    elif a.command == "rollup":
+        rollup.refresh(store)
+        print(f"rows of activity: {store.count('activity')}")
     elif a.command == "merge":
         c = config.add_merges(a.config, a.canonical, a.alias)
         print(f"values changed: {merge_people(store, c, IdentityFile(beside(a.config, 'people.json')))}")
@@ -114,7 +118,8 @@ def main(args: list[str] | None = None) -> int:
         if a.query == "period_comparison" and not _periods(a):
             raise SystemExit("period_comparison needs both periods")
         for name in [n for n in NAMES if n != "period_comparison"] if a.query == "all" else [a.query]:
-            result = answer(store, name, filters, _periods(a), a.limit)
+            result = rollup.answer(store, name, filters, _periods(a), a.limit, metrics.has_scores(store.table("commit_scores"))) if a.from_rollup else None
+            result = answer(store, name, filters, _periods(a), a.limit) if result is None else result
             print(f"## {name}\n" + (report.FORMATS[a.format](result) if result is not None else "no scores"))
     return 0
 

@@ -79,9 +79,19 @@ def monthly_trends(commits: DataFrame, scores: DataFrame | None, filters: Filter
     return rows.groupBy(month_of(F.col("authored_date")).alias("month")).agg(_commits(), _authors(), *last).orderBy("month")
 
 
+def compared(found: DataFrame, spans: tuple[str, str]) -> DataFrame:
+    """A row for each of two periods, found or not, and one of changes in per cent."""
+    names = [c for c in found.columns if c != "period"]
+    periods = found.sparkSession.createDataFrame([(p,) for p in spans], "period string")
+    never_null = [c for c in names if c != "total_lines_changed"]
+    both = F.broadcast(periods).join(found, "period", "left").fillna(0, never_null).select("period", *[F.col(c).cast("double") for c in names])
+    sides = both.groupBy().agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{p}_{c}") for p in spans for c in names])
+    change = sides.select(F.lit("% change").alias("period"), *[pct_change(F.col(f"{spans[0]}_{c}"), F.col(f"{spans[1]}_{c}")).alias(c) for c in names])
+    return both.unionByName(change)
+
+
 def period_comparison(commits: DataFrame, scores: DataFrame | None, filters: Filters, baseline: tuple[str, str], comparison: tuple[str, str]) -> DataFrame:
     """A row a period, also an empty one, and a row of changes in per cent; one scan for both periods, which may overlap."""
-    spark = commits.sparkSession
     spans = {"baseline": baseline, "comparison": comparison}
     rows = commits.filter(filters.others())
     inside = F.array_compact(F.array(*[F.when(filters.dates("authored_date", *span), F.lit(p)) for p, span in spans.items()]))
@@ -89,13 +99,7 @@ def period_comparison(commits: DataFrame, scores: DataFrame | None, filters: Fil
     rows, last = (_with_scores(rows, scores), [_productivity(), _score()]) if scores is not None else (rows, [_lines()])
     days = F.countDistinct(F.col("authored_date").cast("date")).alias("active_days")
     found = rows.groupBy("period").agg(_commits(), _authors(), *last, days)
-    names = [c for c in found.columns if c != "period"]
-    periods = spark.createDataFrame([(p,) for p in spans], "period string")
-    never_null = [c for c in names if c != "total_lines_changed"]
-    both = F.broadcast(periods).join(found, "period", "left").fillna(0, never_null).select("period", *[F.col(c).cast("double") for c in names])
-    sides = both.groupBy().agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{p}_{c}") for p in spans for c in names])
-    change = sides.select(F.lit("% change").alias("period"), *[pct_change(F.col(f"baseline_{c}"), F.col(f"comparison_{c}")).alias(c) for c in names])
-    return both.unionByName(change)
+    return compared(found, tuple(spans))
 
 
 def author_productivity(commits: DataFrame, scores: DataFrame | None, filters: Filters, limit: int = 20) -> DataFrame:

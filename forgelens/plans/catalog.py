@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forgelens.functions import columns as C
 from forgelens.functions import sql as sql_functions
-from forgelens.operators import identity, metrics, scoring, validation
+from forgelens.operators import identity, metrics, rollup, scoring, validation
 from forgelens.plans import derive
 from forgelens.sources import forge, warehouse
 
@@ -99,6 +99,20 @@ query(
 )(lambda c, s: metrics.category_distribution(c, s, FILTERS))
 
 
+def _from_activity(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    """The query of that name from sums by day: its SQL, which reads commits and scores, has to give the same rows."""
+    QUERIES[f"rollup_{name}"], SQL[f"rollup_{name}"], OVER_TABLES[f"rollup_{name}"] = (lambda spark, sf_dir: f(derive.activity(spark, sf_dir))), SQL[name], OVER_TABLES[name]
+
+
+_from_activity("monthly_trends_scored", lambda a: rollup.monthly_trends(a, FILTERS, True))
+_from_activity("monthly_trends_raw", lambda a: rollup.monthly_trends(a, FILTERS, False))
+_from_activity("period_comparison_scored", lambda a: rollup.period_comparison(a, FILTERS, True, *PERIODS))
+_from_activity("period_comparison_raw", lambda a: rollup.period_comparison(a, FILTERS, False, *PERIODS))
+_from_activity("author_productivity_scored", lambda a: rollup.author_productivity(a, OPEN, True))
+_from_activity("author_productivity_raw", lambda a: rollup.author_productivity(a, OPEN, False))
+_from_activity("category_distribution", lambda a: rollup.category_distribution(a, FILTERS))
+
+
 def _efficiency_sql(same: str) -> str:
     return f"""h AS (SELECT DISTINCT l.commit_sha FROM mr_commits l JOIN merge_requests m ON l.mr_iid = m.mr_iid AND {same} WHERE state = 'merged')
     SELECT date_trunc('month', authored_date)::TIMESTAMP AS month, sum(additions)::BIGINT AS total_additions, sum(CASE WHEN h.commit_sha IS NOT NULL THEN additions ELSE 0 END)::BIGINT AS merged_additions,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgelens.operators import rollup
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,6 +94,11 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main.unionByName(other)
 
 
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by day, person and project."""
+    return rollup.activity(commits(spark, sf_dir), commit_scores(spark, sf_dir))
+
+
 # The same in SQL, as common table expressions.
 SQL = {
     "commits": """commits AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS commit_sha, 'org/repo_' || (o_custkey % 5) AS project_id, 'repo_' || (o_custkey % 5) AS project_name,

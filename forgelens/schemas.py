@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampNTZType()}
+_TYPES = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampNTZType(), "l": T.LongType(), "D": T.DateType()}
 
 
 def _schema(spec: str) -> T.StructType:
@@ -28,10 +28,11 @@ SCHEMAS: dict[str, T.StructType] = {
     "file_scores": _schema("commit_sha file_path score:d category reasoning scored_at:t"),
 }
 
-#: What extraction keeps beside the tables: up to when a repository has been listed, and answers that failed.
+#: What is kept beside the tables: up to when a repository has been listed, answers that failed, and sums by day.
 STATE: dict[str, T.StructType] = {
     "watermarks": _schema("repo since:t noted_at:t"),
     "dead_letters": _schema("repo what path error attempts:i given_up:b noted_at:t"),
+    "activity": _schema("day:D project_path author_name author_email person:l again_sha again:l category commits:l lines:l additions:l scored:l productivity:d score:d score_n:l"),
 }
 
 
