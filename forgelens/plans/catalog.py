@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgelens.functions import bodies
 from forgelens.functions import columns as C
 from forgelens.functions import sql as sql_functions
 from forgelens.operators import identity, metrics, rollup, scoring, validation
@@ -484,3 +485,23 @@ query(
         ).select("metric", "status")
     )(metrics.category_distribution(c, s, FILTERS).filter("category is not null"))
 )
+
+
+def _typed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that keep their type, where others of the same answer don't."""
+    rows = derive.bodies(spark, sf_dir).select("commit_sha", bodies.typed(F.col("body"), forge.GITLAB_MERGE).alias("m"))
+    return rows.select("commit_sha", "m.id", "m.title", F.col("m.author.name").alias("author_name"), F.col("m.commits")[0]["id"].alias("first_commit"))
+
+
+_WHOLE = "o_orderkey % 11 <> 0"
+QUERIES["typed_bodies"] = _typed_bodies
+SQL["typed_bodies"] = f"""SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS commit_sha, CASE WHEN {_WHOLE} THEN CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 17 ELSE o_orderkey END END::BIGINT AS id,
+  CASE WHEN {_WHOLE} THEN CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '5' ELSE 't' END END AS title, CASE WHEN {_WHOLE} AND o_orderkey % 7 > 1 THEN 'n' END AS author_name,
+  CASE WHEN {_WHOLE} THEN CASE o_orderkey % 4 WHEN 0 THEN 'true' ELSE 's' END END AS first_commit FROM orders"""
+QUERIES["body_drift"] = lambda spark, sf_dir: bodies.drift(derive.bodies(spark, sf_dir), forge.GITLAB_MERGE)
+SQL["body_drift"] = f"""SELECT field, wanted, found, count(*) AS n, count(*) FILTER (WHERE lost) AS n_lost FROM (
+  SELECT 'id' AS field, 'BIGINT' AS wanted, CASE WHEN o_orderkey % 5 = 1 THEN 'OBJECT' ELSE 'STRING' END AS found, o_orderkey % 5 < 2 AS lost FROM orders WHERE {_WHOLE} AND o_orderkey % 5 < 3
+  UNION ALL SELECT 'title', 'STRING', CASE WHEN o_orderkey % 3 = 0 THEN 'ARRAY' ELSE 'BIGINT' END, o_orderkey % 3 = 0 FROM orders WHERE {_WHOLE} AND o_orderkey % 3 < 2
+  UNION ALL SELECT 'author', 'OBJECT', 'STRING', true FROM orders WHERE {_WHOLE} AND o_orderkey % 7 = 0
+  UNION ALL SELECT 'commits[].id', 'STRING', 'BOOLEAN', false FROM orders WHERE {_WHOLE} AND o_orderkey % 4 = 0
+  UNION ALL SELECT '', 'OBJECT', 'BROKEN', true FROM orders WHERE NOT ({_WHOLE})) GROUP BY ALL"""

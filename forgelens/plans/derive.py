@@ -94,6 +94,13 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main.unionByName(other)
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge request's answer for each order, in which some fields have changed their type."""
+    parts = ["'{\"id\": '", "CASE o_orderkey % 5 WHEN 0 THEN '\"x9\"' WHEN 1 THEN '{\"v\": 1}' WHEN 2 THEN '\"17\"' ELSE cast(o_orderkey as string) END", "', \"title\": '", "CASE o_orderkey % 3 WHEN 0 THEN '[\"t\"]' WHEN 1 THEN '5' ELSE '\"t\"' END",
+             "', \"author\": '", "CASE o_orderkey % 7 WHEN 0 THEN '\"ann\"' WHEN 1 THEN 'null' ELSE '{\"name\": \"n\"}' END", "', \"commits\": [{\"id\": '", "CASE o_orderkey % 4 WHEN 0 THEN 'true' ELSE '\"s\"' END", "CASE o_orderkey % 11 WHEN 0 THEN '}' ELSE '}]}' END"]
+    return _read(spark, sf_dir, "orders").select(F.expr(SHA).alias("commit_sha"), F.expr(f"concat({', '.join(parts)})").alias("body"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by day, person and project."""
     return rollup.activity(commits(spark, sf_dir), commit_scores(spark, sf_dir))

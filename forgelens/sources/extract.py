@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.config import Config
+from forgelens.functions.bodies import typed
 from forgelens.operators import identity
 from forgelens.schemas import schema_of
 from forgelens.sources import forge, rest
@@ -157,17 +158,17 @@ class Extraction:
 
     def _raw_commits(self, detail: DataFrame) -> DataFrame:
         if self.github:
-            return detail.select("repo", F.from_json("body", forge.GITHUB_COMMIT).withField("branch", F.col("branch")).alias("c")).select("repo", "c.*")
+            return detail.select("repo", typed(F.col("body"), forge.GITHUB_COMMIT).withField("branch", F.col("branch")).alias("c")).select("repo", "c.*")
         files = F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"])
         rows = detail.groupBy("commit_sha", "repo", "id", "branch", "stub").agg(files.alias("files"))
-        stub = F.from_json("stub", forge.GITLAB_COMMIT)
+        stub = typed(F.col("stub"), forge.GITLAB_COMMIT)
         diffs = F.from_json(F.concat(F.lit("["), F.array_join("files", ","), F.lit("]")), "array<struct<old_path: string, new_path: string, diff: string, new_file: boolean, renamed_file: boolean, deleted_file: boolean>>")
         return rows.select("repo", F.col("id").alias("project_id"), stub.withField("branch", F.col("branch")).withField("diffs", diffs).alias("c")).select("repo", "project_id", "c.*")
 
     def requests(self, projects: DataFrame) -> DataFrame:
         schema = forge.GITHUB_PULL if self.github else forge.GITLAB_MERGE
         raw = self._ask(projects.withColumn("enough_before", F.col("since")), "requests").withColumnRenamed("id", "project")
-        raw = raw.select("repo", "project", "since", F.from_json("body", schema).alias("m")).select("repo", "project", "since", "m.*")
+        raw = raw.select("repo", "project", "since", typed(F.col("body"), schema).alias("m")).select("repo", "project", "since", "m.*")
         day = F.substring("updated_at", 1, 10)
         raw = raw.filter(F.col("since").isNull() | (day >= F.substring("since", 1, 10)))
         raw = raw.filter(day <= self.until) if self.until and not self.github else raw  # the other forge's requests are bound by since only
