@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from forgelens.functions.bodies import drift, typed
-from forgelens.sources.forge import GITHUB_COMMIT, GITLAB_MERGE, github_commits, github_diffs
+from forgelens.sources.forge import GITHUB_COMMIT, GITLAB_COMMIT, GITLAB_MERGE, github_commits, github_diffs
 
 
 def commit(**change):
@@ -48,3 +48,9 @@ def test_drift_counts_each_value(spark):
         ("", "ARRAY"): ("OBJECT", 1, 1), ("", "BROKEN"): ("OBJECT", 1, 1),
     }
     assert drift(spark.createDataFrame([], "body string"), GITLAB_MERGE).count() == 0
+
+
+def test_an_answer_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}",)], "body string")
+    for found in (drift(rows, GITLAB_MERGE), rows.select(typed(F.col("body"), GITLAB_COMMIT))):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
