@@ -91,13 +91,15 @@ def identity_components(developers: DataFrame) -> DataFrame:
     canonical_email: of its first identity (by ord) with an address, as a suggestion. Identities that share nothing have no row; ord is a key.
     """
     rows = _shared(developers)
-    groups = rows.groupBy("reason", "k").agg(F.countDistinct("ord").alias("n")).filter("n > 1").select("reason", "k")
-    members = rows.join(groups, ["reason", "k"]).select(F.col("ord").alias("node"), F.concat_ws(":", "reason", "k").alias("group"))
+    groups = rows.groupBy("reason", "k").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first <> last").select("reason", "k", "first")
+    # An identity has one key of each reason, so reason and first identity name a group; the round trips below carry no texts.
+    kind = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")).cast("int")
+    members = rows.join(groups, ["reason", "k"]).select(F.col("ord").alias("node"), F.struct(kind, F.col("first")).alias("group"))
     found = components(members)
     people = developers.select("ord", "name", "email").join(found.withColumnRenamed("node", "ord"), "ord")
     first = F.min_by(F.struct("name", "email"), F.when(F.col("email").isNotNull(), F.col("ord")))
     named = people.groupBy("component").agg(F.count("*").alias("size"), first.alias("first"))
-    shared = members.join(found, "node").groupBy("component").agg(F.countDistinct("group").alias("n_shared"))
+    shared = groups.select(F.col("first").alias("node")).join(found, "node").groupBy("component").agg(F.count("*").alias("n_shared"))
     whole = people.join(named, "component").join(shared, "component")
     return whole.select("ord", "name", "email", "component", "size", "n_shared", F.col("first.name").alias("canonical_name"), F.col("first.email").alias("canonical_email"))
 

@@ -406,3 +406,12 @@ def test_scores_of_a_stream(spark, tmp_path):
     w._fs().delete(w._path("_batches", "other-0", "done"), False)  # as if the attempt had ended before it was whole
     score_batch(w, commits, "other", 0)
     assert w.count("commit_scores") == 6 and w.count("file_scores") == 6
+
+
+def test_groups_of_people_are_numbers_and_their_texts_stay_apart(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(identity, "components", lambda members: given.append(members) or components(members))
+    rows = spark.createDataFrame([(1, "Ann", "ann@x"), (2, "Ann", "b@x"), (3, "Zed", "ANN@y"), (4, "Cy", "c@x"), (5, "Cy", "c@y")], "ord long, name string, email string")
+    found = {r["ord"]: (r["component"], r["size"], r["n_shared"]) for r in identity.identity_components(rows).collect()}
+    assert found == {1: (1, 3, 3), 2: (1, 3, 3), 3: (1, 3, 3), 4: (4, 2, 3), 5: (4, 2, 3)}
+    assert "string" not in given[0].schema.simpleString()
