@@ -13,7 +13,8 @@ Cuts, by the pre-tokenizer that the file names:
   string of an added token (``<|endoftext|>``, say), which it turns into that token's id.
 
 A chunk that is a plain word (Latin-1 letters) with punctuation behind it is two pre-tokens; the
-word goes to the library's model directly, which skips its normaliser and its splitter.
+word goes to the library's model directly, one by one, which skips its normaliser, its splitter and
+the places of tokens.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Texts that are encoded together, and the longest chunk and number of chunks kept.
-SLICE, KEEP_CHARS, KEEP_CHUNKS = 256, 48, 500_000
+#: Texts that are encoded together (few, so that their chunks are still in the processor's cache when they are looked up again), and the longest chunk and number of chunks kept.
+SLICE, KEEP_CHARS, KEEP_CHUNKS = 32, 48, 500_000
 PUNCTUATION = ".,!?;:*$%&#|"
 
 _ODD_SPACE = re.compile(r"\s(?:\s|$)")
@@ -71,7 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer(self.tokenizer.model)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule = _cut_rule(spec)
@@ -93,18 +94,24 @@ class Encoder:
     def _any_ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _as_letters(self, word: str) -> str:
-        if word.isascii():
-            return word.replace(" ", "Ġ")
-        return word.encode().decode("latin-1").translate(self.letters)
+    def _as_letters(self, words: list[str]) -> list[str]:
+        """Words in the byte-level alphabet. Those in ASCII differ by their space only and change together."""
+        plain = "\n".join([w for w in words if w.isascii()]).replace(" ", "Ġ").split("\n")
+        if len(plain) == len(words) and words[0].isascii():
+            return plain
+        changed = iter(plain)
+        return [next(changed) if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         if not words:
             return []
-        given = [self._as_letters(w.lower() if self.lower else w) for w in words]
-        e = self.words.encode(given, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = np.array(e.ids, "<u4").tobytes(), (np.cumsum(np.bincount(e.word_ids, minlength=len(words))) * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        ids: list[int] = []
+        ends, tokenize = [], self.model.tokenize
+        for word in self._as_letters("\n".join(words).lower().split("\n") if self.lower else words):
+            ids += [t.id for t in tokenize(word)]
+            ends.append(4 * len(ids))
+        joined = np.array(ids, "<u4").tobytes()
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not kept yet."""
@@ -112,13 +119,14 @@ class Encoder:
             chunks = list(new)
             return dict(zip(chunks, self._any_ids(chunks)))
         kept, plain = self.kept, self.plain
-        parts = [(c, c.rstrip(PUNCTUATION)) for c in new]
+        bare = list(filter(plain, new))
+        parts = [(c, c.rstrip(PUNCTUATION)) for c in new.difference(bare)]
         words = {w for _, w in parts if plain(w)}
-        fresh = list(words.difference(kept))
+        fresh = [*bare, *(w for w in words if w not in new and w not in kept)]
         found = dict(zip(fresh, self._word_ids(fresh)))
         others = list({c[len(w) :] if w in words else c for c, w in parts})
         rest = dict(zip(others, self._any_ids(others)))
-        found.update({c: (found.get(w) or kept[w]) + rest[c[len(w) :]] if w in words else rest[c] for c, w in parts if c not in found})
+        found.update([(c, (found.get(w) or kept[w]) + rest[c[len(w) :]] if w in words else rest[c]) for c, w in parts])
         return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -129,11 +137,11 @@ class Encoder:
             whole_ids = dict(zip(whole, self._any_ids([run[i] for i in whole])))
             cut = [self.cut(t) if t and i not in whole_ids else [] for i, t in enumerate(run)]
             if len(self.kept) > KEEP_CHUNKS:
-                self.kept.clear()
+                self.kept = {}  # a new one: encodings side by side still read the old one
             known = self.kept
             learnt = self._learn(set(chain.from_iterable(cut)).difference(known))
-            long = {c: ids for c, ids in learnt.items() if len(c) > KEEP_CHARS}
-            known.update(learnt if not long else {c: ids for c, ids in learnt.items() if c not in long})
+            long = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > KEEP_CHARS]}
+            known.update(learnt)
             for i, chunks in enumerate(cut):
                 if i in whole_ids:
                     yield whole_ids[i]

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, slices, tables, token_files, top_k
+from forgelens.llm import decontamination, language, line_dedup, near_duplicates, packing, pii, quality, sharding, sketches, slices, tables, token_files, tokens, top_k
 from forgelens.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 from forgelens.llm.tokens import Encoder
 
@@ -65,6 +65,24 @@ def test_added_tokens_are_the_library_s(name, special):
     assert found == [plain(name).encode(t, add_special_tokens=False).ids for t in texts] and special in found[0]
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_texts_encoded_side_by_side(name, monkeypatch):
+    """Prompts and texts share an encoder: one of them empties the memo while the other is still giving its ids."""
+    monkeypatch.setattr(tokens, "SLICE", 4)
+    monkeypatch.setattr(tokens, "KEEP_CHUNKS", 20)
+    rng, encoder = random.Random(4), Encoder(tokenizer_path(name))
+    prompts, texts = ([sentence(rng, 10) for _ in range(20)] for _ in range(2))
+    for (a, b), *given in zip(zip(encoder.encode(prompts), encoder.encode(texts)), prompts, texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in (a, b)] == [plain(name).encode(t, add_special_tokens=False).ids for t in given]
+
+
+def test_a_single_word_beyond_ascii():
+    for name in (BYTE_BPE, WORD_BPE):
+        for words in (["é"], ["é", "a"], ["a", "é"], ["É", "ß"], ["Ab"]):
+            want = [np.array(plain(name).encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+            assert Encoder(tokenizer_path(name))._word_ids(words) == want
+
+
 def pieces_are_whole(rows, limits):
     by_doc, by_sequence = {}, {}
     for r in rows:
