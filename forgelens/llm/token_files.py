@@ -43,6 +43,8 @@ BLOCK_IDS = 1 << 16
 SCHEMA = "part int, before long, doc_ids array<long>, starts array<int>, words binary, escapes binary"
 _NAMES = ("part", "before", "doc_ids", "starts", "words", "escapes")
 _U = np.uint64
+#: Bits that each value up to ESCAPE takes.
+_WIDTH = np.searchsorted(1 << np.arange(16), np.arange(ESCAPE + 1), side="right").astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -51,14 +53,14 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes]:
     over = ids >= ESCAPE
     values = np.where(over, ESCAPE, ids).astype(np.uint64)
     choice = np.full(n, len(COUNTS) - 1, np.int8)
-    least = np.searchsorted(1 << np.arange(16, dtype=np.uint64), values, side="right")  # bits that a value takes
+    least = _WIDTH[values]
     for s in range(len(COUNTS) - 2, -1, -1):  # from few to many, so that the most stays
         c = COUNTS[s]
         if c > n:
             break
         wide = np.concatenate([[0], np.cumsum(least > BITS[s], dtype=np.int32)])
         choice[: n - c + 1][wide[c:] == wide[:-c]] = s
-    step = np.array(COUNTS)[choice].tolist()
+    step = memoryview(np.array(COUNTS)[choice])
     starts, i = [], 0
     while i < n:
         starts.append(i)

@@ -134,6 +134,19 @@ def test_simple8b_round_trip(ids):
     assert (token_files.decode(words, escapes) == a).all()
 
 
+def test_simple8b_takes_the_most_ids_a_word():
+    """The selectors are those of a plain greedy walk; widths come from a table that holds every value up to the escape."""
+    assert token_files._WIDTH.tolist() == [v.bit_length() for v in range(token_files.ESCAPE + 1)]
+    rng = random.Random(5)
+    a = [rng.randrange(rng.choice([1, 2, 9, 300, 40_000])) if rng.random() < 0.1 else 0 for _ in range(3000)] + [rng.randrange(40_000) for _ in range(500)]
+    want, i = [], 0
+    while i < len(a):
+        want.append(next(s for s, (c, b) in enumerate(zip(token_files.COUNTS, token_files.BITS)) if i + c <= len(a) and all(min(v, token_files.ESCAPE) < 1 << b for v in a[i : i + c])))
+        i += token_files.COUNTS[want[-1]]
+    words, _ = token_files.encode(np.array(a, "<u4"))
+    assert (np.frombuffer(words, "<u8") >> np.uint64(60)).tolist() == want
+
+
 def test_token_files(spark, odd, tmp_path):
     rng = random.Random(2)
     texts = [sentence(rng, rng.choice([1, 50, 4000])) for _ in range(60)]
